@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python once a session, so that tasks can import it on any cluster."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if not getattr(context, "_lodegrain_shipped", False):
+        archive = Path(tempfile.mkdtemp()) / "lodegrain.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for module in sorted((root / "lodegrain").rglob("*.py")):
+                z.write(module, module.relative_to(root))
+        context.addPyFile(str(archive))
+        context._lodegrain_shipped = True
+    return spark
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs one re-read."""
     path = shared_path(df.sparkSession, name)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .packing import cut_pieces, pack
+from .records import read_token_records, write_token_records
 from .sharding import interleaved_shards
 
 
@@ -18,6 +21,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(cut_pieces(table(spark, sf_dir, "documents"), path, "joined", end_id=0, capacity=1024), capacity=1024)
+
+
 def op4_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = interleaved_shards(table(spark, sf_dir, "documents"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -28,7 +36,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_mix_sources, op4_interleaved_shards, op9_exact_dedup)}
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return read_token_records(write_token_records(table(spark, sf_dir, "documents"), path, "dropped", end_id=1), with_ids=False)
+
+
+QUERIES = {q.__name__: q for q in (op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op9_exact_dedup, op10_token_records)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
