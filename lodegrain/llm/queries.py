@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .packing import cut_pieces, pack
 from .records import read_token_records, write_token_records
 from .sharding import interleaved_shards
@@ -32,6 +33,10 @@ def op4_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(write_token_records(table(spark, sf_dir, "documents"), path, "dropped", end_id=1), with_ids=False)
 
 
-QUERIES = {q.__name__: q for q in (op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op9_exact_dedup, op10_token_records)}
+QUERIES = {q.__name__: q for q in (op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op8_minhash_near_dedup, op9_exact_dedup, op10_token_records)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
