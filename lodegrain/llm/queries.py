@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_windows, read_back
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -33,6 +34,12 @@ def op4_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
+    return read_back(chat_windows(table(spark, sf_dir, "conversations").select(*extra.columns).union(extra)))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -46,7 +53,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(write_token_records(table(spark, sf_dir, "documents"), path, "dropped", end_id=1), with_ids=False)
 
 
-QUERIES = {q.__name__: q for q in (op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op8_minhash_near_dedup, op9_exact_dedup, op10_token_records)}
+QUERIES = {q.__name__: q for q in (op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op7_chat_windows, op8_minhash_near_dedup, op9_exact_dedup, op10_token_records)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
