@@ -13,12 +13,18 @@ from .near_dedup import near_duplicates
 from .packing import cut_pieces, pack
 from .records import read_token_records, write_token_records
 from .sharding import interleaved_shards
+from .warc import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(table(spark, sf_dir, "pages"), least_bytes=0), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +59,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(write_token_records(table(spark, sf_dir, "documents"), path, "dropped", end_id=1), with_ids=False)
 
 
-QUERIES = {q.__name__: q for q in (op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op7_chat_windows, op8_minhash_near_dedup, op9_exact_dedup, op10_token_records)}
+QUERIES = {q.__name__: q for q in (op1_warc_archives, op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op7_chat_windows, op8_minhash_near_dedup, op9_exact_dedup, op10_token_records)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
