@@ -251,3 +251,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     out = rows.drop("bins").join(ids, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
+    """The documents of which `kept` holds, all columns; of rows that repeat a doc_id and are kept, one per text stays."""
+    dropped = saved(near_duplicates(docs, words, percent, text).where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    few = dropped.count() <= most_broadcast  # 8 bytes each
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
