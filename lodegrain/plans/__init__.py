@@ -1 +1,6 @@
+"""Queries over the supplied tables; importing a module of them registers what it holds."""
 
+from . import history_queries  # noqa: F401
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
