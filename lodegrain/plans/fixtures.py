@@ -44,7 +44,7 @@ def edges(v: Views) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-_TS = "CAST(epoch({}) AS BIGINT)"
+_TS = "CAST(floor(epoch({})) AS BIGINT)"
 COMMITS = f"""commits AS (SELECT o_orderkey AS commit_id, o_custkey AS author, {_TS.format('o_orderdate')} AS epoch,
   {MESSAGES}[o_orderkey % 10 + 1] AS message FROM orders)"""
 COMMIT_FILES = "commit_files AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS path FROM lineitem)"
