@@ -51,9 +51,9 @@ def stirred(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, words_at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash per word of all texts, and the number of words before each text. A-Z count as a-z; a word is a
-    run of bytes other than 20 and 09-0D."""
+    run of bytes other than 20 and 09-0D. What takes several times the text's bytes is held for some words at once."""
     by_place = tables()[0]
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)
     offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -72,13 +72,16 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), before
-    at = np.flatnonzero(inside)
-    word = np.cumsum(first)[at] - 1
-    place = at - starts[word]
-    h = by_place[place & 255, lower[data[at]]] * ((place.astype(np.uint64) >> np.uint64(8) << np.uint64(1)) | np.uint64(1))
-    sums = np.add.reduceat(h, np.searchsorted(at, starts))
-    lengths = np.bincount(word).astype(np.uint64)
-    return stirred(sums ^ (lengths * np.uint64(0x9E3779B97F4A7C15))), before
+    sums = np.zeros(len(starts), np.uint64)
+    for i in range(0, len(starts), words_at_once):
+        j = min(i + words_at_once, len(starts))
+        low, high = starts[i], starts[j] if j < len(starts) else len(data)
+        at = np.flatnonzero(inside[low:high])
+        word = np.cumsum(first[low:high])[at] - 1
+        place = at - (starts[i:j] - low)[word]
+        h = by_place[place & 255, lower[data[low:high][at]]] * ((place.astype(np.uint64) >> np.uint64(8) << np.uint64(1)) | np.uint64(1))
+        sums[i:j] = np.add.reduceat(h, np.searchsorted(at, starts[i:j] - low)) ^ (np.bincount(word).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return stirred(sums), before
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
