@@ -135,7 +135,7 @@ def merge_concatenations(text: Column) -> Column:
 def combine_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, rule, n: direct findings, those only visible after joining literals (`concat:`) and in decoded runs (`encoded:`)."""
     direct = dlp_findings(docs, key, text).groupBy(key, "rule").agg(F.count("*").alias("n"))
-    joined = docs.select(key, merge_concatenations(F.col(text)).alias(text)).where(F.lit(True))
+    joined = docs.select(key, merge_concatenations(F.col(text)).alias(text))
     concat = dlp_findings(joined, key, text).groupBy(key, "rule").agg(F.count("*").alias("n")).join(direct, [key, "rule"], "left_anti")
     inside = dlp_findings(decoded_fragments(docs, key, text), key, "fragment").groupBy(key, "rule").agg(F.count("*").alias("n"))
     prefixed = lambda df, p: df.withColumn("rule", F.concat(F.lit(p), "rule"))
