@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, text_or_empty
+from .common import shipped, small_batches, text_or_empty
 
 BLOCK, RATE, SEEK_POINT = 4096, 8000, 18
 
@@ -399,7 +399,7 @@ def encode_column(rows: DataFrame, unit: int = 64) -> DataFrame:
     shipped(rows.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "bytes"):
+        for batch in small_batches(batches, "bytes"):
             data = batch["bytes"].to_pylist()
             media = encoded([d + bytes(-len(d) % unit or (0 if d else unit)) for d in data])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -407,25 +407,13 @@ def encode_column(rows: DataFrame, unit: int = 64) -> DataFrame:
     return rows.select("doc_id", "bytes").mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
 
-def small(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of a column: what numpy needs beside them grows with it."""
-    for batch in batches:
-        sizes = batch[column].fill_null(b"") if pa.types.is_binary(batch[column].type) else batch[column]
-        ends = np.cumsum([len(x) for x in sizes.to_pylist()])
-        low = 0
-        while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most)))
-            yield batch.slice(low, high - low)
-            low = high
-
-
 def decode_column(media: DataFrame) -> DataFrame:
     """PCM blocks of rows (doc_id, media): doc_id, block, sample_offset, pcm (signed 8-bit samples)."""
     shipped(media.sparkSession)
     kinds = {"doc_id": pa.int64(), "block": pa.int64(), "sample_offset": pa.int64(), "pcm": pa.binary()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "media"):
+        for batch in small_batches(batches, "media"):
             ids = batch["doc_id"].to_pylist()
             rows = [(ids[m], *rest) for m, *rest in decoded(batch["media"].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
@@ -441,7 +429,7 @@ def media_summary(docs: DataFrame, text: str = "text") -> DataFrame:
              "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "media"):
+        for batch in small_batches(batches, "media"):
             media, out = batch["media"].to_pylist(), []
             blocks: list[list[bytes]] = [[] for _ in media]
             for m, _, _, pcm in decoded(media):

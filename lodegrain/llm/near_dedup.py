@@ -4,11 +4,12 @@ A document's set is its distinct shingles of `words` words as 64-bit hashes. One
 hash of a bin is its value, and an empty bin takes the value of the first filled bin in an order of its own that all
 documents share. Bands of bins are bucket keys. Documents with one and the same set meet first and go on as one.
 
-Inside a bucket, candidates are a star: its centre against the others, so a bucket of n gives n - 1 pairs and not
-n * n / 2. A star alone could miss a link between two leaves, so stars are repeated: a centre that has met its whole
-bucket leaves it, and the next star has a centre of the bucket's smallest part, until each bucket's members either hang
-together or have all met. A bucket of many members that hang together from the first star on costs one star. Pairs whose
-set sizes or bin agreement rule out the threshold by far are not compared; all others are confirmed on the full sets.
+Inside a bucket, candidates are stars: centres against the members. A first star joins each node to the centre it shares
+most buckets with, which is all that most groups of copies need. Where a bucket's members do not hang together after that,
+those outside its largest part are centres in turn, eight times as many a round, until all have been one: every pair of
+different parts that shares a bucket is then a candidate exactly once, and pairs inside a part, which decide nothing, never
+are. The join that makes candidates tests set sizes and signatures itself, so only plausible pairs leave it; these are
+confirmed on the full sets.
 
 Links are joined into components by alternating the least neighbour of large and small stars; every round is a saved
 table. No pair list, component or set passes the driver.
@@ -26,11 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, shipped, text_or_empty
+from .common import saved, shipped, small_batches, text_or_empty
 
 BINS, BAND_BINS = 128, 4
 
@@ -90,7 +91,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     times = tables()[1]
     shingles = np.zeros(len(hashes), np.uint64)
     for j in range(words):
-        shingles[: len(hashes) - j] += hashes[j:] * times[j]
+        shingles[: max(len(hashes) - j, 0)] += hashes[j:] * times[j]
     shingles = stirred(shingles)
     for low, high in zip(before[:-1].tolist(), before[1:].tolist()):
         n = high - low
@@ -117,21 +118,22 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set, null if it is empty) and bins (32 bits of each bin's value)."""
+    """doc_id, n_shingles, node (a hash of the set, null if it is empty) and bins (a byte of each bin's value, eight to a
+    number)."""
     shipped(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             sizes, nodes, bins = [], [], []
             for found in shingle_sets(batch["text"], words):
                 sizes.append(len(found))
                 nodes.append(node_of(found))
-                bins.append(stirred(signature(found) * tables()[3]).astype("<u4").tobytes() if len(found) else None)
-            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.binary())]
+                bins.append(stirred(signature(found) * tables()[3]).astype(np.uint8).view("<i8") if len(found) else None)
+            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "bins"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node long, bins binary")
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node long, bins array<long>")
 
 
 def node_of(found: np.ndarray) -> int | None:
@@ -148,7 +150,7 @@ def full_sets(docs: DataFrame, involved: DataFrame, text: str, words: int, most_
     rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             # a doc_id that occurs twice brings another text too: only the node's own set counts
             found = [(n, s.view(np.int64)) for n, s in zip(batch["node"].to_pylist(), shingle_sets(batch["text"], words)) if node_of(s) == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))],
@@ -157,26 +159,36 @@ def full_sets(docs: DataFrame, involved: DataFrame, text: str, words: int, most_
     return rows.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"])
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that may reach the similarity: set sizes allow it, and so do the bins. The share of equal bins
-    estimates it with a deviation of 0.035 at 128 bins; pairs 0.2 below are left out, and none where a set is smaller
-    than twice the bins, as borrowed bins vary more."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    rows = rows.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
-    words = lambda c: F.split(F.regexp_replace(F.hex(c), "(.{8})", "$1,"), ",")
-    equal = F.aggregate(F.zip_with(words("binsa"), words("binsb"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) - 1
-    rows = rows.where((F.least("na", "nb") < 2 * BINS) | (equal >= F.lit(BINS * (similarity - 0.2))))
-    return rows.select("a", "b", "na", "nb")
+def plausible(similarity: float) -> Column:
+    """Whether rows with na, nb, binsa, binsb may reach the similarity: their sizes allow it, and so do their bins.
+
+    Unequal bins differ in half of their bits, so 1 - 2 * (share of unequal bits) estimates the similarity; its deviation
+    is at most 0.48 over the root of the bins that are not borrowed. Pairs 5.5 deviations below are left out."""
+    size = F.least("na", "nb")
+    unequal = sum((F.bit_count(F.col("binsa")[i].bitwiseXOR(F.col("binsb")[i])) for i in range(1, BINS // 8)), F.bit_count(F.col("binsa")[0].bitwiseXOR(F.col("binsb")[0])))
+    floor = F.lit(similarity) - 2.64 / F.sqrt(F.least(size, F.lit(BINS)).cast("double"))
+    return (size >= F.lit(similarity) * F.greatest("na", "nb")) & (1 - unequal / F.lit(4.0 * BINS) >= floor)
+
+
+def band_value(bins: str, band: int) -> Column:
+    """The bins of a band, as the half of a number that holds them."""
+    return F.shiftrightunsigned(F.col(bins)[band // 2], 32 * (band % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+
 
+def in_no_earlier_band() -> Column:
+    """A pair that shares several buckets is taken from the first one only."""
+    earlier = F.lit(False)
+    for j in range(BINS // BAND_BINS):
+        earlier = earlier | ((F.col("band") > j) & (band_value("binsa", j) == band_value("binsb", j)))
+    return ~earlier
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
-    rows = agreeing(pairs, nodes, percent / 100)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set{x}"))
-    rows = rows.join(side("a"), "a").join(side("b"), "b")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("seta", "setb"))
-    return rows.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return rows.where(100 * both >= percent * (F.size("seta") + F.size("setb") - both)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,45 +212,51 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: int, most_broadcast: int = 1_000_000) -> DataFrame:
+def shared(df: DataFrame, most: int) -> DataFrame:
+    """A saved table, marked for broadcast if it has at most `most` rows; beyond that Spark shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: int, most_broadcast: int = 100_000) -> DataFrame:
     """Links (a, b) between nodes that join every pair of similar nodes directly or by way of others."""
-    band = F.explode(F.sequence(F.lit(0), F.lit(BINS // BAND_BINS - 1)))
-    bands = nodes.select("node", "bins", band.alias("band")).select(
-        "node", F.expr(f"xxhash64(band, substring(bins, band * {4 * BAND_BINS} + 1, {4 * BAND_BINS}))").alias("key"))
+    each = F.array(*[F.xxhash64(F.lit(j), band_value("bins", j)) for j in range(BINS // BAND_BINS)])
+    bands = nodes.select("node", F.posexplode(each).alias("band", "key"))
     keys = saved(bands.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other")
                  .select("key", "centre"), "keys")
-    few = keys.count() <= most_broadcast  # 16 bytes each
-    members = saved(bands.join(F.broadcast(keys) if few else keys, "key"), "members")
-    involved = members.select("node").distinct()
-    nodes = saved(nodes.join(involved, "node", "left_semi"), "involved")
+    stars = saved(bands.join(shared(keys, 10 * most_broadcast), "key"), "stars")
+    nodes = saved(nodes.join(stars.select("node").distinct(), "node", "left_semi"), "involved")
     sets = saved(full_sets(docs, nodes, text, words), "sets")
+    members = saved(stars.drop("centre").join(nodes.select("node", F.col("n_shingles").alias("na"), F.col("bins").alias("binsa")), "node"), "members")
 
-    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tested = saved(pairs, "tested")
-    links = saved(confirmed(tested, nodes, sets, percent), "links")
-    members, width = members.where("node <> centre").drop("centre"), 1
+    # one star first: each node with the centre it shares most buckets with
+    often = stars.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    best = often.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("a")).select("a", F.col("node").alias("b"))
+    tested = saved(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
+    links, width = saved(confirmed(tested, sets, percent), "links"), 8
     while True:
-        # members that a bucket's stars have not joined yet; its centres have met everyone and are gone
-        labels = saved(components(links), "labels")
-        members = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        apart = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-        members = saved(members.join(apart, "key", "left_semi"), "members")
-        if members.isEmpty():
+        labels = shared(saved(components(links), "labels"), 10 * most_broadcast)
+        placed = members.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        apart = saved(parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("parts")).where("parts > 1"), "apart")
+        if apart.isEmpty():
             return links
-        parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most")).select("key", F.col("most.comp").alias("largest"))
-        rest = members.join(parts, ["key", "comp"]).join(largest, "key").where("comp <> largest")
-        # the smallest parts first; four times as many centres a round, so a bucket of m ends in log m rounds
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("n", "comp", "node"))
-        centres = saved(rest.withColumn("turn", turn).where(F.col("turn") <= width)
-                        .select("key", F.col("node").alias("centre"), F.col("comp").alias("its")), "centres")
-        pairs = members.join(centres, "key").where("comp <> its")
+        # the members outside a bucket's largest part are its centres, `width` of them in this round
+        rest = placed.join(shared(apart.withColumnRenamed("key", "k"), most_broadcast), (F.col("key") == F.col("k")) & (F.col("comp") != F.col("largest")))
+        rest = rest.select("key", "node", "comp", F.row_number().over(Window.partitionBy("key").orderBy("comp", "node")).alias("turn"))
+        centres = rest.select(F.col("key").alias("k"), F.col("node").alias("centre"), F.col("comp").alias("its"), "turn").where(F.col("turn") <= width + 1)
+        centres = centres.join(nodes.select(F.col("node").alias("centre"), F.col("n_shingles").alias("nb"), F.col("bins").alias("binsb")), "centre")
+        centres = saved(centres, "centres")
+        more = not centres.where(F.col("turn") > width).isEmpty()
+        now = shared(centres.where(F.col("turn") <= width).drop("turn"), most_broadcast)
+        comp = F.coalesce("comp", "node")
+        here = (F.col("key") == F.col("k")) & (comp != F.col("its")) & plausible(percent / 100) & in_no_earlier_band()
+        pairs = members.join(labels, "node", "left").join(now, here)
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         fresh = saved(pairs.join(tested, ["a", "b"], "left_anti"), "fresh")
-        links = saved(links.union(confirmed(fresh, nodes, sets, percent)), "links")
-        tested = tested.union(fresh)
-        members = members.join(centres, (members["key"] == centres["key"]) & (members["node"] == centres["centre"]), "left_anti").drop("comp")
-        width *= 4
+        links = saved(links.union(confirmed(fresh, sets, percent)), "links")
+        if not more:
+            return links
+        tested, width = tested.union(fresh), 8 * width
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
