@@ -44,6 +44,17 @@ def edges(v: Views) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def edges_full(v: Views) -> DataFrame:
+    """Every lineitem row as an edge from its part to a part drawn from its order, never to itself; parts divisible by four
+    lead to such parts only. The parts are the nodes, so the graph grows with the tables."""
+    n = v.part.agg((F.max("p_partkey") + 1).alias("n"))
+    k = F.col("l_orderkey") * 3 + F.col("l_linenumber")
+    step = F.when(F.col("l_partkey") % 4 == 0, 4 * (1 + k % F.greatest(F.expr("n div 4") - 1, F.lit(1)))).otherwise(1 + k % F.greatest(F.col("n") - 1, F.lit(1)))
+    # one row
+    rows = v.lineitem.join(F.broadcast(n), F.lit(True)).select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") + step) % F.col("n")).alias("dst"))
+    return rows.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
 _TS = "CAST(floor(epoch({})) AS BIGINT)"
 COMMITS = f"""commits AS (SELECT o_orderkey AS commit_id, o_custkey AS author, {_TS.format('o_orderdate')} AS epoch,
   {MESSAGES}[o_orderkey % 10 + 1] AS message FROM orders)"""

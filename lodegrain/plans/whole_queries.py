@@ -1,0 +1,33 @@
+"""Queries over whole tables, where the query that SQL checks reads a part of them. Their SQL would be too slow; the tests
+compare with brute force."""
+
+from __future__ import annotations
+
+from ..operators import graph as G
+from .catalog import Views, query
+from .fixtures import edges_full
+
+
+@query()
+def pagerank_whole(v: Views):
+    return G.pagerank(edges_full(v))
+
+
+@query()
+def cycles_whole(v: Views):
+    return G.cycles(edges_full(v))
+
+
+@query()
+def connected_components_whole(v: Views):
+    return G.connected_components(edges_full(v))
+
+
+@query()
+def degrees_whole(v: Views):
+    return G.degrees(edges_full(v))
+
+
+@query()
+def dependency_pairs_whole(v: Views):
+    return G.dependency_pairs(edges_full(v))
