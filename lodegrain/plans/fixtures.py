@@ -55,6 +55,11 @@ def edges_full(v: Views) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def modules_full(v: Views) -> DataFrame:
+    """Every part as a module, named as in `edges_full`."""
+    return v.part.select(F.col("p_partkey").alias("module"), F.col("p_size").alias("functions"), (F.col("p_size") * 2).alias("symbols"), (F.col("p_size") * 40).alias("lines"))
+
+
 _TS = "CAST(floor(epoch({})) AS BIGINT)"
 COMMITS = f"""commits AS (SELECT o_orderkey AS commit_id, o_custkey AS author, {_TS.format('o_orderdate')} AS epoch,
   {MESSAGES}[o_orderkey % 10 + 1] AS message FROM orders)"""

@@ -1,11 +1,14 @@
-"""Queries over whole tables, where the query that SQL checks reads a part of them. Their SQL would be too slow; the tests
-compare with brute force."""
+"""Queries over whole tables, where the query that SQL checks reads a part of them. They have no SQL; the tests compare with
+brute force."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import graph as G
+from ..operators import telemetry as T
 from .catalog import Views, query
-from .fixtures import edges_full
+from .fixtures import edges_full, modules_full
 
 
 @query()
@@ -31,3 +34,59 @@ def degrees_whole(v: Views):
 @query()
 def dependency_pairs_whole(v: Views):
     return G.dependency_pairs(edges_full(v))
+
+
+@query()
+def coupling_whole(v: Views):
+    return G.coupling(modules_full(v), edges_full(v))
+
+
+@query()
+def graph_density_whole(v: Views):
+    return G.graph_density(modules_full(v), edges_full(v))
+
+
+@query()
+def density_anomaly_whole(v: Views):
+    return G.density_anomaly(G.graph_density(modules_full(v), edges_full(v)))
+
+
+@query()
+def god_objects_whole(v: Views):
+    return G.god_objects(G.coupling(modules_full(v), edges_full(v)).join(modules_full(v), "module"))
+
+
+@query()
+def assign_layers_whole(v: Views):
+    names = modules_full(v).select(F.col("module").cast("string").alias("module"))
+    layers = v.spark.createDataFrame([("7", "ui", 3), ("1*", "core", 1), ("11*", "domain", 2)], "pattern string, layer string, layer_rank int")
+    return G.assign_layers(names, layers).withColumn("module", F.col("module").cast("long"))
+
+
+@query()
+def layer_violations_whole(v: Views):
+    return G.layer_violations(edges_full(v), assign_layers_whole(v))
+
+
+@query()
+def lint_graph_whole(v: Views):
+    return G.lint_graph(cycles_whole(v), god_objects_whole(v), layer_violations_whole(v), density_anomaly_whole(v))
+
+
+@query()
+def architecture_report_whole(v: Views):
+    return G.architecture_report(coupling_whole(v), edges_full(v), graph_density_whole(v), lint_graph_whole(v))
+
+
+@query()
+def attribute_spans_whole(v: Views):
+    """Every part is a symbol of every path; the spans' lines lie over all of them."""
+    n = v.part.agg((F.max("p_partkey") + 1).alias("n"))
+    # one row
+    points = v.events.join(F.broadcast(n), F.lit(True))
+    points = points.select(F.col("event_id").alias("span_id"), F.col("event_type").alias("path"), (F.col("event_id") * 7 % (F.col("n") * 12 + 20)).cast("int").alias("line"))
+    names = v.part.select(F.col("p_partkey").cast("int").alias("ordinal"), F.col("p_name").alias("name"))
+    # the few types of events
+    symbols = names.join(F.broadcast(v.events.select(F.col("event_type").alias("path")).distinct()), F.lit(True))
+    symbols = symbols.withColumn("line_start", F.col("ordinal") * 12 + 1).withColumn("line_end", F.col("line_start") + F.col("ordinal") % 5 * 9)
+    return T.attribute_spans(points, symbols)

@@ -68,3 +68,46 @@ def test_cycles_components_and_degrees_whole(spark, data, graph):
     assert {r["node"]: r["cycle"] for r in QUERIES["cycles_whole"](spark, data).collect()} == rings and len(set(rings.values())) > 1
     assert {r["node"]: r["component"] for r in QUERIES["connected_components_whole"](spark, data).collect()} == {x: min(reached([x], both)) for x in both}
     assert {r["node"]: (r["in_degree"], r["out_degree"]) for r in QUERIES["degrees_whole"](spark, data).collect()} == {x: (len(back[x]), len(ahead[x])) for x in both}
+
+
+def layer(module: int) -> tuple[str, int] | None:
+    name = str(module)
+    return ("ui", 3) if name == "7" else ("domain", 2) if name.startswith("11") else ("core", 1) if name.startswith("1") else None
+
+
+def test_reports_over_every_module(spark, data, graph):
+    rows = {r[0]: r[1] for r in Views(spark, data).part.select("p_partkey", "p_size").collect()}
+    ce, ca, out, into = Counter(), Counter(), Counter(), Counter()
+    for (a, b), w in graph.items():
+        ce[a], ca[b], out[a], into[b] = ce[a] + 1, ca[b] + 1, out[a] + w, into[b] + w
+    got = {r["module"]: r for r in QUERIES["coupling_whole"](spark, data).collect()}
+    assert {m: (r["ce"], r["ca"], r["fan_out"], r["fan_in"], r["complexity"]) for m, r in got.items()} == {m: (ce[m], ca[m], out[m], into[m], s) for m, s in rows.items()}
+    gods = {m: "symbols" if s * 2 > 50 else "lines" for m, s in rows.items() if s * 2 > 50 or (s * 40 > 1000 and into[m] >= 5)}
+    assert {r["module"]: r["reason"] for r in QUERIES["god_objects_whole"](spark, data).collect()} == gods and gods
+    layers = {m: layer(m) for m in rows if layer(m)}
+    assert {r["module"]: (r["layer"], r["layer_rank"]) for r in QUERIES["assign_layers_whole"](spark, data).collect()} == layers
+    wrong = {(a, b) for a, b in graph if a in layers and b in layers and layers[a][1] < layers[b][1]}
+    assert {(r["src"], r["dst"]) for r in QUERIES["layer_violations_whole"](spark, data).collect()} == wrong and wrong
+    density = len(graph) / (len(rows) * (len(rows) - 1))
+    row = QUERIES["graph_density_whole"](spark, data).first()
+    assert (row["modules"], row["edges"]) == (len(rows), len(graph)) and row["density"] == pytest.approx(density)
+    odd = QUERIES["density_anomaly_whole"](spark, data).count()
+    assert odd == (density > 0.5 or density < 0.02)
+    rings = {r["cycle"] for r in QUERIES["cycles_whole"](spark, data).collect()}
+    found = Counter(r["rule"] for r in QUERIES["lint_graph_whole"](spark, data).collect())
+    assert found == +Counter(cycle=len(rings), god_object=len(gods), layer=len(wrong), density=odd)
+    report = QUERIES["architecture_report_whole"](spark, data).first()
+    assert (report["coupling"], report["errors"], report["warnings"]) == (max(graph.values()), len(rings) + len(wrong), len(gods) + odd)
+    assert report["complexity"] == pytest.approx(sum(rows.values()) / len(rows))
+
+
+def test_spans_meet_symbols_of_every_part(spark, data):
+    v = Views(spark, data)
+    names = dict(v.part.select("p_partkey", "p_name").collect())
+    n = max(names) + 1
+    want = {}
+    for span, path in v.events.select("event_id", "event_type").collect():
+        line = span * 7 % (n * 12 + 20)
+        want[span] = (path, line, next((names[o] for o in range(max(line // 12 - 5, 0), min(line // 12 + 1, n)) if o in names and o * 12 + 1 <= line <= o * 12 + 1 + o % 5 * 9), None))
+    got = {r["span_id"]: (r["path"], r["line"], r["symbol"]) for r in QUERIES["attribute_spans_whole"](spark, data).select("span_id", "path", "line", "symbol").collect()}
+    assert got == want and max(line for _, line, name in want.values() if name) > 40 * 12 + 40
