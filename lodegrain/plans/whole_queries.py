@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as E
 from ..operators import graph as G
+from ..operators import retrieval as R
 from ..operators import telemetry as T
+from ..operators.topk import dedupe_best, min_max_normalise, top_k_per
 from .catalog import Views, query
 from .fixtures import edges_full, modules_full
 
@@ -90,3 +93,55 @@ def attribute_spans_whole(v: Views):
     symbols = names.join(F.broadcast(v.events.select(F.col("event_type").alias("path")).distinct()), F.lit(True))
     symbols = symbols.withColumn("line_start", F.col("ordinal") * 12 + 1).withColumn("line_end", F.col("line_start") + F.col("ordinal") % 5 * 9)
     return T.attribute_spans(points, symbols)
+
+
+def all_terms(v: Views):
+    """All distinct words of each benchmark item."""
+    return v.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.prose_tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
+
+
+@query()
+def bm25_whole(v: Views):
+    return R.bm25(all_terms(v), R.build_postings(v.documents))
+
+
+@query()
+def prefix_match_whole(v: Views):
+    return R.prefix_match(all_terms(v), R.build_postings(v.documents))
+
+
+@query()
+def fuzzy_match_whole(v: Views):
+    return R.fuzzy_match(all_terms(v), R.build_postings(v.documents))
+
+
+@query()
+def fuse_ranked_whole(v: Views):
+    """Like fuse_ranked, the second list is in the order of doc_id: no vector result."""
+    every = R.bm25(all_terms(v), R.build_postings(v.documents), None)
+    other = top_k_per(every.drop("rank"), ["query_id"], [F.col("doc_id")], 10, "rank")
+    return R.rrf(every.where("rank <= 10"), other)
+
+
+@query()
+def min_max_whole(v: Views):
+    return min_max_normalise(bm25_whole(v), ["query_id"]).select("query_id", "doc_id", "norm")
+
+
+@query()
+def dedupe_hits_whole(v: Views):
+    hits = bm25_whole(v).join(v.documents.select("doc_id", "source"), "doc_id")
+    return dedupe_best(hits, ["query_id", "source"], ties=("doc_id",)).select("query_id", "source", "doc_id")
+
+
+@query()
+def quality_rerank_whole(v: Views):
+    hits = bm25_whole(v).drop("rank").join(v.labels, "doc_id", "left").fillna(0, ["quality"])
+    return R.quality_rerank(hits, None).select("query_id", "doc_id", "score")
+
+
+@query()
+def retrieval_metrics_whole(v: Views):
+    queries = v.benchmark.select(F.col("item_id").alias("query_id")).distinct()
+    judged = v.labels.where("quality = 1").join(queries, (F.col("doc_id") + F.col("query_id")) % 7 == 0).select("query_id", "doc_id")
+    return E.retrieval_metrics(bm25_whole(v), judged, 10)

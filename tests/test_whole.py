@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -111,3 +113,51 @@ def test_spans_meet_symbols_of_every_part(spark, data):
         want[span] = (path, line, next((names[o] for o in range(max(line // 12 - 5, 0), min(line // 12 + 1, n)) if o in names and o * 12 + 1 <= line <= o * 12 + 1 + o % 5 * 9), None))
     got = {r["span_id"]: (r["path"], r["line"], r["symbol"]) for r in QUERIES["attribute_spans_whole"](spark, data).select("span_id", "path", "line", "symbol").collect()}
     assert got == want and max(line for _, line, name in want.values() if name) > 40 * 12 + 40
+
+
+def words(text: str) -> list[str]:
+    return [re.sub("(ing|ed|ies|es|s)$", "", w) if len(w) > 4 else w for w in re.findall("[a-z0-9]+", (text or "").lower())]
+
+
+@pytest.fixture(scope="module")
+def passages(tmp_path_factory, spark):
+    """Documents that only the words after the fifth of a passage find, and terms of three and four characters."""
+    at = str(tmp_path_factory.mktemp("passages"))
+    docs = [(0, "zebra zebra lions", "a"), (1, "one two three", "a"), (2, "catalog birds one", "b"), (3, "nothing here", "b"), (4, "zebras", "c"), (5, None, "c")]
+    items = [(0, "one two three four five six zebra"), (1, "alpha beta gamma delta epsilon zeta cat bird"), (2, "")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 1.0), (7, 1.0)], "doc_id long, quality double").write.parquet(f"{at}/labels.parquet")
+    return at, {d: Counter(words(t)) for d, t, _ in docs if t}, {q: set(words(t)) for q, t in items}
+
+
+def test_whole_passages_are_searched(spark, passages):
+    at, docs, items = passages
+    average = sum(sum(d.values()) for d in docs.values()) / len(docs)
+    want = {}
+    for q, terms in items.items():
+        for d, tf in docs.items():
+            score = 0.0
+            for t in terms & set(tf):
+                df = sum(t in x for x in docs.values())
+                score += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * sum(tf.values()) / average))
+            if score:
+                want[q, d] = score
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25_whole"](spark, at).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and {(0, 0), (0, 4), (1, 2)} <= set(got)
+    prefixes = {(q, t, m, d) for q, terms in items.items() for t in terms if 3 <= len(t) <= 12 for d, tf in docs.items() for m in tf if m.startswith(t)}
+    assert {tuple(r) for r in QUERIES["prefix_match_whole"](spark, at).select("query_id", "term", "matched", "doc_id").collect()} == prefixes
+    assert {(1, "cat", "catalog", 2), (1, "bird", "bird", 2)} <= prefixes
+    near = {(r["query_id"], r["doc_id"]) for name in ("fuse_ranked_whole", "min_max_whole", "quality_rerank_whole") for r in QUERIES[name](spark, at).collect()}
+    assert near == set(want)
+    assert {(r["query_id"], r["source"]) for r in QUERIES["dedupe_hits_whole"](spark, at).collect()} == {(0, "a"), (0, "b"), (0, "c"), (1, "b")}
+    metrics = {r["query_id"]: r for r in QUERIES["retrieval_metrics_whole"](spark, at).collect()}
+    place = sorted((-score, d) for (q, d), score in want.items() if q == 0).index((-want[0, 0], 0)) + 1
+    assert metrics[0]["mrr"] == pytest.approx(1 / place) and metrics[0]["r_at_k"] == 0.5
+
+
+def test_fuzzy_terms_after_the_fifth(spark, passages, tmp_path):
+    spark.createDataFrame([(0, "zebta brid")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{passages[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in QUERIES["fuzzy_match_whole"](spark, str(tmp_path)).select("query_id", "term", "matched").collect()}
+    assert got == {(0, "zebra", "zebta"), (1, "zeta", "zebta"), (1, "bird", "brid")}
