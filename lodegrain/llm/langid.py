@@ -91,6 +91,11 @@ def declared_markup(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?i)<html[^>]{0,500}?\slang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit(""))
 
 
+def visible_text(html: Column) -> Column:
+    """The text of a page: no scripts, styles, comments or tags."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+
+
 def priors(rows: DataFrame, languages: list[str], strength: float, most_values: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Log evidence per host, markup value and suffix, as arrays over the languages; rows have best, the text's choice."""
     n = len(languages)
@@ -136,15 +141,16 @@ def fused(rows: DataFrame, languages: list[str], tables: tuple[DataFrame, DataFr
 
 class LanguageModel:
     """A classifier and the tables of evidence, learned from one table of rows: `address` is the column with a URL or
-    host, `markup` the one whose html element is looked at (by default the text)."""
+    host, `markup` the one whose html element is looked at (by default the text). The classifier is fitted on `labelled`
+    (by default the table itself); the tables of evidence are always learned from the rows that are judged."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", label: str = "lang", address: str | None = "source", markup: str | None = None,
+    def __init__(self, docs: DataFrame, text: str = "text", label: str = "lang", address: str | None = "source", markup: str | None = None, labelled: DataFrame | None = None,
                  sample_rows: int = 4000, most_languages: int = 32, evidence_cap: int = 60, strength: float = 20.0,
                  least_confidence: float = 0.5, most_values: int = 10_000, seed: int = 42) -> None:
         shipped(docs.sparkSession)
         self.text, self.address, self.cap, self.least = text, address, evidence_cap, least_confidence
         self.markup = markup or text
-        self.languages, self.model = fitted(docs, text, label, sample_rows, most_languages, seed)
+        self.languages, self.model = fitted(docs if labelled is None else labelled, text, label, sample_rows, most_languages, seed)
         self.rows = saved(self.with_evidence(docs.select(F.col("doc_id"), F.struct("*").alias("row"))).drop("row"), "evidence")
         self.tables = priors(self.rows, self.languages, strength, most_values)
 

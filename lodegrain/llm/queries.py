@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .chat import chat_windows, read_back
 from .exact_dedup import exact_duplicates
 from .flac import media_summary
-from .langid import LanguageModel
+from .langid import LanguageModel, visible_text
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import cut_pieces, pack
@@ -50,6 +50,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LanguageModel(table(spark, sf_dir, "documents")).judged().select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "kept")
 
 
+def op6_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), visible_text(F.col("html")).alias("text"), "url", "html")
+    model = LanguageModel(pages, address="url", markup="html", labelled=table(spark, sf_dir, "documents"))
+    return model.judged().select(F.col("doc_id").alias("page_id"), "language", F.round("confidence", 6).alias("confidence"), "kept", "host", "markup", "suffix")
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
@@ -69,7 +75,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(write_token_records(table(spark, sf_dir, "documents"), path, "dropped", end_id=1), with_ids=False)
 
 
-QUERIES = {q.__name__: q for q in (op1_warc_archives, op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op5_flac_media, op6_language_id, op7_chat_windows, op8_minhash_near_dedup, op9_exact_dedup, op10_token_records)}
+QUERIES = {q.__name__: q for q in (op1_warc_archives, op2_mix_sources, op3_pack_documents, op4_interleaved_shards, op5_flac_media, op6_language_id, op6_language_id_pages, op7_chat_windows, op8_minhash_near_dedup, op9_exact_dedup, op10_token_records)}
 
 ORACLES = {
     "op9_exact_dedup": r"""

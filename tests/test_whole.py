@@ -161,3 +161,18 @@ def test_fuzzy_terms_after_the_fifth(spark, passages, tmp_path):
     spark.read.parquet(f"{passages[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {tuple(r) for r in QUERIES["fuzzy_match_whole"](spark, str(tmp_path)).select("query_id", "term", "matched").collect()}
     assert got == {(0, "zebra", "zebta"), (1, "zeta", "zebta"), (1, "bird", "brid")}
+
+
+def test_pages_are_judged_by_text_markup_suffix_and_host(spark, tmp_path):
+    from lodegrain.llm.queries import QUERIES as LLM
+
+    langs = {"en": "the of and that with", "fr": "les des que dans pour", "de": "der die und das ist"}
+    docs = [(i, " ".join(langs[x].split()[j % 5] for j in range(i, i + 30)), x) for i, x in enumerate(list(langs) * 40)]
+    page = lambda x, body: f'<!DOCTYPE html><html lang="{x}"><style>p{{}}</style><script>var the = "and that"</script><p>{body}</p></html>'
+    pages = [(i, f"http://www.{x}-site{i % 5}.example.{x}/p", page(x, t)) for i, t, x in docs] + [(900, "http://www.fr-site1.example.fr/q", page("fr", "ok")), (901, None, None), (902, "http://x.org", "<p>1 2</p>")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in LLM["op6_language_id_pages"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and all(got[i]["language"] == got[i]["markup"] == got[i]["suffix"] == x for i, _, x in docs)
+    assert got[900]["language"] == "fr" and got[900]["kept"] and got[900]["host"] == "www.fr-site1.example.fr"
+    assert got[901]["language"] == got[902]["language"] == "und" and not got[901]["kept"]
