@@ -38,8 +38,9 @@ def trigrams(text: str) -> np.ndarray:
     return ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(16)
 
 
-def fitted(docs: DataFrame, text: str, label: str, sample_rows: int, most_languages: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (bucket, language), from the `sample_rows` labelled rows of least seeded hash."""
+def fitted(docs: DataFrame, text: str, label: str, sample_rows: int, seed: int) -> tuple[list[str], np.ndarray]:
+    """Languages and log probabilities (bucket, language), from the `sample_rows` labelled rows of least seeded hash: every
+    language of the sample, which bounds them; each takes 256 KB."""
     h = seeded_hash(seed, "doc_id")
     least = docs.where(F.col(label).isNotNull()).select(h.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if least is None:
@@ -54,7 +55,7 @@ def fitted(docs: DataFrame, text: str, label: str, sample_rows: int, most_langua
     # the sample is bounded, and so is each group of it
     sample = docs.where(F.col(label).isNotNull() & (h <= F.lit(least))).select(F.col(label).cast("string").alias("label"), text_or_empty(text).alias("text"))
     found = sample.groupBy("label").applyInPandas(count, "label string, n long, counts binary")
-    found = sorted(found.orderBy(F.desc("n"), "label").limit(most_languages).collect(), key=lambda r: r["label"])
+    found = sorted(found.collect(), key=lambda r: r["label"])
     counts = np.stack([np.frombuffer(r["counts"], "<f4") for r in found], axis=1).astype(float) + 0.1
     return [r["label"] for r in found], np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
@@ -96,7 +97,7 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
 
 
-def priors(rows: DataFrame, languages: list[str], strength: float, most_values: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def priors(rows: DataFrame, languages: list[str], strength: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Log evidence per host, markup value and suffix, as arrays over the languages; rows have best, the text's choice."""
     n = len(languages)
     per = lambda key: rows.where(F.col("best").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
@@ -113,19 +114,21 @@ def priors(rows: DataFrame, languages: list[str], strength: float, most_values:
     hosts = hosts.select("host", log(smooth(F.col("counts"), F.col("onto"))).alias("by_host"))
 
     def given(key: str) -> DataFrame:
-        # P(value | language), up to a factor that all languages share; the most frequent values, so that the table is bounded
-        values = per(key).orderBy(F.desc(F.aggregate("counts", F.lit(0.0), lambda t, x: t + x)), key).limit(most_values)
+        # P(value | language), up to a factor that all languages share
         share = F.transform("counts", lambda c, i: F.log((c + F.lit(0.5)) / F.get(F.array(*[F.lit(float(x + 1)) for x in whole]).cast("array<double>"), i)))
-        return values.select(key, share.alias(f"by_{key}"))
+        return per(key).select(key, share.alias(f"by_{key}"))
 
     return saved(hosts, "hosts"), saved(given("markup"), "markup"), saved(given("suffix"), "suffix")
 
 
-def fused(rows: DataFrame, languages: list[str], tables: tuple[DataFrame, DataFrame, DataFrame], least_confidence: float) -> DataFrame:
-    """Add language, confidence and kept to rows with ll, host, markup and suffix."""
-    hosts, markup, suffix = tables
-    # at most `most_values` rows of a few numbers each
-    rows = rows.join(hosts, "host", "left").join(F.broadcast(markup), "markup", "left").join(F.broadcast(suffix), "suffix", "left")
+def fused(rows: DataFrame, languages: list[str], tables: tuple[DataFrame, DataFrame, DataFrame], least_confidence: float, most_broadcast: int) -> DataFrame:
+    """Add language, confidence and kept to rows with ll, host, markup and suffix. Tables of markup and suffixes of up to
+    `most_broadcast` numbers are broadcast, by their count; larger ones are shuffled."""
+    hosts, *values = tables
+    rows = rows.join(hosts, "host", "left")
+    for key, table in zip(("markup", "suffix"), values, strict=True):
+        small = table.count() * max(len(languages), 1) <= most_broadcast
+        rows = rows.join(F.broadcast(table) if small else table, key, "left")
     none = F.array_repeat(F.lit(0.0), len(languages))
     score = F.col("ll")
     for by in ("by_host", "by_markup", "by_suffix"):
@@ -145,14 +148,15 @@ class LanguageModel:
     (by default the table itself); the tables of evidence are always learned from the rows that are judged."""
 
     def __init__(self, docs: DataFrame, text: str = "text", label: str = "lang", address: str | None = "source", markup: str | None = None, labelled: DataFrame | None = None,
-                 sample_rows: int = 4000, most_languages: int = 32, evidence_cap: int = 60, strength: float = 20.0,
-                 least_confidence: float = 0.5, most_values: int = 10_000, seed: int = 42) -> None:
+                 sample_rows: int = 4000, evidence_cap: int = 60, strength: float = 20.0,
+                 least_confidence: float = 0.5, most_broadcast: int = 320_000, seed: int = 42) -> None:
         shipped(docs.sparkSession)
         self.text, self.address, self.cap, self.least = text, address, evidence_cap, least_confidence
+        self.most_broadcast = most_broadcast
         self.markup = markup or text
-        self.languages, self.model = fitted(docs if labelled is None else labelled, text, label, sample_rows, most_languages, seed)
+        self.languages, self.model = fitted(docs if labelled is None else labelled, text, label, sample_rows, seed)
         self.rows = saved(self.with_evidence(docs.select(F.col("doc_id"), F.struct("*").alias("row"))).drop("row"), "evidence")
-        self.tables = priors(self.rows, self.languages, strength, most_values)
+        self.tables = priors(self.rows, self.languages, strength)
 
     def with_evidence(self, rows: DataFrame) -> DataFrame:
         """rows have a struct `row` with the columns of the table."""
@@ -165,9 +169,9 @@ class LanguageModel:
 
     def judged(self) -> DataFrame:
         """One row per document, no text: doc_id, language, confidence, kept, host, markup, suffix."""
-        return fused(self.rows, self.languages, self.tables, self.least).drop("domain")
+        return fused(self.rows, self.languages, self.tables, self.least, self.most_broadcast).drop("domain")
 
     def in_known_language(self, docs: DataFrame) -> DataFrame:
         """The rows that are not rejected, all columns."""
         rows = self.with_evidence(docs.select(F.col("doc_id"), F.struct("*").alias("row")))
-        return fused(rows, self.languages, self.tables, self.least).where("kept").select("row.*")
+        return fused(rows, self.languages, self.tables, self.least, self.most_broadcast).where("kept").select("row.*")

@@ -176,3 +176,19 @@ def test_pages_are_judged_by_text_markup_suffix_and_host(spark, tmp_path):
     assert len(got) == len(pages) and all(got[i]["language"] == got[i]["markup"] == got[i]["suffix"] == x for i, _, x in docs)
     assert got[900]["language"] == "fr" and got[900]["kept"] and got[900]["host"] == "www.fr-site1.example.fr"
     assert got[901]["language"] == got[902]["language"] == "und" and not got[901]["kept"]
+
+
+def test_no_language_or_value_is_left_out(spark):
+    from lodegrain.llm.langid import LanguageModel
+
+    # 40 languages, and 10,100 suffixes of which each is met once; the last language is the rarest
+    names = [f"l{i:02}" for i in range(40)]
+    rows = [(i, " ".join(f"{x}{x[::-1]}{j}" for j in range(8)), x, f"www.a.s{i}") for i, x in enumerate([n for n in names for _ in range(3 if n == "l39" else 4)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    many = docs.unionByName(spark.range(10_100).selectExpr("id + 1000 doc_id", f"'{rows[0][1]}' text", "cast(null as string) lang", "'www.b.t' || id source"))
+    for most in (320_000, 0):
+        model = LanguageModel(many, most_broadcast=most)
+        got = {r["doc_id"]: r for r in model.judged().collect()}
+        assert model.languages == names and len(got) == len(rows) + 10_100
+        assert all(got[i]["language"] == x for i, _, x, _ in rows)
+        assert model.tables[2].count() == len(rows) + 10_100
