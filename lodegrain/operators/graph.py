@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.snapshots import saved
+from ..sources.snapshots import replaced, saved
 
 
 def pagerank(edges: DataFrame, d: float = 0.85, max_iter: int = 100, tol: float = 1e-6, nodes: DataFrame | None = None) -> DataFrame:
@@ -24,13 +24,15 @@ def pagerank(edges: DataFrame, d: float = 0.85, max_iter: int = 100, tol: float
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    ranks, last = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for _ in range(max_iter):
         sums = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         new = ranks.withColumnRenamed("rank", "old").join(sums, F.col("node") == F.col("dst"), "left")
         new = saved(new.select("node", "old", (F.lit((1 - d) / n) + d * F.coalesce("got", F.lit(0.0))).alias("rank")), "ranks")
         moved = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = new.select("node", "rank")
+        replaced(last)
+        last = new
         if moved < tol:
             break
     top = ranks.agg(F.max("rank")).first()[0]
@@ -55,7 +57,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = saved(small.distinct(), "links")
+        old, links = links, saved(small.distinct(), "links")
+        replaced(old)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break
@@ -77,8 +80,9 @@ def cycles(edges: DataFrame) -> DataFrame:
         while True:
             inner = rest.select("src").intersect(rest.select("dst"))
             kept = rest.join(inner, "src", "left_semi").join(inner.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
-            kept, before = saved(kept, "kept"), rest.count()
+            kept, before, old = saved(kept, "kept"), rest.count(), rest
             rest = kept
+            replaced(old)
             if rest.count() == before:
                 break
         if rest.isEmpty():
@@ -103,14 +107,15 @@ def _spread(edges: DataFrame, a: str, b: str, start: DataFrame | None = None) ->
         labels = edges.select(F.col(a).alias("node")).union(edges.select(b)).distinct().withColumn("label", F.col("node"))
     else:
         labels = start.withColumn("label", F.when(F.col("label") == F.col("node"), F.col("label")))
-    labels = saved(labels, "labels")
+    labels = last = saved(labels, "labels")
     while True:
         came = edges.join(labels, edges[a] == labels["node"]).groupBy(F.col(b).alias("node")).agg(F.min("label").alias("other"))
         new = labels.join(came, "node", "left").withColumn("new", F.least("label", "other"))
         new = saved(new, "labels")
-        changed = new.where(~F.col("label").eqNullSafe(F.col("new"))).isEmpty()
-        labels = new.select("node", F.col("new").alias("label"))
-        if changed:
+        settled = new.where(~F.col("label").eqNullSafe(F.col("new"))).isEmpty()
+        replaced(last)
+        labels, last = new.select("node", F.col("new").alias("label")), new
+        if settled:
             return labels
 
 
