@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -15,28 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.snapshots import replaced, saved, shared_path
+
+__all__ = ["SPACES", "WORD", "arrow_batches", "placed", "replaced", "saved", "seeded_hash", "shared_path", "shipped", "small_batches",
+           "text_or_empty", "text_key", "without_spaces", "word_count"]
+
 #: The six ASCII white-space characters, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default for local runs is set only where none is given."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
 def shipped(spark: SparkSession) -> SparkSession:
     """Send this package to the executors' Python once a session, so that tasks can import it on any cluster."""
     context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
@@ -50,11 +38,19 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and a lost executor costs one re-read."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Inside, tables that are saved hand Python batches of about this size instead of 10,000 rows of any length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -72,6 +68,11 @@ def text_or_empty(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_key(column: Column | str) -> Column:
+    """128 bits that stand for a text in joins; a null counts as empty."""
+    return F.md5(text_or_empty(column).cast("binary"))
+
+
 def without_spaces(column: Column) -> Column:
     for character in SPACES:
         column = F.replace(column, F.lit(character), F.lit(""))

@@ -4,15 +4,17 @@ A document's set is its distinct shingles of `words` words as 64-bit hashes. One
 hash of a bin is its value, and an empty bin takes the value of the first filled bin in an order of its own that all
 documents share. Bands of bins are bucket keys. Documents with one and the same set meet first and go on as one.
 
-Inside a bucket, candidates are stars: centres against the members. A first star joins each node to the centre it shares
-most buckets with, which is all that most groups of copies need. Where a bucket's members do not hang together after that,
-those outside its largest part are centres in turn, eight times as many a round, until all have been one: every pair of
-different parts that shares a bucket is then a candidate exactly once, and pairs inside a part, which decide nothing, never
-are. The join that makes candidates tests set sizes and signatures itself, so only plausible pairs leave it; these are
-confirmed on the full sets.
+Candidates are stars. A bucket's centre is the member that shares the most buckets with others, which is the least edited
+text of a group of copies, so the buckets of a group mostly have one centre: every member is compared with the centres of
+its buckets, at most one a band, on full sets. That links most groups.
 
-Links are joined into components by alternating the least neighbour of large and small stars; every round is a saved
-table. No pair list, component or set passes the driver.
+Members of a star outside its largest part may still be similar to another member and not to the centre. The comparison
+with the centre leaves a sketch of what a member lacks of the centre and what it has beside it: counts, and 512 bits each of
+hashed places. Two sketches of one star bound the members' intersection from above, with no chance of error, so a pair
+leaves the join only where the bound allows the similarity; texts of a large group that are alike but below the limit are
+told apart there, and are never pairs. What passes is compared on full sets. Each step is one pass.
+
+Links become components by alternating stars (operators.graph). No pair list, component or set passes the driver.
 
 Defined cases: null text and text without words have an empty set and link with nothing; fewer words than a shingle
 make one shingle of the whole; a null doc_id counts only where a
@@ -29,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import saved, shipped, small_batches, text_or_empty
+from ..operators.graph import connected_components
+from .common import arrow_batches, replaced, saved, shipped, small_batches, text_key, text_or_empty
 
 BINS, BAND_BINS = 128, 4
+#: Bits of each of the two parts of a sketch.
+SKETCH_BITS = 512
 
 
 @lru_cache(maxsize=1)
@@ -117,165 +121,192 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return values
 
 
+def node_of(found: np.ndarray) -> int | None:
+    """A 63-bit hash of the set: equal sets are one node."""
+    return int(stirred(found ^ np.uint64(len(found))).sum() >> np.uint64(1)) if len(found) else None
+
+
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, th (a key of the text) and text: doc_id and th name a row, but for rows that are repeated whole."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("th"), text_or_empty(text).alias("text"))
+
+
 def signed(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set, null if it is empty) and bins (a byte of each bin's value, eight to a
-    number)."""
+    """doc_id, th, n_shingles, node (a hash of the set, null if it is empty) and bins (a byte of each bin's value, eight to
+    a number), saved."""
     shipped(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             sizes, nodes, bins = [], [], []
             for found in shingle_sets(batch["text"], words):
                 sizes.append(len(found))
                 nodes.append(node_of(found))
                 bins.append(stirred(signature(found) * tables()[3]).astype(np.uint8).view("<i8") if len(found) else None)
-            columns = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "bins"])
+            columns = [batch["doc_id"], batch["th"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n_shingles", "node", "bins"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node long, bins array<long>")
+    with arrow_batches(docs.sparkSession):
+        return saved(keyed(docs, text).mapInArrow(sign, "doc_id long, th string, n_shingles long, node long, bins array<long>"), "signed")
 
 
-def node_of(found: np.ndarray) -> int | None:
-    """A 63-bit hash of the set: equal sets are one node."""
-    return int(stirred(found ^ np.uint64(len(found))).sum() >> np.uint64(1)) if len(found) else None
+def few(df: DataFrame, most_broadcast: int) -> DataFrame:
+    """A saved table, marked for broadcast if it has at most `most_broadcast` rows; beyond that Spark shuffles."""
+    return F.broadcast(df) if df.count() <= most_broadcast else df
 
 
-def full_sets(docs: DataFrame, involved: DataFrame, text: str, words: int, most_broadcast: int = 1_000_000) -> DataFrame:
-    """(node, set) of the involved nodes, from the text of one document of each: a second reading instead of a saved
-    table of all sets, which would be larger than the corpus."""
-    ids = involved.select(F.col("doc_id").alias("id"), "node")
-    few = ids.count() <= most_broadcast  # 16 bytes each
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+def full_sets(docs: DataFrame, involved: DataFrame, text: str, words: int, most_broadcast: int, repeats: bool) -> DataFrame:
+    """(node, set) of the involved nodes (node, doc_id, th), from the text of one document of each, saved: a second reading
+    instead of a table of all sets, which would be larger than the corpus. repeats: some rows occur more than once."""
+    ids = few(involved.select(F.col("doc_id").alias("id"), F.col("th").alias("of"), "node"), most_broadcast)
+    rows = keyed(docs, text).join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("of"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            # a doc_id that occurs twice brings another text too: only the node's own set counts
-            found = [(n, s.view(np.int64)) for n, s in zip(batch["node"].to_pylist(), shingle_sets(batch["text"], words)) if node_of(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))],
-                                             names=["node", "set"])
-
-    return rows.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"])
-
-
-def plausible(similarity: float) -> Column:
-    """Whether rows with na, nb, binsa, binsb may reach the similarity: their sizes allow it, and so do their bins.
-
-    Unequal bins differ in half of their bits, so 1 - 2 * (share of unequal bits) estimates the similarity; its deviation
-    is at most 0.48 over the root of the bins that are not borrowed. Pairs 5.5 deviations below are left out."""
-    size = F.least("na", "nb")
-    unequal = sum((F.bit_count(F.col("binsa")[i].bitwiseXOR(F.col("binsb")[i])) for i in range(1, BINS // 8)), F.bit_count(F.col("binsa")[0].bitwiseXOR(F.col("binsb")[0])))
-    floor = F.lit(similarity) - 2.64 / F.sqrt(F.least(size, F.lit(BINS)).cast("double"))
-    return (size >= F.lit(similarity) * F.greatest("na", "nb")) & (1 - unequal / F.lit(4.0 * BINS) >= floor)
-
+        for batch in small_batches(batches, "text", 1 << 20):
+            found = [x.view(np.int64) for x in shingle_sets(batch["text"], words)]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
 
-def band_value(bins: str, band: int) -> Column:
-    """The bins of a band, as the half of a number that holds them."""
-    return F.shiftrightunsigned(F.col(bins)[band // 2], 32 * (band % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    out = rows.mapInArrow(sets, "node long, set array<long>")
+    with arrow_batches(docs.sparkSession):
+        return saved(out.dropDuplicates(["node"]) if repeats else out, "sets")
 
 
-def in_no_earlier_band() -> Column:
-    """A pair that shares several buckets is taken from the first one only."""
-    earlier = F.lit(False)
-    for j in range(BINS // BAND_BINS):
-        earlier = earlier | ((F.col("band") > j) & (band_value("binsa", j) == band_value("binsb", j)))
-    return ~earlier
+def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many hashes fell on a taken bit, and the bits."""
+    bits = np.zeros(SKETCH_BITS, bool)
+    bits[(hashes >> np.uint64(20)) & np.uint64(SKETCH_BITS - 1)] = True
+    return len(hashes) - int(bits.sum()), np.packbits(bits).view("<i8")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes on their full sets, saved: a, b, na, nb, both (size of the intersection), linked (100 * both
+    >= percent * union), and the sketch of b against a: lacks_more, lacks, has_more, has."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = F.size(F.array_intersect("seta", "setb"))
-    return rows.where(100 * both >= percent * (F.size("seta") + F.size("setb") - both)).select("a", "b")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes in links (a, b): comp is the least node reachable. Large and small stars alternate
-    until nothing changes."""
-    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = saved(small.distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
-def shared(df: DataFrame, most: int) -> DataFrame:
-    """A saved table, marked for broadcast if it has at most `most` rows; beyond that Spark shuffles."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: int, most_broadcast: int = 100_000) -> DataFrame:
-    """Links (a, b) between nodes that join every pair of similar nodes directly or by way of others."""
-    each = F.array(*[F.xxhash64(F.lit(j), band_value("bins", j)) for j in range(BINS // BAND_BINS)])
-    bands = nodes.select("node", F.posexplode(each).alias("band", "key"))
-    keys = saved(bands.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other")
-                 .select("key", "centre"), "keys")
-    stars = saved(bands.join(shared(keys, 10 * most_broadcast), "key"), "stars")
-    nodes = saved(nodes.join(stars.select("node").distinct(), "node", "left_semi"), "involved")
-    sets = saved(full_sets(docs, nodes, text, words), "sets")
-    members = saved(stars.drop("centre").join(nodes.select("node", F.col("n_shingles").alias("na"), F.col("bins").alias("binsa")), "node"), "members")
-
-    # one star first: each node with the centre it shares most buckets with
-    often = stars.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
-    best = often.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("a")).select("a", F.col("node").alias("b"))
-    tested = saved(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
-    links, width = saved(confirmed(tested, sets, percent), "links"), 8
-    while True:
-        labels = shared(saved(components(links), "labels"), 10 * most_broadcast)
-        placed = members.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        apart = saved(parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("parts")).where("parts > 1"), "apart")
-        if apart.isEmpty():
-            return links
-        # the members outside a bucket's largest part are its centres, `width` of them in this round
-        rest = placed.join(shared(apart.withColumnRenamed("key", "k"), most_broadcast), (F.col("key") == F.col("k")) & (F.col("comp") != F.col("largest")))
-        rest = rest.select("key", "node", "comp", F.row_number().over(Window.partitionBy("key").orderBy("comp", "node")).alias("turn"))
-        centres = rest.select(F.col("key").alias("k"), F.col("node").alias("centre"), F.col("comp").alias("its"), "turn").where(F.col("turn") <= width + 1)
-        centres = centres.join(nodes.select(F.col("node").alias("centre"), F.col("n_shingles").alias("nb"), F.col("bins").alias("binsb")), "centre")
-        centres = saved(centres, "centres")
-        more = not centres.where(F.col("turn") > width).isEmpty()
-        now = shared(centres.where(F.col("turn") <= width).drop("turn"), most_broadcast)
-        comp = F.coalesce("comp", "node")
-        here = (F.col("key") == F.col("k")) & (comp != F.col("its")) & plausible(percent / 100) & in_no_earlier_band()
-        pairs = members.join(labels, "node", "left").join(now, here)
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        fresh = saved(pairs.join(tested, ["a", "b"], "left_anti"), "fresh")
-        links = saved(links.union(confirmed(fresh, sets, percent)), "links")
-        if not more:
-            return links
-        tested, width = tested.union(fresh), 8 * width
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept."""
-    rows = saved(signed(docs, text, words), "signed")
+    # the pairs of one centre may be many: nothing but its set and theirs meets there, a pair at a time
+    rows = pairs.join(side("b"), "b").join(side("a").join(pairs.select("a").distinct(), "a", "left_semi"), "a")
+    kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "both": pa.int64(), "linked": pa.bool_(), "lacks_more": pa.int64(),
+             "lacks": pa.list_(pa.int64()), "has_more": pa.int64(), "has": pa.list_(pa.int64())}
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*(batch[c] for c in ("a", "b", "seta", "setb"))):
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+                inside = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                common = x[inside] == y
+                lacking = np.ones(len(x), bool)
+                lacking[inside[common]] = False
+                both = int(common.sum())
+                linked = 100 * both >= percent * (len(x) + len(y) - both)
+                out.append((a.as_py(), b.as_py(), len(x), len(y), both, linked, *sketch(x[lacking]), *sketch(y[~common])))
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds.values())), names=list(kinds))
+
+    schema = "a long, b long, na long, nb long, both long, linked boolean, lacks_more long, lacks array<long>, has_more long, has array<long>"
+    with arrow_batches(pairs.sparkSession):
+        return saved(rows.select("a", "b", "seta", "setb").mapInArrow(compare, schema), "compared")
+
+
+def most_in_both() -> Column:
+    """No less than the size of the intersection of two members l and r of one star.
+
+    Of the centre's shingles both have those that neither lacks; what both lack, and what both have beside the centre's,
+    lies on bits that both sketches have set, one shingle a bit and those that fell on a taken bit."""
+    shared = lambda part: sum((F.bit_count(F.col(f"l.{part}")[i].bitwiseAND(F.col(f"r.{part}")[i])) for i in range(1, SKETCH_BITS // 64)),
+                              F.bit_count(F.col(f"l.{part}")[0].bitwiseAND(F.col(f"r.{part}")[0]))) + F.least(f"l.{part}_more", f"r.{part}_more")
+    return F.col("l.both") + F.col("r.both") - F.col("l.na") + shared("lacks") + shared("has")
+
+
+def star_pairs(nodes: DataFrame, most_broadcast: int) -> DataFrame:
+    """(a, b): the centres a of the buckets of each node b, saved."""
+    half = lambda band: F.shiftrightunsigned(F.col("bins")[band // 2], 32 * (band % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    bands = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(j), half(j)) for j in range(BINS // BAND_BINS)])).alias("key"))
+    keys = saved(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    members = saved(bands.join(few(keys, most_broadcast), "key"), "members")
+    ranked = members.join(members.groupBy("node").agg(F.sum("n").alias("met")), "node")
+    centres = saved(ranked.groupBy("key").agg(F.max(F.struct("met", "node")).alias("top")).select("key", F.col("top.node").alias("a")), "centres")
+    pairs = saved(members.join(few(centres, most_broadcast), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
+    for table in (keys, members, centres):
+        replaced(table)
+    return pairs
+
+
+def unsettled_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one star, in different components, whose sketches allow the similarity; saved."""
+    part = lambda df, key: df.join(labels.select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
+    rows = saved(part(stars, "b"), "rows")
+    own = part(rows.select("a").distinct(), "a")
+    parts = rows.select("a", "component").union(own.select("a", "component")).groupBy("a", "component").agg(F.count("*").alias("n"))
+    apart = parts.groupBy("a").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    apart = saved(apart.select("a", F.col("top.component").alias("largest")), "apart")
+    here = rows.join(apart, "a")
+    size = (F.col("l.nb") * 100 >= F.col("r.nb") * percent) & (F.col("r.nb") * 100 >= F.col("l.nb") * percent)
+    once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.b") < F.col("r.b"))
+    # 100 * both >= percent * (l + r - both), with the most that both can be
+    allowed = (100 + percent) * most_in_both() >= percent * (F.col("l.nb") + F.col("r.nb"))
+    pairs = here.where("component <> largest").alias("l").join(
+        here.alias("r"), (F.col("l.a") == F.col("r.a")) & (F.col("l.component") != F.col("r.component")) & once & size & allowed)
+    out = saved(pairs.select(F.least("l.b", "r.b").alias("a"), F.greatest("l.b", "r.b").alias("b")).distinct(), "unsettled")
+    for table in (rows, apart):
+        replaced(table)
+    return out
+
+
+def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str, words: int, percent: int, repeats: bool, most_broadcast: int) -> DataFrame:
+    """(node, component) of all nodes that are similar to another."""
+    pairs = star_pairs(nodes, most_broadcast)
+    involved = saved(pairs.select(F.col("b").alias("node")).union(pairs.select("a")).distinct(), "involved")
+    sets = full_sets(docs, nodes.join(few(involved, most_broadcast), "node", "left_semi"), text, words, most_broadcast, repeats)
+    stars = compared(pairs, sets, percent)
+    links = stars.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = saved(connected_components(links), "labels")
+    more = unsettled_pairs(stars, labels, percent)
+    if not more.isEmpty():
+        found = compared(more, sets, percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        labels = saved(connected_components(links.union(found)), "labels")
+    for table in (pairs, involved, sets, stars):
+        replaced(table)
+    return labels
+
+
+def grouped(docs: DataFrame, words: int, percent: int, text: str, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n_shingles, node), and the groups of two documents and more: node, and of the document that stays
+    component_id and its th: the least doc_id, nulls last."""
+    rows = signed(docs, text, words)
+    repeats = not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
     nodes = saved(rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bins").alias("bins")), "nodes")
-    labels = components(similar_links(docs, nodes, text, words, percent))
-    ids = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = saved(ids, "ids")
-    least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(least, "comp").select("node", "component_id")
-    out = rows.drop("bins").join(ids, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
-    """The documents of which `kept` holds, all columns; of rows that repeat a doc_id and are kept, one per text stays."""
-    dropped = saved(near_duplicates(docs, words, percent, text).where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
-    few = dropped.count() <= most_broadcast  # 8 bytes each
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"), F.count("*").alias("copies"),
+        F.first("bins").alias("bins")).select("node", "first", "first.doc_id", "first.th", "copies", "bins"), "nodes")
+    labels = similar_nodes(docs, nodes, text, words, percent, repeats, most_broadcast)
+    several = nodes.select("node", "first", "copies").join(labels, "node", "left").where("copies > 1 or component is not null")
+    several = saved(several.withColumn("component", F.coalesce("component", "node")), "several")
+    stays = several.groupBy("component").agg(F.min("first").alias("stays"))
+    groups = saved(several.join(stays, "component").select("node", F.col("stays.doc_id").alias("component_id"), F.col("stays.th").alias("stays")), "groups")
+    for table in (nodes, several):
+        replaced(table)
+    return rows.drop("bins"), groups
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id is it)."""
+    rows, groups = grouped(docs, words, percent, text, most_broadcast)
+    out = rows.join(few(groups, most_broadcast), "node", "left")
+    component = F.when(F.col("stays").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
+    """One document of each group, all columns: that of the least doc_id (nulls last, then by a hash of the text). Decided
+    by doc_id and text, so another text under the same doc_id is judged alone; of rows repeated whole in doc_id and text,
+    one stays. Documents without words are in no group and stay."""
+    rows, groups = grouped(docs, words, percent, text, most_broadcast)
+    rows = rows.join(few(groups, most_broadcast), "node").groupBy("doc_id", "th", "component_id", "stays").agg(F.count("*").alias("rows"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("stays"))
+    verdicts = rows.select(F.col("doc_id").alias("id"), F.col("th").alias("of"), F.when(stays, F.when(F.col("rows") > 1, "one")).otherwise("none").alias("verdict"))
+    verdicts = saved(verdicts.where("verdict is not null"), "verdicts")
+    keyed_rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), text_key(text).alias("t"))
+    judged = keyed_rows.join(few(verdicts, most_broadcast), F.col("i").eqNullSafe(F.col("id")) & (F.col("t") == F.col("of")), "left")
+    out = judged.where("verdict is null").select("row.*")
+    if not verdicts.where("verdict = 'one'").isEmpty():
+        out = out.unionByName(judged.where("verdict = 'one'").groupBy("i", "t").agg(F.first("row").alias("row")).select("row.*"))
+    return out

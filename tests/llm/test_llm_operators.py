@@ -292,6 +292,41 @@ def test_near_duplicates_of_chains_and_hot_groups(spark):
     check_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, 4, 80)
 
 
+def similar_group(seed: int, n: int, edits: tuple[int, ...]) -> list[str]:
+    """Texts of one base with as many edits each: alike, and below the limit to one another for 5 edits and more."""
+    rng = random.Random(seed)
+    base, out = [f"w{rng.randrange(10**6)}" for _ in range(150)], []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(150), edits[i % len(edits)]):
+            w[k] = f"e{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_candidates_of_a_group_below_the_limit_grow_with_its_size(spark, monkeypatch):
+    counts, whole = [], near_dedup.compared
+
+    def counting(pairs, *rest):
+        counts[-1] += pairs.count()
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "compared", counting)
+    for n in (100, 200, 400):
+        counts.append(0)
+        rows = [(i, t) for i, t in enumerate(similar_group(n, n, (7, 9)))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert near_dedup.near_duplicates(df, 4, 80).where("not kept").count() == 0
+    # of the 4,950, 19,900 and 79,800 pairs: the stars, at most one centre a band, and next to nothing beside them
+    print(counts)
+    assert counts[1] < 0.2 * 19_900 and counts[2] <= 3 * counts[1] <= 9 * counts[0]
+
+
+def test_near_duplicates_of_a_group_across_the_limit(spark):
+    rows = [(i, t) for i, t in enumerate(similar_group(9, 90, (0, 1, 2, 3, 4, 5, 6)) + similar_group(10, 60, (3, 4)))]
+    check_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, 4, 80)
+
+
 def test_keep_one_of_each(docs):
     rows = near_dedup.keep_one_of_each(docs, 4, 80)
     assert sorted(rows.columns) == sorted(docs.columns)
@@ -299,6 +334,14 @@ def test_keep_one_of_each(docs):
     assert {r["doc_id"] for r in rows.collect()} - {None} == want
 
 
+def test_keep_one_of_each_with_clashing_and_missing_ids(spark):
+    a, b = prose(11, 100), prose(12, 100)
+    rows = [(1, a, 0), (5, a + " x", 1), (5, b, 2), (None, a, 3), (None, prose(13, 90), 4), (7, b, 5), (5, b, 6), (8, None, 7), (8, None, 8), (9, "w", 9), (9, "w", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(3)
+    kept = near_dedup.keep_one_of_each(df, 4, 80).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, a), (5, b), (0, rows[4][1]), (8, ""), (8, ""), (9, "w")])
+
+
 def test_bins_estimate_similarity():
     rng = np.random.default_rng(5)
     for n in (3, 20, 400):
