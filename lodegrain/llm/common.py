@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..sources.snapshots import replaced, saved, shared_path
 
-__all__ = ["SPACES", "WORD", "arrow_batches", "placed", "replaced", "saved", "seeded_hash", "shared_path", "shipped", "small_batches",
+__all__ = ["SPACES", "WORD", "arrow_batches", "few", "placed", "replaced", "saved", "seeded_hash", "shared_path", "shipped", "small_batches",
            "text_or_empty", "text_key", "without_spaces", "word_count"]
 
 #: The six ASCII white-space characters, [\x20\x09-\x0D].
@@ -53,6 +53,11 @@ def arrow_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def few(df: DataFrame, most_broadcast: int) -> DataFrame:
+    """A saved table, marked for broadcast if it has at most `most_broadcast` rows; beyond that Spark shuffles."""
+    return F.broadcast(df) if df.count() <= most_broadcast else df
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of a column: what a task needs beside them grows with it."""
     for batch in batches:

@@ -6,8 +6,8 @@ the host. The last three are learned from the corpus itself by grouped aggregati
 counted per markup value, suffix, host and domain; a host's prior leans on its domain's, and a domain's on the corpus, the
 more the fewer rows it has.
 
-A text's likelihood counts as `evidence_cap` trigrams at most: neighbouring trigrams are not independent, and without the
-cap a long text would drown everything else. Counts and statistics cover all rows; only the classifier sees a sample.
+Neighbouring trigrams are not independent, so a text of n trigrams counts as n / sqrt(1 + n / `independent`) of them: all
+are read, and more text is always more evidence. Counts and statistics cover all rows; only the classifier sees a sample.
 
 Defined cases: null text and text without letters have no text evidence, language `und`, confidence 0, and are rejected;
 a missing markup value, suffix or host is no evidence; if no row has a label there are no languages and all is `und`, and
@@ -20,12 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import saved, seeded_hash, shipped, text_or_empty
+from .common import arrow_batches, few, saved, seeded_hash, shipped, text_key, text_or_empty
 
 BUCKETS = 1 << 16
 
@@ -46,35 +45,46 @@ def fitted(docs: DataFrame, text: str, label: str, sample_rows: int, seed: int)
     if least is None:
         return [], np.zeros((BUCKETS, 0), np.float32)
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(BUCKETS, np.int64)
-        for t in rows["text"]:
-            counts += np.bincount(trigrams(t), minlength=BUCKETS)
-        return pd.DataFrame({"label": [rows["label"].iloc[0]], "n": [len(rows)], "counts": [counts.astype("<f4").tobytes()]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, t in zip(batch["label"].to_pylist(), batch["text"]):
+                own = counts.setdefault(name, np.zeros(BUCKETS, np.int64))
+                own += np.bincount(trigrams(t.as_py()), minlength=BUCKETS)
+        for name, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["label", "bucket", "n"])
 
-    # the sample is bounded, and so is each group of it
     sample = docs.where(F.col(label).isNotNull() & (h <= F.lit(least))).select(F.col(label).cast("string").alias("label"), text_or_empty(text).alias("text"))
-    found = sample.groupBy("label").applyInPandas(count, "label string, n long, counts binary")
-    found = sorted(found.collect(), key=lambda r: r["label"])
-    counts = np.stack([np.frombuffer(r["counts"], "<f4") for r in found], axis=1).astype(float) + 0.1
-    return [r["label"] for r in found], np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    # each task sums up what it reads; what the sample's rows hold is all that reaches the driver
+    rows = sample.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(r[0] for r in sample.select("label").distinct().collect())
+    counts = np.full((BUCKETS, len(names)), 0.1)
+    place = {x: i for i, x in enumerate(names)}
+    counts[rows["bucket"].to_numpy(), [place[x] for x in rows["label"].to_pylist()]] += rows["n"].to_numpy()
+    return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def text_evidence(text: Column, model: np.ndarray, cap: int) -> Column:
-    """Log likelihood of the text per language, as of at most `cap` trigrams; null without letters."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def likelihood(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                at = trigrams(t)
-                total = np.zeros(model.shape[1])
-                for i in range(0, len(at), 1 << 18):
-                    total += model[at[i : i + (1 << 18)]].sum(axis=0, dtype=np.float64)
-                out.append((total * (min(len(at), cap) / max(len(at), 1))).tolist())
-            yield pd.Series(out)
+def likelihoods(text: str, model: np.ndarray, independent: float) -> list[float]:
+    """Log likelihood of a text per language."""
+    at, total = trigrams(text), np.zeros(model.shape[1])
+    for i in range(0, len(at), 1 << 16):
+        total += model[at[i : i + (1 << 16)]].sum(axis=0, dtype=np.float64)
+    return (total / np.sqrt(1 + len(at) / independent)).tolist()
 
-    return F.when(text.rlike(r"\p{L}"), likelihood(text))
+
+def with_likelihoods(rows: DataFrame, model: np.ndarray, independent: float) -> DataFrame:
+    """rows have doc_id, row_key, address, declared, letters (whether the text has any) and text; ll, null without letters,
+    takes the place of the last two."""
+    names = ["doc_id", "row_key", "address", "declared"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ll = [likelihoods(t.as_py(), model, independent) if x else None for x, t in zip(batch["letters"].to_pylist(), batch["text"])]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(ll, pa.list_(pa.float64()))], names=[*names, "ll"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(read, ", ".join(f"{n} {kinds[n]}" for n in names) + ", ll array<double>")
 
 
 def addressed(rows: DataFrame, address: Column, markup: Column) -> DataFrame:
@@ -89,7 +99,7 @@ def addressed(rows: DataFrame, address: Column, markup: Column) -> DataFrame:
 
 def declared_markup(text: Column) -> Column:
     """The language that an html element in the text declares, or null."""
-    return F.nullif(F.regexp_extract(text, r"(?i)<html[^>]{0,500}?\slang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1), F.lit(""))
 
 
 def visible_text(html: Column) -> Column:
@@ -127,8 +137,7 @@ def fused(rows: DataFrame, languages: list[str], tables: tuple[DataFrame, DataFr
     hosts, *values = tables
     rows = rows.join(hosts, "host", "left")
     for key, table in zip(("markup", "suffix"), values, strict=True):
-        small = table.count() * max(len(languages), 1) <= most_broadcast
-        rows = rows.join(F.broadcast(table) if small else table, key, "left")
+        rows = rows.join(few(table, most_broadcast // max(len(languages), 1)), key, "left")
     none = F.array_repeat(F.lit(0.0), len(languages))
     score = F.col("ll")
     for by in ("by_host", "by_markup", "by_suffix"):
@@ -148,30 +157,38 @@ class LanguageModel:
     (by default the table itself); the tables of evidence are always learned from the rows that are judged."""
 
     def __init__(self, docs: DataFrame, text: str = "text", label: str = "lang", address: str | None = "source", markup: str | None = None, labelled: DataFrame | None = None,
-                 sample_rows: int = 4000, evidence_cap: int = 60, strength: float = 20.0,
+                 sample_rows: int = 4000, independent: float = 60.0, strength: float = 20.0,
                  least_confidence: float = 0.5, most_broadcast: int = 320_000, seed: int = 42) -> None:
         shipped(docs.sparkSession)
-        self.text, self.address, self.cap, self.least = text, address, evidence_cap, least_confidence
-        self.most_broadcast = most_broadcast
-        self.markup = markup or text
+        self.text, self.address, self.markup, self.least, self.most_broadcast = text, address, markup or text, least_confidence, most_broadcast
         self.languages, self.model = fitted(docs if labelled is None else labelled, text, label, sample_rows, seed)
-        self.rows = saved(self.with_evidence(docs.select(F.col("doc_id"), F.struct("*").alias("row"))).drop("row"), "evidence")
+        whole = F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
+        rows = docs.select("doc_id", self.row_key().alias("row_key"), self.given_address().alias("address"), declared_markup(F.col(self.markup)).alias("declared"),
+                           F.coalesce(whole, F.lit(False)).alias("letters"), text_or_empty(text).alias("text"))
+        rows = addressed(with_likelihoods(rows, self.model, independent), F.col("address"), F.col("declared")).drop("address", "declared")
+        best = F.when(F.size("ll") > 0, F.array_position("ll", F.array_max("ll")) - 1)
+        with arrow_batches(docs.sparkSession):
+            self.rows = saved(rows.withColumn("best", best.cast("int")), "evidence")
         self.tables = priors(self.rows, self.languages, strength)
 
-    def with_evidence(self, rows: DataFrame) -> DataFrame:
-        """rows have a struct `row` with the columns of the table."""
-        text = F.coalesce(F.col("row").getField(self.text), F.lit(""))
-        address = F.col("row").getField(self.address) if self.address else F.lit(None).cast("string")
-        rows = rows.withColumn("ll", text_evidence(text, self.model, self.cap))
-        rows = addressed(rows, address, declared_markup(F.col("row").getField(self.markup)))
-        best = F.when(F.size("ll") > 0, F.array_position("ll", F.array_max("ll")) - 1)
-        return rows.withColumn("best", best.cast("int"))
+    def given_address(self) -> Column:
+        return (F.col(self.address) if self.address else F.lit(None)).cast("string")
+
+    def row_key(self) -> Column:
+        """All of a row that its verdict rests on."""
+        at = self.given_address()
+        return F.md5(F.concat(text_key(self.text), text_key(self.markup), at.isNull().cast("string"), F.coalesce(at, F.lit(""))).cast("binary"))
 
     def judged(self) -> DataFrame:
         """One row per document, no text: doc_id, language, confidence, kept, host, markup, suffix."""
-        return fused(self.rows, self.languages, self.tables, self.least, self.most_broadcast).drop("domain")
+        return self.fused().drop("domain", "row_key")
+
+    def fused(self) -> DataFrame:
+        return fused(self.rows, self.languages, self.tables, self.least, self.most_broadcast)
 
     def in_known_language(self, docs: DataFrame) -> DataFrame:
-        """The rows that are not rejected, all columns."""
-        rows = self.with_evidence(docs.select(F.col("doc_id"), F.struct("*").alias("row")))
-        return fused(rows, self.languages, self.tables, self.least, self.most_broadcast).where("kept").select("row.*")
+        """The rows that are not rejected, all columns. Texts are read again, and not classified: rows of one doc_id, text,
+        markup and address share their verdict."""
+        rejected = saved(self.fused().where("not kept").select(F.col("doc_id").alias("id"), F.col("row_key").alias("key")).distinct(), "rejected")
+        rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("i"), self.row_key().alias("k"))
+        return rows.join(few(rejected, 200_000), F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left_anti").select("row.*")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import arrow_batches, replaced, saved, shipped, small_batches, text_key, text_or_empty
+from .common import arrow_batches, few, replaced, saved, shipped, small_batches, text_key, text_or_empty
 
 BINS, BAND_BINS = 128, 4
 #: Bits of each of the two parts of a sketch.
@@ -150,11 +150,6 @@ def signed(docs: DataFrame, text: str, words: int) -> DataFrame:
         return saved(keyed(docs, text).mapInArrow(sign, "doc_id long, th string, n_shingles long, node long, bins array<long>"), "signed")
 
 
-def few(df: DataFrame, most_broadcast: int) -> DataFrame:
-    """A saved table, marked for broadcast if it has at most `most_broadcast` rows; beyond that Spark shuffles."""
-    return F.broadcast(df) if df.count() <= most_broadcast else df
-
-
 def full_sets(docs: DataFrame, involved: DataFrame, text: str, words: int, most_broadcast: int, repeats: bool) -> DataFrame:
     """(node, set) of the involved nodes (node, doc_id, th), from the text of one document of each, saved: a second reading
     instead of a table of all sets, which would be larger than the corpus. repeats: some rows occur more than once."""

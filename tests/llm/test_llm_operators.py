@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import io
 import random
 import re
@@ -521,6 +522,59 @@ def test_markup_suffix_and_host_move_the_verdict(spark):
     assert all(got[i]["language"] == x for i, _, x, _ in rows[:180])
 
 
+def brute_verdicts(model: langid.LanguageModel, rows: list[tuple]) -> list[tuple]:
+    """(doc_id, language, confidence) of rows (doc_id, text, lang, url), by loops over the fusion's definition."""
+    names, strength = model.languages, 20.0
+    at = []
+    for _, text, _, url in rows:
+        text = text or ""
+        host = None if url is None else (re.sub(r"^\w+://([^/]+).*", r"\1", url)).lower()
+        labels = (host or "").split(".")
+        tag = re.search(r"<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", text, re.I)
+        t = langid.trigrams(text)
+        ll = model.model[t].astype(float).sum(axis=0) / math.sqrt(1 + len(t) / 60) if re.search(r"[^\W\d_]", text) else None
+        at.append({"ll": ll, "host": host, "domain": ".".join(labels[-2:]) if len(labels) > 1 else None, "suffix": labels[-1] if len(labels) > 1 else None,
+                   "markup": tag[1].lower() if tag else None, "best": None if ll is None else int(ll.argmax())})
+    n = len(names)
+    whole = np.array([sum(r["best"] == i for r in at) for i in range(n)], float)
+    count = lambda key, value: np.array([sum(r["best"] == i and r[key] == value for r in at) for i in range(n)], float)
+    smooth = lambda c, onto: (c + strength * onto) / (c.sum() + strength)
+    out = []
+    for (doc_id, *_), r in zip(rows, at):
+        if r["ll"] is None:
+            out.append((doc_id, "und", 0.0))
+            continue
+        score, overall = r["ll"].copy(), (whole + 1) / (whole.sum() + n)
+        if r["host"] is not None:
+            onto = overall if r["domain"] is None else smooth(count("domain", r["domain"]), overall)
+            score += np.log(smooth(count("host", r["host"]), onto))
+        for key in ("markup", "suffix"):
+            if r[key] is not None:
+                score += np.log((count(key, r[key]) + 0.5) / (whole + 1))
+        out.append((doc_id, names[int(score.argmax())], float(1 / np.exp(score - score.max()).sum())))
+    return out
+
+
+def test_posterior_against_brute_force(spark):
+    rng, rows = random.Random(4), []
+    words_of = {"en": "the and house water with from".split(), "de": "der und haus wasser mit von".split(), "fr": "le et maison eau avec de".split()}
+    for i in range(90):
+        lang = rng.choice(list(words_of))
+        text = " ".join(rng.choice(words_of[lang]) for _ in range(rng.choice([1, 2, 5, 40])))
+        if i % 3 == 0:
+            text = f'<html class="{"c" * 700}" lang="{lang}"> {text}'
+        host = rng.choice([f"{lang}{i % 2}.site.{lang}", "mixed.example.org", "local"])
+        rows.append((i, text, lang if i % 4 else None, rng.choice([f"https://{host}/{i}", host, None])))
+    rows += [(900, "123 456", "en", "mixed.example.org"), (901, None, None, None)]
+    model = langid.LanguageModel(spark.createDataFrame(rows, "doc_id long, text string, lang string, url string").repartition(3), address="url")
+    got = {r["doc_id"]: r for r in model.judged().collect()}
+    want = brute_verdicts(model, rows)
+    assert any(r["markup"] for r in got.values()) and any(r["suffix"] for r in got.values())
+    for doc_id, language, confidence in want:
+        assert got[doc_id]["language"] == language and abs(got[doc_id]["confidence"] - confidence) < 1e-6, doc_id
+        assert got[doc_id]["kept"] == (language != "und" and confidence >= 0.5)
+
+
 def test_language_id_with_odd_rows(docs, none):
     model = langid.LanguageModel(docs)
     kept = model.in_known_language(docs)
