@@ -173,12 +173,14 @@ def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return len(hashes) - int(bits.sum()), np.packbits(bits).view("<i8")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes on their full sets, saved: a, b, na, nb, both (size of the intersection), linked (100 * both
-    >= percent * union), and the sketch of b against a: lacks_more, lacks, has_more, has."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set{x}"))
-    # the pairs of one centre may be many: nothing but its set and theirs meets there, a pair at a time
-    rows = pairs.join(side("b"), "b").join(side("a").join(pairs.select("a").distinct(), "a", "left_semi"), "a")
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, most_broadcast: int) -> DataFrame:
+    """The saved pairs (a, b) of nodes on their full sets, saved: a, b, na, nb, both (size of the intersection), linked (100 *
+    both >= percent * union), and the sketch of b against a: lacks_more, lacks, has_more, has."""
+    # few pairs go to the sets, and only what is compared moves; the pairs of one centre may be many, and are split by Spark
+    b_sets = sets.join(few(pairs, most_broadcast), F.col("node") == F.col("b")).select("a", "b", F.col("set").alias("setb"))
+    centres = saved(pairs.select("a").distinct(), "a")
+    a_sets = sets.join(few(centres, most_broadcast), F.col("node") == F.col("a")).select("a", F.col("set").alias("seta"))
+    rows = b_sets.join(a_sets, "a")
     kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "both": pa.int64(), "linked": pa.bool_(), "lacks_more": pa.int64(),
              "lacks": pa.list_(pa.int64()), "has_more": pa.int64(), "has": pa.list_(pa.int64())}
 
@@ -252,12 +254,12 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, text: str, words: int, perc
     pairs = star_pairs(nodes, most_broadcast)
     involved = saved(pairs.select(F.col("b").alias("node")).union(pairs.select("a")).distinct(), "involved")
     sets = full_sets(docs, nodes.join(few(involved, most_broadcast), "node", "left_semi"), text, words, most_broadcast, repeats)
-    stars = compared(pairs, sets, percent)
+    stars = compared(pairs, sets, percent, most_broadcast)
     links = stars.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     labels = saved(connected_components(links), "labels")
     more = unsettled_pairs(stars, labels, percent)
     if not more.isEmpty():
-        found = compared(more, sets, percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        found = compared(more, sets, percent, most_broadcast).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         labels = saved(connected_components(links.union(found)), "labels")
     for table in (pairs, involved, sets, stars):
         replaced(table)
