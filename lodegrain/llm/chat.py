@@ -1,11 +1,15 @@
 """Chat formatting in budgeted windows of whole turns.
 
-Turns of a conversation are laid on a line by the prefix sums of their tokens. The line is cut into cells of
-`budget - history` tokens; a turn belongs to the window of the cell its first token lies in, and is repeated as history
-in the next window if it starts less than `history` tokens before that window's cell. The conversation's system turn (its
-first, if its role is system) is put before every later window. So every turn is new in exactly one window, windows hold
-whole turns only, and a window exceeds budget plus the system turn by no more than its last turn's length. Which window a
-turn is in depends on its own prefix sum alone: a conversation of any length is windowed in parallel.
+Turns of a conversation are laid on a line by the prefix sums of their tokens, counted by a tokenizer on the formatted turn.
+What the budget leaves beside the conversation's system turn (its first, if its role is system) and the history is the
+room for new turns. A turn of more than a quarter of the room is a window of its own. The line is cut into cells of three
+quarters of the room, and the shorter turns that begin in one cell, with no such long turn between them, are a window: they
+fit in the room. So every turn is new in exactly one window, windows hold whole turns only, and which window a turn is in
+depends on prefix sums alone: a conversation of any length is windowed in parallel.
+
+Before a window stand the turns that begin at most `history` tokens before its first new turn, where the new turns leave
+room for them, and before these the system turn. A window passes its budget only where the system turn and one new turn do
+so by themselves.
 
 Template: `<s>[INST] role [/INST]text</s>` per turn. Inside roles and texts a backslash is doubled and one is put after
 the first character of every control string, which can be undone and leaves no control string in the text. The loss mask
@@ -28,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import placed, saved, shipped, text_or_empty
+from .common import arrow_batches, placed, saved, shipped, text_or_empty
+from .tokens import encoder
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\](.*?)</s>", re.S)
@@ -46,38 +51,73 @@ def unescaped(text: str) -> str:
     return _UNDO.sub(r"\1", text)
 
 
-def token_estimate(text: Column) -> Column:
-    """Words and single marks, and four for the template."""
-    return F.regexp_count(text, F.lit(r"\w+|[^\w\s]")) + F.lit(4)
+def with_tokens(rows: DataFrame, tokenizer_path: str, layout: str) -> DataFrame:
+    """Add tokens: those of a formatted turn's head, text and end, each encoded alone."""
+    rows = rows.withColumn("head", F.concat(F.lit("<s>[INST] "), escaped(F.col("role")), F.lit(" [/INST]"))).withColumn("body", escaped(F.col("text")))
+    names = ["conv_id", "turn", "role", "text"]
+    kinds = dict(rows.dtypes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(tokenizer_path, layout).ids
+        end = len(of("</s>")) // 4
+        for batch in batches:
+            tokens = [len(of(h)) // 4 + len(of(t.as_py())) // 4 + end for h, t in zip(batch["head"].to_pylist(), batch["body"])]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(tokens, pa.int64())], names=[*names, "tokens"])
+
+    return rows.mapInArrow(count, ", ".join(f"{n} {kinds[n]}" for n in names) + ", tokens long")
+
+
+def with_room(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """Add what the conversation's system turn leaves: system_tokens, most_history and room, and long (1 for turns that are
+    windows of their own)."""
+    first = rows.groupBy("conv_id").agg(F.min_by(F.struct("role", "tokens"), F.struct("turn", "role", "text", "rid")).alias("first"))
+    system = F.when(F.col("first.role") == "system", F.col("first.tokens")).otherwise(F.lit(0))
+    left = F.greatest(F.lit(budget) - F.col("system_tokens"), F.lit(0))
+    first = first.select(F.col("conv_id").alias("c"), system.alias("system_tokens"))
+    first = first.withColumn("most_history", F.least(F.lit(history), F.floor(left / 4))).withColumn("room", F.greatest(left - F.col("most_history"), F.lit(4)))
+    rows = rows.join(saved(first, "rooms"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    return rows.withColumn("long", (F.col("tokens") > F.floor(F.col("room") / 4)).cast("long"))
 
 
-def chat_windows(conversations: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
-    """One row per window: conv_id, window, repeated (leading turns that are not new), text, loss (spans of start, length)."""
+def chat_windows(conversations: DataFrame, tokenizer_path: str, layout: str = "joined", budget: int = 512, history: int = 128) -> DataFrame:
+    """One row per window: conv_id, window (place of its first new turn in the conversation), repeated (leading turns that
+    are not new), tokens, text, loss (spans of start, length)."""
+    spark = shipped(conversations.sparkSession)
     rows = conversations.select("conv_id", "turn", text_or_empty("role").alias("role"), text_or_empty("text").alias("text"))
-    rows = rows.withColumn("tokens", token_estimate(F.col("text")).cast("long")).withColumn("rid", F.monotonically_increasing_id())
-    rows = placed(saved(rows, "turns"), ["conv_id", "turn", "role", "text", "rid"], "tokens").drop("rid")
+    with arrow_batches(spark):
+        rows = saved(with_tokens(rows, tokenizer_path, layout).withColumn("rid", F.monotonically_increasing_id()), "turns")
+    rows = placed(with_room(rows, budget, history), ["conv_id", "turn", "role", "text", "rid"], "tokens", also="long").drop("rid")
     first = saved(
         rows.groupBy("conv_id").agg(F.min("sum_before").alias("origin"), F.min("place").alias("first"),
-                                    F.min_by(F.struct("role", "text"), "place").alias("system"))
+                                    F.min_by(F.struct("role", "text", "tokens"), "place").alias("system"))
         .withColumnRenamed("conv_id", "c"), "first")
     rows = rows.join(first.drop("system"), rows["conv_id"].eqNullSafe(first["c"])).drop("c")
-    cell = budget - history
-    start = F.col("sum_before") - F.col("origin")
-    rows = rows.withColumn("window", F.floor(start / cell))
-    again = (F.col("window") + 1) * cell - start <= history
-    # as history in the next window too, where one exists
-    new = rows.withColumn("new", F.lit(True))
-    old = rows.where(again).withColumn("window", F.col("window") + 1).withColumn("new", F.lit(False))
-    turns = new.unionByName(old).select("conv_id", "window", F.struct("place", "new", "role", "text").alias("t"))
-    windows = turns.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    windows = windows.where(F.exists("turns", lambda t: t["new"]))
-    windows = windows.join(first.drop("origin"), windows["conv_id"].eqNullSafe(first["c"]))
-    missing = (F.col("system.role") == "system") & (F.col("turns")[0]["place"] > F.col("first"))
-    system = F.struct(F.col("first").alias("place"), F.lit(False).alias("new"), F.col("system.role").alias("role"), F.col("system.text").alias("text"))
-    windows = windows.withColumn("turns", F.when(missing, F.concat(F.array(system), "turns")).otherwise(F.col("turns")))
+    rows = rows.withColumn("start", F.col("sum_before") - F.col("origin")).withColumn("cell", F.floor(F.col("start") / (F.col("room") - F.floor(F.col("room") / 4))))
+    spans = rows.groupBy("conv_id", "cell", "also_before", "long").agg(
+        F.min("place").alias("window"), F.min("start").alias("begins"), F.sum("tokens").alias("fresh"), F.min("system_tokens").alias("system_tokens"),
+        F.min("most_history").alias("most_history"), F.min("room").alias("room"), F.collect_list(F.struct("place", "role", "text", "tokens")).alias("turns"))
+    # a room of at least four tokens a turn bounds every list
+    spans = saved(spans.withColumn("turns", F.sort_array("turns")), "spans")
+
+    # a turn is history of the windows that begin soon after it: they are in the same piece of the line or the next
+    piece = max(history, 1)
+    heads = spans.where((F.col("begins") > 0) & (F.col("fresh") <= F.col("room"))).select(
+        F.col("conv_id").alias("c"), "window", "begins", "most_history", F.explode(F.array(F.floor(F.col("begins") / piece), F.floor(F.col("begins") / piece) - 1)).alias("p"))
+    turns = rows.select("conv_id", F.floor(F.col("start") / piece).alias("piece"), "start", F.struct("place", "role", "text", "tokens").alias("t"))
+    near = (F.col("start") < F.col("begins")) & (F.col("begins") - F.col("start") <= F.col("most_history"))
+    again = turns.join(heads, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p")) & near)
+    again = again.groupBy("window").agg(F.sort_array(F.collect_list("t")).alias("again"))
+    windows = spans.join(again, "window", "left").withColumn("again", F.coalesce("again", F.array().cast(again.schema["again"].dataType)))
+    windows = windows.join(first.drop("origin"), windows["conv_id"].eqNullSafe(first["c"])).drop("c")
+    system = F.struct(F.col("first").alias("place"), F.col("system.role").alias("role"), F.col("system.text").alias("text"), F.col("system.tokens").alias("tokens"))
+    begins_with = F.get(F.concat("again", "turns"), F.lit(0))["place"]
+    windows = windows.withColumn("again", F.when((F.col("system.role") == "system") & (begins_with > F.col("first")), F.concat(F.array(system), "again")).otherwise(F.col("again")))
+    mark = lambda new: lambda t: F.struct(F.lit(new).alias("new"), t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"))
+    windows = windows.select("conv_id", (F.col("window") - F.col("first")).alias("window"), F.concat(F.transform("again", mark(False)), F.transform("turns", mark(True))).alias("turns"))
     body = lambda t: F.concat(F.lit("<s>[INST] "), escaped(t["role"]), F.lit(" [/INST]"))
     parts = F.transform("turns", lambda t: F.struct(t["new"].alias("new"), t["role"].alias("role"), body(t).alias("head"), escaped(t["text"]).alias("body")))
-    windows = windows.select("conv_id", "window", parts.alias("p"))
+    tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["tokens"])
+    windows = windows.select("conv_id", "window", tokens.alias("tokens"), parts.alias("p"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def step(done: Column, t: Column) -> Column:
@@ -86,7 +126,7 @@ def chat_windows(conversations: DataFrame, budget: int = 512, history: int = 128
         return F.struct((done["at"] + F.char_length(t["head"]) + F.char_length(t["body"]) + F.lit(4)).alias("at"), spans.alias("spans"))
 
     return windows.select(
-        "conv_id", "window", F.size(F.filter("p", lambda t: ~t["new"])).alias("repeated"),
+        "conv_id", "window", F.size(F.filter("p", lambda t: ~t["new"])).alias("repeated"), "tokens",
         F.concat_ws("", F.transform("p", lambda t: F.concat(t["head"], t["body"], F.lit("</s>")))).alias("text"),
         F.aggregate("p", empty, step)["spans"].alias("loss"),
     )

@@ -94,8 +94,9 @@ def seeded_hash(seed: int, *columns: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)
 
 
-def placed(df: DataFrame, order: list[str], value: str | None = None, rows_per_part: int = 200_000) -> DataFrame:
-    """Add `place`, each row's place from 0 in the order given, and `sum_before`, the sum of `value` over earlier rows.
+def placed(df: DataFrame, order: list[str], value: str | None = None, rows_per_part: int = 200_000, also: str | None = None) -> DataFrame:
+    """Add `place`, each row's place from 0 in the order given, `sum_before`, the sum of `value` over earlier rows, and
+    `also_before`, that of `also`.
 
     A distributed sort, saved with each row's place in its partition; then one row per partition tells what lies before
     it. End `order` with a unique column: rows of one key then spread over partitions.
@@ -105,16 +106,15 @@ def placed(df: DataFrame, order: list[str], value: str | None = None, rows_per_p
     rows = saved(rows.withColumn("place", F.monotonically_increasing_id()), "placed")
     part, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     rows = rows.withColumn("part", part).withColumn("within", within)
-    sums = [F.count("*").alias("rows_in")] + ([F.sum(value).alias("sum_in")] if value else [])
+    values = {"sum": value, "also": also} if also else {"sum": value} if value else {}
+    sums = [F.count("*").alias("rows_in")] + [F.sum(v).alias(f"{k}_in") for k, v in values.items()]
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("part").agg(*sums)
     starts = starts.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("long").alias(f"{c}_before")
                                      for c in starts.columns[1:]])
     starts = saved(starts, "starts")
-    if value:
-        upto = Window.partitionBy("part").orderBy("within").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("sum_before", F.coalesce(F.sum(value).over(upto), F.lit(0)))
+    upto = Window.partitionBy("part").orderBy("within").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{k}_before": F.coalesce(F.sum(v).over(upto), F.lit(0)) for k, v in values.items()})
     rows = rows.join(starts, "part").withColumn("place", F.col("rows_in_before") + F.col("within"))
-    if value:
-        rows = rows.withColumn("sum_before", (F.col("sum_in_before") + F.col("sum_before")).cast("long"))
+    rows = rows.withColumns({f"{k}_before": (F.col(f"{k}_in_before") + F.col(f"{k}_before")).cast("long") for k in values})
     return rows.drop("part", "within", *starts.columns[1:])

@@ -59,7 +59,7 @@ def op6_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
-    return read_back(chat_windows(table(spark, sf_dir, "conversations").select(*extra.columns).union(extra)))
+    return read_back(chat_windows(table(spark, sf_dir, "conversations").select(*extra.columns).union(extra), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

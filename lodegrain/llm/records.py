@@ -66,14 +66,18 @@ def opened(path: str):
 
 
 def write_token_records(
-    docs: DataFrame, tokenizer_path: str, layout: str, end_id: int, text: str = "text", id_bytes: int = 2, rows_per_file: int = 20_000
+    docs: DataFrame, tokenizer_path: str, layout: str, end_id: int, text: str = "text", id_bytes: int = 2, file_bytes: int = 32 << 20
 ) -> DataFrame:
-    """Write the record files and their indexes to the shared folder; return their manifest, a row per file."""
+    """Write the record files and their indexes to the shared folder; return their manifest, a row per file. Files hold about
+    `file_bytes` of text. ValueError if an id does not fit `id_bytes`."""
     spark = shipped(docs.sparkSession)
     folder = shared_path(spark, "records")
-    files = max(4 * spark.sparkContext.defaultParallelism, -(-docs.count() // rows_per_file))
     rows = docs.select("doc_id", text_or_empty(text).alias("text"))
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(4 * spark.sparkContext.defaultParallelism, -(-total // file_bytes))
+    # rows of one doc_id spread over files too
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("rid", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(files, "doc_id", "h", "rid").sortWithinPartitions("doc_id", "h", "rid").select("doc_id", "text")
     kind, end = f"<u{id_bytes}", np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +91,8 @@ def write_token_records(
             out = out or fs.open_output_stream(f"{at}/{name}.rec")
             for doc_id, t in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 found = np.frombuffer(encode(t.as_py()) + end, "<u4")
+                if int(found.max()) >> 8 * id_bytes:
+                    raise ValueError(f"id {found.max()} does not fit {id_bytes} bytes")
                 payload = struct.pack("<Bq", doc_id is not None, doc_id or 0) + found.astype(kind).tobytes()
                 out.write(frame(payload))
                 index.append((offset, len(payload)))

@@ -2,7 +2,8 @@
 
 A byte-pair tokenizer first cuts a text into pre-tokens and encodes each alone, so the ids of a text are the ids of its
 words in turn wherever a cut between words is also a cut between pre-tokens. That holds before every space of the two
-layouts below (a run of white space that could be split differently sends the whole text to the tokenizer), and lets a
+layouts below (a run of white space that could be split differently, or the string of an added token, which the tokenizer
+looks for before it cuts, sends the whole text to the tokenizer), and lets a
 worker encode a word once instead of each time it occurs. The memo keeps the first `memo_words` words it sees, which are
 the frequent ones, and changes nothing but time.
 """
@@ -47,7 +48,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.single_word for t in added):
+            raise ValueError("added tokens are looked for in the text as it is")
+        self.added = [t.content for t in added]
         self.tokenizer, self.layout = tokenizer, layout
         self.marks = _Memo(tokenizer.encode, "", 10_000)
         self.first = _Memo(tokenizer.encode, "", memo_words // 10, self.marks)
@@ -55,6 +59,8 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids of the whole text, four little-endian bytes each."""
+        if any(t in text for t in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.layout == "joined":
             if _LONG_RUN.search(text):
                 return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

@@ -169,7 +169,6 @@ def plain():
     found = {}
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         found[name] = Tokenizer.from_file(public_tokenizers.path(name))
-        found[name].encode_special_tokens = True
     return lambda name, text: found[name].encode(text, add_special_tokens=False).ids
 
 
@@ -180,6 +179,13 @@ def test_ids_are_those_of_the_whole_text(plain, text):
         assert np.frombuffer(tokens.encoder(public_tokenizers.path(name), layout, 1000).ids(text), "<u4").tolist() == plain(name, text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext", "a", " ", "  ", ", é", "\n", "don't"]), max_size=9).map("".join))
+def test_ids_of_texts_with_added_tokens(plain, text):
+    for name, layout in (("byte_bpe_50k.json", "joined"), ("word_bpe_49k.json", "dropped")):
+        assert np.frombuffer(tokens.encoder(public_tokenizers.path(name), layout, 1000).ids(text), "<u4").tolist() == plain(name, text)
+
+
 def test_pack(docs, none, plain):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(packing.cut_pieces(docs, path, "joined", 0, 256), 256).collect()
@@ -230,6 +236,8 @@ def test_token_records(docs, none, plain):
         assert found in texts[r["doc_id"]] and r["n_tokens"] == len(found) and r["ids_crc32"] == zlib.crc32(r["ids"])
         at, last = at + len(found), r["doc_id"]
     assert len(got) == len(odd_rows())
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        records.write_token_records(docs, path, "dropped", 1, id_bytes=1)
     assert records.read_token_records(records.write_token_records(none, path, "dropped", 1)).count() == 0
 
 
@@ -357,14 +365,34 @@ def test_bins_estimate_similarity():
 # chat windows
 
 
-def test_chat_windows(spark):
+def check_windows(windows, by, plain, budget, history):
+    """Every window against loops over its conversation: whole turns in order, new ones once, history and system as defined."""
+    count = lambda x: len(plain("byte_bpe_50k.json", x))
+    new = defaultdict(list)
+    for w in sorted(windows, key=lambda w: (w["conv_id"] is None, w["conv_id"] or 0, w["window"])):
+        turns = [(chat.unescaped(m[1]), chat.unescaped(m[2])) for m in chat.TURN.finditer(w["text"])]
+        sizes = [count(m[0][: m.start(2) - m.start()]) + count(m[2]) + count("</s>") for m in chat.TURN.finditer(w["text"])]
+        whole = [(r, x) for _, r, x in by[w["conv_id"]]]
+        at, n = w["window"], w["repeated"]
+        system = bool(n) and turns[0] == whole[0] and whole[0][0] == "system"
+        assert at == len(new[w["conv_id"]]) and turns[n:] == whole[at : at + len(turns) - n] and w["tokens"] == sum(sizes)
+        assert turns[system:n] == whole[at - (n - system) : at] and sum(sizes[system:n]) <= history
+        assert sum(sizes) <= budget or (len(turns) == n + 1 and n == system)
+        assert at == 0 or whole[0][0] != "system" or system
+        new[w["conv_id"]] += turns[n:]
+        spans = [w["text"][s["start"] : s["start"] + s["length"]] for s in w["loss"]]
+        assert [chat.unescaped(x) for x in spans] == [x for r, x in turns[n:] if r == "assistant"]
+    assert {c: t for c, t in new.items()} == {c: [(r, x) for _, r, x in t] for c, t in by.items()}
+
+
+def test_chat_windows(spark, plain):
     rng = random.Random(1)
     ok = "</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", ok), (-1, 1, "assistant", ok), (5, 0, None, None), (None, 0, "assistant", "x\\<s>\\"), (6, 0, "system", "be [kind]"), (6, None, "user", "first")]
     rows += [(7, t, ["user", "assistant"][t % 2], prose(t, rng.choice([1, 5, 200, 700]))) for t in range(40)]
     rows += [(8, t, ["system", "user", "assistant"][min(t, 1 + t % 2)], "\\" * (t % 4) + "<s" * (t % 3) + "[INST]" * (t % 2) + prose(t, 30)) for t in range(30)] + [(9, 1, "user", "same"), (9, 1, "user", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    windows = chat.chat_windows(df, budget=128, history=32)
+    windows = chat.chat_windows(df, public_tokenizers.path("byte_bpe_50k.json"), budget=128, history=32)
     got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     by = defaultdict(list)
     for c, t, r, x in rows:
@@ -377,7 +405,8 @@ def test_chat_windows(spark):
         assert got[c]["loss_chars"] == len(loss) and got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     texts = [r["text"] for r in windows.where("conv_id = 8").collect()]
     assert len(texts) > 2 and all(t.startswith("<s>[INST] system [/INST]") for t in texts)
-    assert chat.read_back(chat.chat_windows(spark.createDataFrame([], df.schema))).count() == 0
+    check_windows(windows.collect(), by, plain, 128, 32)
+    assert chat.read_back(chat.chat_windows(spark.createDataFrame([], df.schema), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
 @settings(max_examples=200, deadline=None)
