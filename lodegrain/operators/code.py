@@ -28,6 +28,44 @@ def extract_declarations(files: DataFrame) -> DataFrame:
     return rows.select("path", F.col("at").alias("ordinal"), (F.col("at") + 1).alias("line_start"), "d.kind", "d.name", F.when(public, "public").otherwise("private").alias("visibility"), F.trim("s").alias("signature"))
 
 
+def _with_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    return symbols.join(files.select("path", F.split("content", r"\r?\n").alias("lines")), "path")
+
+
+def doc_comment_above(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """path, name, line_start, doc: the unbroken lines above a symbol that start with ///, //! or *, without these marks."""
+    above = F.reverse(F.slice(F.col("lines"), 1, F.col("line_start") - 1))
+    start = F.struct(F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))
+    is_doc = lambda s: s.rlike(r"^\s*(///|//!|/?\*)")
+    fold = F.aggregate(above, start, lambda done, s: F.when(done["over"] | ~is_doc(s), F.struct(F.lit(True).alias("over"), done["kept"].alias("kept"))).otherwise(
+        F.struct(F.lit(False).alias("over"), F.concat(done["kept"], F.array(F.trim(F.regexp_replace(s, r"^\s*(///|//!|/?\*+/?)", "")))).alias("kept"))))
+    return _with_lines(files, symbols).select("path", "name", "line_start", F.array_join(F.reverse(fold["kept"]), "\n").alias("doc"))
+
+
+def body_snippet(files: DataFrame, symbols: DataFrame, whole: int = 40, ends: int = 20) -> DataFrame:
+    """path, name, line_start, snippet: the lines of a symbol, up to `whole` of them; of more the first and last `ends`."""
+    body = F.slice(F.col("lines"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1)
+    cut = F.concat(F.slice(body, 1, ends), F.array(F.lit("...")), F.slice(body, -ends, ends))
+    return _with_lines(files, symbols).select("path", "name", "line_start", F.array_join(F.when(F.size(body) <= whole, body).otherwise(cut), "\n").alias("snippet"))
+
+
+#: Words that say nothing of what a body does.
+KEYWORDS = ("and", "async", "await", "break", "class", "const", "continue", "def", "else", "enum", "export", "false", "fn", "for", "from", "function", "if", "impl", "import", "in", "let", "match",
+            "mod", "mut", "new", "none", "not", "null", "or", "pass", "pub", "ref", "return", "self", "static", "str", "struct", "super", "the", "this", "trait", "true", "type", "use", "var", "void", "where", "while")
+
+
+def body_keywords(body: Column, most: int = 30) -> Column:
+    """Distinct lower-case words of three letters and more that are no keywords, in order, the first `most`."""
+    words = F.transform(F.regexp_extract_all(body, F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.lower(w))
+    return F.slice(F.array_except(F.array_distinct(words), F.array(*map(F.lit, KEYWORDS))), 1, most)
+
+
+def embedding_text(name: Column, signature: Column, doc: Column, keywords: Column) -> Column:
+    """What stands for a symbol in a vector model: name three times, signature twice, comment, keywords, within 512 characters."""
+    part = lambda c, times, most: F.substring(F.array_join(F.array_repeat(F.coalesce(c, F.lit("")), times), " "), 1, most)
+    return F.substring(F.trim(F.regexp_replace(F.concat_ws(" ", part(name, 3, 80), part(signature, 2, 160), part(doc, 1, 140), F.array_join(keywords, " ")), " {2,}", " ")), 1, 512)
+
+
 def module_name(path: Column) -> Column:
     """The folder above the last src and the file's stem, else the parent and the stem."""
     stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^/.]*)?$", 1)

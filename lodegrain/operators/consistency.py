@@ -108,6 +108,28 @@ def minify_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n")
 
 
+#: Statements that log.
+LOG_STATEMENT = (r"^\s*((tracing::|log::)?(trace|debug|info|warn|error|event|span|println|eprintln|print|eprint|dbg)!\s*[(\[{]"
+                 r"|((self\.)?_?log(ger|ging)?\.)(debug|info|warning|warn|error|critical|exception|log)\(|print\(|console\.(log|debug|info|warn|error|trace)\()")
+
+
+def prune_log_lines(text: Column, comment: str = "//", most: int = 200) -> Column:
+    """Lines with a logging statement that ends on its line become one mark per run of them, and lines longer than `most` are
+    cut. A statement over several lines stays."""
+    mark = F.lit(f"{comment} [log]")
+    lines = F.transform(F.split(text, r"\r?\n"), lambda s: F.when(s.rlike(LOG_STATEMENT) & (F.length(F.regexp_replace(s, r"[^(]", "")) <= F.length(F.regexp_replace(s, r"[^)]", ""))), mark)
+                        .when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit(" ..."))).otherwise(s))
+    run = F.filter(lines, lambda s, i: ~((s == mark) & F.coalesce(F.get(lines, i - 1) == mark, F.lit(False))))
+    return F.array_join(run, "\n")
+
+
+def maintenance_summary(issues: DataFrame, unused: DataFrame, proposals: DataFrame) -> DataFrame:
+    """One row: issues, fixable (with a suggestion), unused (dependencies) and proposals."""
+    one = lambda df, *c: F.broadcast(df.agg(*c))  # noqa: E731  a row each
+    rows = issues.agg(F.count("*").alias("issues"), F.count("suggestion").alias("fixable"))
+    return rows.join(one(unused, F.count("*").alias("unused")), F.lit(True)).join(one(proposals, F.count("*").alias("proposals")), F.lit(True))
+
+
 def work_markers(files: DataFrame) -> DataFrame:
     """path, line, marker: TODO, FIXME, HACK or XXX of a line, the first in that order."""
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "s"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +75,28 @@ def citation_precision(responses: DataFrame, files: DataFrame) -> DataFrame:
     return responses.select("id").join(counted, "id", "left").fillna(0, ["cited", "existing"]).withColumn("precision", F.when(F.col("cited") > 0, F.col("existing") / F.col("cited")))
 
 
+def hallucination_count(responses: DataFrame, files: DataFrame, forbidden: list[str]) -> DataFrame:
+    """id, hallucinations: forbidden words that stand in the response as words of their own, and cited paths that no file has."""
+    words = sum((F.col("response").rlike(rf"(?i)\b{re.escape(w)}\b").cast("long") for w in forbidden), F.lit(0).cast("long"))
+    cited = citation_precision(responses, files).select("id", (F.col("cited") - F.col("existing")).alias("missing"))
+    return responses.select("id", words.alias("words")).join(cited, "id").select("id", (F.col("words") + F.col("missing")).alias("hallucinations"))
+
+
+def grounding_quality(scores: DataFrame) -> DataFrame:
+    """One row of rows (coverage, precision, hallucinations): means (precision's over the responses with citations), sum, and
+    their harmonic mean `quality`, which is the coverage where precision is undefined or both are 0."""
+    row = scores.agg(F.avg("coverage").alias("coverage"), F.avg("precision").alias("precision"), F.count("precision").alias("with_citations"), F.sum("hallucinations").alias("hallucinations"))
+    total = F.col("precision") + F.col("coverage")
+    return row.withColumn("quality", F.when(total > 0, 2 * F.col("precision") * F.col("coverage") / total).otherwise(F.col("coverage")))
+
+
+def code_quality_flag(response: Column, pattern: str | None = None) -> Column:
+    """0 without a mark of code, 0.5 if the pattern is missed, else 1."""
+    code = response.contains("```") | response.contains("fn ") | response.contains("def ")
+    missed = F.lit(False) if pattern is None else ~response.rlike(pattern)
+    return F.when(~code, 0.0).when(missed, 0.5).otherwise(1.0)
+
+
 def coverage_scores(responses: DataFrame, truth: DataFrame) -> DataFrame:
     """id, keyword_recall, symbol_recall, coverage: truth is (id, kind, value). Keywords of 6 characters and fewer and all
     symbols must stand as words of their own. The weights are 0.4 and 0.3 of what is there."""
@@ -81,19 +109,25 @@ def coverage_scores(responses: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.withColumn("coverage", (0.4 * F.col("keyword_recall") + 0.3 * F.col("symbol_recall")) / 0.7)
 
 
-def bootstrap_ci(df: DataFrame, column: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap_ci(df: DataFrame, column: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """One row: point, low, high of the mean. Rows get seeded Poisson weights per replicate instead of being drawn, so each
-    row is weighed where it lies and only (replicate, sums) move."""
-    clean = df.where(~F.isnan(column) & F.col(column).isNotNull()).select(F.col(column).alias("x"), F.monotonically_increasing_id().alias("rid"))
-    rows = clean.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "rid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    weight, tail, p = F.lit(0), 1.0, 0.36787944117144233
-    for n in range(1, 8):  # the Poisson distribution of mean 1
-        tail -= p
-        weight = F.when(u >= 1 - tail, n).otherwise(weight)
-        p /= n
-    means = rows.withColumn("w", weight).groupBy("replicate").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"))
+    row is weighed where it lies, and a task leaves one row of sums per replicate."""
+    clean = df.where(~F.isnan(column) & F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights, n = np.zeros(n_boot), np.zeros(n_boot), 0
+        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
+        for batch in batches:
+            x = batch["x"].to_numpy()
+            for i in range(0, len(x), 64):
+                w = rng.poisson(1.0, (n_boot, len(x[i : i + 64])))
+                sums, weights, n = sums + w @ x[i : i + 64], weights + w.sum(axis=1), n + 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), pa.array(sums), pa.array(weights)], names=["replicate", "s", "w"])
+
+    means = clean.mapInArrow(weigh, "replicate long, s double, w double").groupBy("replicate").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
     ends = means.agg(F.expr(f"percentile_disc({alpha / 2}) WITHIN GROUP (ORDER BY mean)").alias("low"), F.expr(f"percentile_disc({1 - alpha / 2}) WITHIN GROUP (ORDER BY mean)").alias("high"))
+    # one row
     return clean.agg(F.avg("x").alias("point")).join(F.broadcast(ends), F.lit(True))
 
 

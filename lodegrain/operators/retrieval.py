@@ -6,10 +6,14 @@ by its terms' postings.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .topk import min_max_normalise, top_k_per
+from .topk import min_max_normalise, numbered, top_k_per
 
 
 def code_tokens(text: Column) -> Column:
@@ -85,25 +89,96 @@ def fuzzy_match(query_terms: DataFrame, tokens: DataFrame, least: int = 3) -> Da
     return rows.where((F.levenshtein("term", "matched") == 1) | (same & (swapped == F.col("matched"))))
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, min_sim: float = 0.0, most_broadcast: int = 10_000) -> DataFrame:
-    """query_id, vec_id, similarity, rank: exact cosine of every query vector with every live vector, greater than min_sim.
+def _blocks(queries: DataFrame, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the stated queries, `most` at a time: what a task holds of them."""
+    n = -(-queries.count() // most)
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    out = []
+    for block in range(n):
+        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block)
+        table = own.toArrow()
+        out.append((table["query_id"].to_numpy(), _unit(np.array(table["q"].to_pylist(), float).reshape(table.num_rows, -1))))
+    return out
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, min_sim: float = 0.0, most_queries: int = 10_000, key: str = "vec_id") -> DataFrame:
+    """query_id, key, similarity, rank: exact cosine of every query vector with every live vector, greater than min_sim.
 
-    The stated query set is broadcast after its size is checked; a larger one is taken in blocks. Each task keeps k rows per
-    query before anything moves."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x))
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).withColumn("qn", norm(F.col("q")))
-    d = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("d")).withColumn("dn", norm(F.col("d")))
-    n = queries.count()
-    blocks = -(-n // most_broadcast) or 1
+    The stated query set goes to the tasks as one matrix of `most_queries` rows at most (a larger set in blocks, with a pass
+    over the vectors each); a batch of vectors is multiplied with it, and leaves k rows per query before anything moves."""
     best = None
-    for block in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = d.join(F.broadcast(part), F.lit(True))
-        dot = F.aggregate(F.zip_with("q", "d", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-        rows = rows.select("query_id", "vec_id", F.round(F.when((F.col("qn") > 0) & (F.col("dn") > 0), dot / (F.col("qn") * F.col("dn"))).otherwise(0.0), 9).alias("similarity"))
-        rows = top_k_per(rows.where(F.col("similarity") > min_sim), ["query_id"], [F.desc("similarity"), F.col("vec_id")], k, "rank")
+    d = vectors.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("d")).where(F.size("d") > 0)
+    for ids, unit in _blocks(queries, most_queries):
+
+        def nearest(batches: Iterator[pa.RecordBatch], ids=ids, unit=unit) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = batch[key].to_numpy()
+                sims = np.round(unit @ _unit(batch["d"].flatten().to_numpy().reshape(batch.num_rows, -1)).T, 9)
+                for q, row in zip(ids.tolist(), sims):
+                    at = np.lexsort((keys, -row))[:k]
+                    at = at[row[at] > min_sim]
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.int64()), pa.array(keys[at]), pa.array(row[at])], names=["query_id", key, "similarity"])
+
+        rows = d.mapInArrow(nearest, f"query_id long, {key} long, similarity double")
         best = rows if best is None else best.unionByName(rows)
-    return best
+    if best is None:
+        best = d.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("similarity")).limit(0)
+    return top_k_per(best, ["query_id"], [F.desc("similarity"), F.col(key)], k, "rank")
+
+
+def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, min_sim: float = 0.0, key: str = "vec_id", tables: int = 24, bits: int = 6, seed: int = 42) -> DataFrame:
+    """query_id, key, similarity, rank: approximate neighbours. Every vector is put in one bucket of each table, named by the
+    signs of its products with `bits` random directions; a query meets the vectors of its buckets and of those that differ
+    in one sign, and what it meets is compared exactly. Only (bucket, id) rows and the vectors met move."""
+    first = vectors.select(F.col("embedding").cast("array<double>").alias("d")).first()
+    width = len(first["d"]) if first else 1
+    planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
+    powers = 1 << np.arange(bits)
+
+    def buckets(rows: DataFrame, name: str, near: bool) -> DataFrame:
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes = ((batch["d"].flatten().to_numpy().reshape(batch.num_rows, -1) @ planes > 0).reshape(batch.num_rows, tables, bits) * powers).sum(axis=2)
+                found = np.stack([codes] + ([codes ^ p for p in powers] if near else []), axis=2) + (np.arange(tables) << bits)[None, :, None]
+                each = found.shape[1] * found.shape[2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch[name].to_numpy(), each)), pa.array(found.reshape(-1).astype(np.int64))], names=[name, "bucket"])
+
+        return rows.mapInArrow(sign, f"{name} long, bucket long")
+
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("d"))
+    v = vectors.select(F.col(key).cast("long").alias("vector"), F.col("embedding").cast("array<double>").alias("d"))
+    met = buckets(q, "query_id", True).join(buckets(v, "vector", False), "bucket").select("query_id", "vector").distinct()
+    rows = met.join(q.withColumnRenamed("d", "q"), "query_id").join(v, "vector")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z)
+    norms = F.sqrt(dot("q", "q") * dot("d", "d"))
+    rows = rows.select("query_id", F.col("vector").alias(key), F.round(F.when(norms > 0, dot("q", "d") / norms).otherwise(0.0), 9).alias("similarity"))
+    return top_k_per(rows.where(F.col("similarity") > min_sim), ["query_id"], [F.desc("similarity"), F.col(key)], k, "rank")
+
+
+def hybrid_search(query_terms: DataFrame, postings: DataFrame, query_vectors: DataFrame, vectors: DataFrame, quality: DataFrame | None = None, limit: int = 10, over_fetch: int = 3, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score, source, rank: the lexical and the vector list, each `over_fetch` times as long as wanted, fused by
+    reciprocal ranks; with `quality` (key, quality; 0 where missing) reranked; then cut."""
+    deep = limit * over_fetch
+    fused = rrf(bm25(query_terms, postings, deep, key=key), cosine_top_k(query_vectors, vectors, deep, key=key), key, limit=None if quality is not None else limit)
+    if quality is None:
+        return fused
+    rows = fused.drop("rank").join(quality, key, "left").fillna(0, ["quality"])
+    return quality_rerank(rows, limit, key).select("query_id", key, "score", "source", "rank")
+
+
+def compact_vectors(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The live vectors with `slot`, their number from 0 in key order; ranks come from sorted parts, so nothing is in one task."""
+    live = vectors.where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
+    return numbered(live, key, "slot")
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, key: str = "doc_id", k: int = 60, limit: int | None = 10) -> DataFrame:

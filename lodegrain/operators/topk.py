@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.snapshots import saved
+
 
 def top_k_per(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str | None = None) -> DataFrame:
     """The first k rows of each key (all if k is None); `rank` names a column for the place, from 1. Spark drops rows
@@ -43,3 +45,13 @@ def min_max_normalise(df: DataFrame, keys: list[str], score: str = "score", name
     w = Window.partitionBy(*keys)
     low, high = F.min(score).over(w), F.max(score).over(w)
     return df.withColumn(name, (F.col(score) - low) / F.greatest(high - low, F.lit(0.001)))
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Add `name`, each row's number from 0 in the order of a unique key: sorted parts are saved with the places in them, and
+    one row a part tells what lies before it."""
+    rows = saved(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    return rows.join(starts, "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")

@@ -29,13 +29,18 @@ def span_store_stats(v: Views):
     return T.span_store_stats(spans(v))
 
 
-@query("""SELECT span_id, path, line, (SELECT min_by(name, ordinal) FROM symbols s WHERE s.path = p.path AND line BETWEEN line_start AND line_end) AS symbol FROM points p""",
-       """points AS (SELECT event_id AS span_id, event_type AS path, CAST(event_id * 7 % 500 AS INT) AS line FROM events),
-  symbols AS (SELECT path, name, ordinal, ordinal * 12 + 1 AS line_start, ordinal * 12 + 1 + ordinal % 5 * 9 AS line_end FROM (SELECT event_type AS path FROM events GROUP BY 1), (SELECT CAST(p_partkey AS INT) AS ordinal, p_name AS name FROM part WHERE p_partkey <= 40))""")
+@query("SELECT p.span_id, p.path, p.line, min_by(name, ordinal) AS symbol FROM points p LEFT JOIN symbols s ON s.path = p.path AND line BETWEEN line_start AND line_end GROUP BY ALL",
+       """bound AS (SELECT max(p_partkey) + 1 AS n FROM part), points AS (SELECT event_id AS span_id, event_type AS path, CAST(event_id * 7 % (n * 12 + 20) AS INT) AS line FROM events, bound),
+  symbols AS (SELECT path, name, ordinal, ordinal * 12 + 1 AS line_start, ordinal * 12 + 1 + ordinal % 5 * 9 AS line_end FROM (SELECT event_type AS path FROM events GROUP BY 1), (SELECT CAST(p_partkey AS INT) AS ordinal, p_name AS name FROM part))""")
 def attribute_spans(v: Views):
-    points = v.events.select(F.col("event_id").alias("span_id"), F.col("event_type").alias("path"), (F.col("event_id") * 7 % 500).cast("int").alias("line"))
-    names = v.part.where("p_partkey <= 40").select(F.col("p_partkey").cast("int").alias("ordinal"), F.col("p_name").alias("name"))
-    symbols = v.events.select(F.col("event_type").alias("path")).distinct().join(F.broadcast(names), F.lit(True))
+    """Every part is a symbol of every path; the spans' lines lie over all of them."""
+    n = v.part.agg((F.max("p_partkey") + 1).alias("n"))
+    # one row
+    points = v.events.join(F.broadcast(n), F.lit(True))
+    points = points.select(F.col("event_id").alias("span_id"), F.col("event_type").alias("path"), (F.col("event_id") * 7 % (F.col("n") * 12 + 20)).cast("int").alias("line"))
+    names = v.part.select(F.col("p_partkey").cast("int").alias("ordinal"), F.col("p_name").alias("name"))
+    paths = v.events.select(F.col("event_type").alias("path")).distinct()
+    symbols = names.withColumn("path", F.explode(F.array(*[F.lit(r[0]) for r in paths.collect()])))  # the few types of events
     symbols = symbols.withColumn("line_start", F.col("ordinal") * 12 + 1).withColumn("line_end", F.col("line_start") + F.col("ordinal") % 5 * 9)
     return T.attribute_spans(points, symbols)
 

@@ -8,7 +8,7 @@ from ..operators import code as K
 from ..operators import graph as G
 from .catalog import Views, query
 from .fixtures import edges
-from .graph_queries import _GODS, _LAYERS, _METRICS, _VIOLATIONS, layered, metrics, modules
+from .graph_queries import _CYCLES, _GODS, _LAYERS, _METRICS, _VIOLATIONS, layered, metrics, modules
 
 _RUST = ["pub fn f_{} () {{", "struct S{};", "use crate::m{}::X;", "    let a = {};", "pub enum E{} {{", "// fn no{}", "async fn g_{}(x: u8)"]
 
@@ -61,8 +61,7 @@ def build_quality_score(v: Views):
     return K.build_quality_score(v.orders.select(F.col("o_orderkey").alias("build_id"), (F.col("o_orderstatus") != "F").alias("compiled"), F.lit(10).alias("tests"), (F.col("o_custkey") % 10).alias("passed"), (F.col("o_orderkey") % 3).alias("warnings"), (F.col("o_orderkey") % 9).alias("seconds")))
 
 
-@query("""SELECT 2 AS class, CAST(module AS VARCHAR) AS subject, 'split the module' AS advice FROM gods UNION ALL SELECT 3, src || '->' || dst, 'turn the dependency round' FROM violations
-  UNION ALL SELECT 4, CAST(module AS VARCHAR), 'depend on less' FROM metrics WHERE instability > 0.8 AND ce > 5""", _METRICS + _GODS + _LAYERS + _VIOLATIONS)
+@query("""SELECT 1 AS class, CAST(cycle AS VARCHAR) AS subject, 'break the cycle' AS advice FROM cyc UNION ALL SELECT 2, CAST(module AS VARCHAR), 'split the module' FROM gods UNION ALL SELECT 3, src || '->' || dst, 'turn the dependency round' FROM violations
+  UNION ALL SELECT 4, CAST(module AS VARCHAR), 'depend on less' FROM metrics WHERE instability > 0.8 AND ce > 5""", "RECURSIVE " + _METRICS + _GODS + _LAYERS + _VIOLATIONS + _CYCLES)
 def recommendations(v: Views):
-    none = v.spark.createDataFrame([], "cycle long")
-    return K.recommendations(none, G.god_objects(metrics(v).join(modules(v), "module")), G.layer_violations(edges(v), layered(v)), metrics(v))
+    return K.recommendations(G.cycles(edges(v)), G.god_objects(metrics(v).join(modules(v), "module")), G.layer_violations(edges(v), layered(v)), metrics(v))

@@ -39,12 +39,6 @@ def spans(v: Views) -> DataFrame:
 
 
 def edges(v: Views) -> DataFrame:
-    rows = v.lineitem.where("l_orderkey < 300").select(((F.col("l_partkey") * 7) % 200).alias("src"), ((F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 200).alias("dst"))
-    rows = rows.where("src <> dst and (src % 4 <> 0 or dst % 4 = 0)")
-    return rows.groupBy("src", "dst").agg(F.count("*").alias("weight"))
-
-
-def edges_full(v: Views) -> DataFrame:
     """Every lineitem row as an edge from its part to a part drawn from its order, never to itself; parts divisible by four
     lead to such parts only. The parts are the nodes, so the graph grows with the tables."""
     n = v.part.agg((F.max("p_partkey") + 1).alias("n"))
@@ -55,8 +49,8 @@ def edges_full(v: Views) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def modules_full(v: Views) -> DataFrame:
-    """Every part as a module, named as in `edges_full`."""
+def modules(v: Views) -> DataFrame:
+    """Every part as a module, named as in `edges`."""
     return v.part.select(F.col("p_partkey").alias("module"), F.col("p_size").alias("functions"), (F.col("p_size") * 2).alias("symbols"), (F.col("p_size") * 40).alias("lines"))
 
 
@@ -76,5 +70,6 @@ ACTIVITY = f"""activity AS (SELECT user_id AS session, event_id, {_TS.format('ts
   'm' || CAST(floor(k / 10) AS BIGINT) AS module, 'm' || CAST(floor(k / 10) AS BIGINT) || '/f' || k AS subject
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 SPANS = "spans AS (SELECT event_id AS span_id, event_type || ':' || json_extract_string(props, '$.k') AS location, value AS duration_ms, ts FROM events)"
-EDGES = """edges AS (SELECT src, dst, count(*) AS weight FROM (SELECT (l_partkey * 7) % 200 AS src, (l_orderkey * 3 + l_linenumber) % 200 AS dst FROM lineitem
-  WHERE l_orderkey < 300) WHERE src <> dst AND (src % 4 <> 0 OR dst % 4 = 0) GROUP BY ALL)"""
+EDGES = """edges AS (SELECT src, dst, count(*) AS weight FROM (SELECT l_partkey AS src, (l_partkey + CASE WHEN l_partkey % 4 = 0 THEN 4 * (1 + k % greatest(n // 4 - 1, 1)) ELSE 1 + k % greatest(n - 1, 1) END) % n AS dst
+  FROM (SELECT l_partkey, l_orderkey * 3 + l_linenumber AS k FROM lineitem), (SELECT max(p_partkey) + 1 AS n FROM part)) GROUP BY ALL)"""
+MODULES = "modules AS (SELECT p_partkey AS module, p_size AS functions, p_size * 2 AS symbols, p_size * 40 AS lines FROM part)"

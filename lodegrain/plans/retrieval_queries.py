@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators.topk import average_ranks, dedupe_best, min_max_normalise
+from ..sources.snapshots import saved
 from .catalog import Views, query
 
 
 def query_terms(v: Views):
-    """The first five words of each benchmark item."""
-    words = F.slice(R.prose_tokens(F.col("text")), 1, 5)
-    return v.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(words)).alias("term"), F.lit(1.0).alias("weight"))
+    """All distinct words of each benchmark item."""
+    return v.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.prose_tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
+
+
+def postings(v: Views):
+    """Texts are read and split once; counts, lengths and hits come from the saved table."""
+    return saved(R.build_postings(v.documents), "postings")
 
 
 def _tokens(text: str) -> str:
@@ -21,14 +26,14 @@ def _tokens(text: str) -> str:
 
 
 _POSTINGS = f"postings AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL)"
-_TERMS = f", terms AS (SELECT DISTINCT item_id AS query_id, unnest(({_tokens('text')})[1:5]) AS term FROM benchmark)"
+_TERMS = f", terms AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark)"
 _BM25 = _POSTINGS + _TERMS + """, lengths AS (SELECT doc_id, sum(tf) AS length FROM postings GROUP BY doc_id), averages AS (SELECT count(*) AS docs, avg(length) AS al FROM lengths), dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 9) AS score FROM terms JOIN postings USING (term) JOIN dfs USING (term) JOIN lengths USING (doc_id), averages GROUP BY ALL),
 lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
 
 
 def lexical(v: Views, limit: int = 10):
-    return R.bm25(query_terms(v), R.build_postings(v.documents), limit)
+    return R.bm25(query_terms(v), postings(v), limit)
 
 
 @query("SELECT term, 'body' AS field, doc_id, tf FROM postings", _POSTINGS)
@@ -46,14 +51,14 @@ def bm25(v: Views):
     return lexical(v).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT DISTINCT query_id, t.term, p.term AS matched, doc_id FROM terms t JOIN postings p ON starts_with(p.term, t.term) WHERE length(t.term) BETWEEN 5 AND 12", _POSTINGS + _TERMS)
+@query("SELECT DISTINCT query_id, t.term, p.term AS matched, doc_id FROM terms t JOIN postings p ON starts_with(p.term, t.term) WHERE length(t.term) BETWEEN 3 AND 12", _POSTINGS + _TERMS)
 def prefix_match(v: Views):
-    return R.prefix_match(query_terms(v), R.build_postings(v.documents), least=5)
+    return R.prefix_match(query_terms(v), postings(v))
 
 
 @query("SELECT DISTINCT query_id, t.term, p.term AS matched FROM terms t, (SELECT DISTINCT term FROM postings) p WHERE length(t.term) >= 3 AND length(p.term) >= 2 AND damerau_levenshtein(t.term, p.term) = 1", _POSTINGS + _TERMS)
 def fuzzy_match(v: Views):
-    return R.fuzzy_match(query_terms(v), R.build_postings(v.documents))
+    return R.fuzzy_match(query_terms(v), postings(v))
 
 
 _COSINE = """pairs AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 9) AS similarity FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0),
@@ -69,16 +74,46 @@ def cosine_top_k(v: Views):
     return nearest(v).withColumn("similarity", F.round("similarity", 6))
 
 
-_RRF = _BM25 + ", other AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM scored) WHERE rank <= 10)" + """,
-fused AS (SELECT query_id, doc_id, round(sum(part) * 30.5, 9) AS score, CASE WHEN count(*) > 1 THEN 'both' ELSE min(source) END AS source FROM (SELECT query_id, doc_id, 1 / (60 + rank) AS part, 'bm25' AS source FROM lexical WHERE rank <= 10
-  UNION ALL SELECT query_id, doc_id, 1 / (60 + rank), 'vector' FROM other) GROUP BY ALL)"""
+def vector_queries(v: Views):
+    """The vector of each benchmark item: the one of its number."""
+    return v.benchmark.select(F.col("item_id").alias("query_id")).join(v.embeddings, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+
+
+def document_vectors(v: Views):
+    """A vector is its document's."""
+    return v.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+_VECTOR = """, pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 9) AS similarity FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings d),
+vector AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM pairs WHERE similarity > 0)"""
+
+
+def _rrf(deep: int) -> str:
+    return _BM25 + _VECTOR + f""", fused AS (SELECT query_id, doc_id, round(sum(part) * 30.5, 9) AS score, CASE WHEN count(*) > 1 THEN 'both' ELSE min(source) END AS source FROM (SELECT query_id, doc_id, 1 / (60 + rank) AS part, 'bm25' AS source FROM lexical WHERE rank <= {deep}
+  UNION ALL SELECT query_id, doc_id, 1 / (60 + rank), 'vector' FROM vector WHERE rank <= {deep}) GROUP BY ALL)"""
 
 
-@query("SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM fused) WHERE rank <= 10", _RRF)
+@query("SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM fused) WHERE rank <= 10", _rrf(10))
 def fuse_ranked(v: Views):
-    every = R.bm25(query_terms(v), R.build_postings(v.documents), None)
-    other = R.top_k_per(every.drop("rank"), ["query_id"], [F.col("doc_id")], 10, "rank")
-    return R.rrf(every.where("rank <= 10"), other)
+    return R.rrf(lexical(v), R.cosine_top_k(vector_queries(v), document_vectors(v), 10, key="doc_id"))
+
+
+@query("""SELECT query_id, doc_id, score, source, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
+  (SELECT query_id, doc_id, round(0.7 * score + 0.3 * coalesce(quality, 0) / 0.55, 9) AS score, source FROM fused LEFT JOIN labels USING (doc_id))) WHERE rank <= 10""", _rrf(30))
+def hybrid_search(v: Views):
+    return R.hybrid_search(query_terms(v), postings(v), vector_queries(v), document_vectors(v), v.labels.select("doc_id", "quality"))
+
+
+@query()
+def approx_top_k(v: Views):
+    """Every vector is in the tables; the queries are those whose id is divisible by 50."""
+    q = v.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.approx_top_k(q, v.embeddings, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, vec_id, len(embedding) AS dims FROM embeddings WHERE vec_id % 5 <> 0")
+def compact_vectors(v: Views):
+    return R.compact_vectors(v.embeddings.withColumn("deleted", F.col("vec_id") % 5 == 0)).select("slot", "vec_id", F.size("embedding").cast("long").alias("dims"))
 
 
 @query("""SELECT query_id, doc_id, round((score - low) / greatest(high - low, 0.001), 6) AS norm FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS low, max(score) OVER (PARTITION BY query_id) AS high FROM lexical WHERE rank <= 10)""", _BM25)
@@ -104,7 +139,7 @@ def quality_rerank(v: Views):
        _BM25 + ", judged AS (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id FROM terms), labels WHERE quality = 1 AND (doc_id + query_id) % 7 = 0)")
 def retrieval_metrics(v: Views):
     queries = query_terms(v).select("query_id").distinct()
-    judged = v.labels.where("quality = 1").join(F.broadcast(queries), (F.col("doc_id") + F.col("query_id")) % 7 == 0).select("query_id", "doc_id")
+    judged = v.labels.where("quality = 1").join(queries, (F.col("doc_id") + F.col("query_id")) % 7 == 0).select("query_id", "doc_id")
     rows = E.retrieval_metrics(lexical(v), judged, 10)
     return rows.select("query_id", *[F.round(c, 6).alias(c) for c in ("mrr", "p_at_k", "r_at_k")])
 
@@ -160,7 +195,7 @@ def coverage_scores(v: Views):
 
 @query()
 def bootstrap_ci(v: Views):
-    return E.bootstrap_ci(v.events, "value", n_boot=200)
+    return E.bootstrap_ci(v.events, "value")
 
 
 @query("SELECT round(avg(l_tax - l_discount) / stddev_samp(l_tax - l_discount), 6) AS d FROM lineitem")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodegrain.functions import paths as P
+from lodegrain.operators import code, consistency, evaluation, questions, retrieval
 from lodegrain.operators import graph as G
 from lodegrain.operators import history as H
 from lodegrain.operators import retrieval as R
@@ -119,3 +121,72 @@ def test_load_spans(spark):
       trace_id:binary,span_id:binary,name:string,start_ns:bigint,end_ns:bigint,attributes:array<struct<key:string,value:string>>>>>>>>"""
     raw = spark.createDataFrame([([([("service.name", "api")], [([(b"\x01\xff", b"\x02", "op", 1_000_000, 500_000, [("code.filepath", "a.rs"), ("code.lineno", "7")])],)])],)], schema)
     assert tuple(T.load_spans(raw).first()) == ("api", "01ff", "02", "op", 0.0, "a.rs", 7)
+
+
+def test_clean_query_and_synonyms(spark):
+    rows = [(1, "How is the MomentumEngine chunked, build_smart_context?"), (2, ""), (3, None), (4, "cache cache error"), (5, "authentication")]
+    got = {}
+    for r in questions.clean_query(spark.createDataFrame(rows, "query_id long, text string")).collect():
+        got.setdefault(r["query_id"], {})[r["term"]] = r["weight"]
+    assert got[1] == dict.fromkeys(["momentumengine", "momentum", "engine", "chunked", "build_smart_context", "build", "smart", "context"], 3.0) | dict.fromkeys(
+        ["chunk", "chunking", "compile", "make", "ctx", "scope"], 0.5)
+    assert got[4] == {"cache": 3.0, "error": 3.0, "memoize": 0.5, "store": 0.5, "exception": 0.5, "failure": 0.5}
+    assert got[5] == {"authentication": 3.0, "authentica": 0.5, "authenticate": 0.5} and 2 not in got and 3 not in got
+
+
+def test_intent_of_requests(spark):
+    rows = [("fix the security bug", "bug_fix", [("bug_fix", 3), ("security", 2)]), ("hello", "general", []), ("audit and understand", "security", [("security", 2), ("explain", 2)])]
+    for text, intent, scores in rows:
+        row = spark.createDataFrame([(text,)], "t string").select(questions.query_intent(F.col("t")).alias("i"), questions.intent_scores(F.col("t")).alias("s"), questions.query_intent(F.col("t"), F.lit(True)).alias("with")).first()
+        assert (row["i"], [tuple(x) for x in row["s"]]) == (intent, scores) and row["with"] == ("explain" if intent == "general" else intent)
+
+
+def test_security_context_and_context_text(spark):
+    docs = spark.createDataFrame([(1, "password = \"zX9kQ27vLm4T\" and bob.smith77@corp-mail.net"), (2, "nothing")], "doc_id long, text string")
+    requests = spark.createDataFrame([("a", "general"), ("b", "security"), ("c", "general"), ("d", "security")], "request_id string, intent string")
+    targets = spark.createDataFrame([("a", 1), ("d", 2)], "request_id string, doc_id long")
+    got = {r["request_id"]: (r["scanned"], r["status"]) for r in questions.security_context(requests, targets, docs).collect()}
+    assert got == {"a": (1, "ALERT"), "b": (2, "ALERT"), "c": (0, "NOT_SCANNED"), "d": (1, "CLEAN")}
+    rows = spark.createDataFrame([("a", 2, "y", 0.5, "l1"), ("a", 1, "x", 1.0, "\n".join(f"l{i}" for i in range(20))), ("b", 1, "z", 0.0, None)], "request_id string, rank int, path string, score double, text string")
+    text = {r["request_id"]: r["context"] for r in questions.context_text(rows).collect()}
+    assert text["a"].startswith("## x (1.000)\nl0\n") and "l11" in text["a"] and "l12" not in text["a"] and text["a"].endswith("## y (0.500)\nl1") and text["b"] == "## z (0.000)\n"
+
+
+def test_index_texts_of_symbols(spark):
+    content = "use x;\n/// Adds\n/// two numbers.\nfn add(a: i32) {\n  total + a\n}\n" + "\n".join(f"line{i}" for i in range(60))
+    files = spark.createDataFrame([("a.rs", content)], "path string, content string")
+    symbols = spark.createDataFrame([("a.rs", "add", 4, 6), ("a.rs", "long", 7, 66), ("a.rs", "first", 1, 1)], "path string, name string, line_start int, line_end int")
+    docs = {r["name"]: r["doc"] for r in code.doc_comment_above(files, symbols).collect()}
+    assert docs == {"add": "Adds\ntwo numbers.", "long": "", "first": ""}
+    bodies = {r["name"]: r["snippet"] for r in code.body_snippet(files, symbols).collect()}
+    assert bodies["add"] == "fn add(a: i32) {\n  total + a\n}" and len(bodies["long"].split("\n")) == 41 and bodies["long"].endswith("line59")
+    row = files.select(code.body_keywords(F.lit("fn Total(self) { return total + Sum for x }")).alias("k"),
+                       code.embedding_text(F.lit("add"), F.lit("fn add()"), F.lit(None).cast("string"), F.array(F.lit("total"))).alias("e")).first()
+    assert row["k"] == ["total", "sum"] and row["e"] == "add add add fn add() fn add() total"
+    log = "a = 1\n  tracing::info!(\"x\");\nlogger.debug(x)\nb = 2\ninfo!(\n  x\n);\n" + "z" * 300
+    pruned = files.select(consistency.prune_log_lines(F.lit(log)).alias("p")).first()["p"].split("\n")
+    assert pruned == ["a = 1", "// [log]", "b = 2", "info!(", "  x", ");", "z" * 200 + " ..."]
+
+
+def test_neighbours_are_found(spark, data):
+    v = spark.read.parquet(f"{data}/embeddings.parquet")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r["query_id"], r["vec_id"]): (r["rank"], r["similarity"]) for r in retrieval.cosine_top_k(q, v, 10).collect()}
+    near = {(r["query_id"], r["vec_id"]): r["similarity"] for r in retrieval.approx_top_k(q, v, 10).collect()}
+    assert len(set(exact) & set(near)) >= 0.9 * len(exact)
+    assert all(abs(near[k] - exact[k][1]) < 1e-6 for k in set(exact) & set(near))
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in v.collect()}
+    for a in {a for a, _ in exact}:
+        sims = sorted(((round(float(x @ rows[a] / np.linalg.norm(x) / np.linalg.norm(rows[a])), 9), -i) for i, x in rows.items()), reverse=True)[:10]
+        assert [-i for s, i in sims if s > 0] == [k for _, k in sorted((r, k) for (q_, k), (r, _) in exact.items() if q_ == a)]
+    assert retrieval.cosine_top_k(q.limit(0), v).count() == 0
+
+
+def test_bootstrap_interval(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(5, 2, 400)
+    rows = spark.createDataFrame([(float(a),) for a in x] + [(None,), (float("nan"),)], "x double").repartition(3)
+    got = evaluation.bootstrap_ci(rows, "x", n_boot=4000).first()
+    half = 1.96 * x.std() / 20
+    assert abs(got["point"] - x.mean()) < 1e-9 and abs(got["low"] - (x.mean() - half)) < 0.05 and abs(got["high"] - (x.mean() + half)) < 0.05
+    assert evaluation.bootstrap_ci(rows.where("x > 1e9"), "x", n_boot=10).first()["point"] is None

@@ -10,7 +10,9 @@ import pytest
 
 from lodegrain.plans import QUERIES
 from lodegrain.plans.catalog import Views
-from lodegrain.plans.fixtures import edges_full
+from lodegrain.operators import graph as G
+from lodegrain.operators import retrieval as R
+from lodegrain.plans.fixtures import edges
 
 
 @pytest.fixture(scope="module")
@@ -38,10 +40,10 @@ def reached(starts, follow):
 
 def test_every_lineitem_row_is_in_the_graph(spark, data, graph):
     v = Views(spark, data)
-    got = {(r["src"], r["dst"]): r["weight"] for r in edges_full(v).collect()}
+    got = {(r["src"], r["dst"]): r["weight"] for r in edges(v).collect()}
     assert got == graph and sum(got.values()) == v.lineitem.count()
     assert {x for pair in got for x in pair} == {r[0] for r in v.part.select("p_partkey").collect()} and all(a != b for a, b in got)
-    assert {tuple(r) for r in QUERIES["dependency_pairs_whole"](spark, data).select("src", "dst").collect()} == set(graph)
+    assert {tuple(r) for r in QUERIES["dependency_pairs"](spark, data).select("src", "dst").collect()} == set(graph)
 
 
 def test_pagerank_whole(spark, data, graph):
@@ -55,7 +57,7 @@ def test_pagerank_whole(spark, data, graph):
         moved, ranks = max(abs(new[x] - ranks[x]) for x in nodes), new
         if moved < 1e-6:
             break
-    got = {r["node"]: r["rank"] for r in QUERIES["pagerank_whole"](spark, data).collect()}
+    got = {r["node"]: r["rank"] for r in G.pagerank(edges(Views(spark, data))).collect()}
     assert got == pytest.approx({x: r / max(ranks.values()) for x, r in ranks.items()}, abs=1e-9)
 
 
@@ -67,9 +69,9 @@ def test_cycles_components_and_degrees_whole(spark, data, graph):
         both[a].add(b)
         both[b].add(a)
     rings = {x: min(reached([x], ahead) & reached([x], back)) for x in both if len(reached([x], ahead) & reached([x], back)) > 1}
-    assert {r["node"]: r["cycle"] for r in QUERIES["cycles_whole"](spark, data).collect()} == rings and len(set(rings.values())) > 1
-    assert {r["node"]: r["component"] for r in QUERIES["connected_components_whole"](spark, data).collect()} == {x: min(reached([x], both)) for x in both}
-    assert {r["node"]: (r["in_degree"], r["out_degree"]) for r in QUERIES["degrees_whole"](spark, data).collect()} == {x: (len(back[x]), len(ahead[x])) for x in both}
+    assert {r["node"]: r["cycle"] for r in QUERIES["cycles"](spark, data).collect()} == rings and len(set(rings.values())) > 1
+    assert {r["node"]: r["component"] for r in QUERIES["connected_components"](spark, data).collect()} == {x: min(reached([x], both)) for x in both}
+    assert {r["node"]: (r["in_degree"], r["out_degree"]) for r in QUERIES["degrees"](spark, data).collect()} == {x: (len(back[x]), len(ahead[x])) for x in both}
 
 
 def layer(module: int) -> tuple[str, int] | None:
@@ -82,23 +84,23 @@ def test_reports_over_every_module(spark, data, graph):
     ce, ca, out, into = Counter(), Counter(), Counter(), Counter()
     for (a, b), w in graph.items():
         ce[a], ca[b], out[a], into[b] = ce[a] + 1, ca[b] + 1, out[a] + w, into[b] + w
-    got = {r["module"]: r for r in QUERIES["coupling_whole"](spark, data).collect()}
+    got = {r["module"]: r for r in QUERIES["coupling"](spark, data).collect()}
     assert {m: (r["ce"], r["ca"], r["fan_out"], r["fan_in"], r["complexity"]) for m, r in got.items()} == {m: (ce[m], ca[m], out[m], into[m], s) for m, s in rows.items()}
     gods = {m: "symbols" if s * 2 > 50 else "lines" for m, s in rows.items() if s * 2 > 50 or (s * 40 > 1000 and into[m] >= 5)}
-    assert {r["module"]: r["reason"] for r in QUERIES["god_objects_whole"](spark, data).collect()} == gods and gods
+    assert {r["module"]: r["reason"] for r in QUERIES["god_objects"](spark, data).collect()} == gods and gods
     layers = {m: layer(m) for m in rows if layer(m)}
-    assert {r["module"]: (r["layer"], r["layer_rank"]) for r in QUERIES["assign_layers_whole"](spark, data).collect()} == layers
+    assert {r["module"]: (r["layer"], r["layer_rank"]) for r in QUERIES["assign_layers"](spark, data).collect()} == layers
     wrong = {(a, b) for a, b in graph if a in layers and b in layers and layers[a][1] < layers[b][1]}
-    assert {(r["src"], r["dst"]) for r in QUERIES["layer_violations_whole"](spark, data).collect()} == wrong and wrong
+    assert {(r["src"], r["dst"]) for r in QUERIES["layer_violations"](spark, data).collect()} == wrong and wrong
     density = len(graph) / (len(rows) * (len(rows) - 1))
-    row = QUERIES["graph_density_whole"](spark, data).first()
+    row = QUERIES["graph_density"](spark, data).first()
     assert (row["modules"], row["edges"]) == (len(rows), len(graph)) and row["density"] == pytest.approx(density)
-    odd = QUERIES["density_anomaly_whole"](spark, data).count()
+    odd = QUERIES["density_anomaly"](spark, data).count()
     assert odd == (density > 0.5 or density < 0.02)
-    rings = {r["cycle"] for r in QUERIES["cycles_whole"](spark, data).collect()}
-    found = Counter(r["rule"] for r in QUERIES["lint_graph_whole"](spark, data).collect())
+    rings = {r["cycle"] for r in QUERIES["cycles"](spark, data).collect()}
+    found = Counter(r["rule"] for r in QUERIES["lint_graph"](spark, data).collect())
     assert found == +Counter(cycle=len(rings), god_object=len(gods), layer=len(wrong), density=odd)
-    report = QUERIES["architecture_report_whole"](spark, data).first()
+    report = QUERIES["architecture_report"](spark, data).first()
     assert (report["coupling"], report["errors"], report["warnings"]) == (max(graph.values()), len(rings) + len(wrong), len(gods) + odd)
     assert report["complexity"] == pytest.approx(sum(rows.values()) / len(rows))
 
@@ -111,7 +113,7 @@ def test_spans_meet_symbols_of_every_part(spark, data):
     for span, path in v.events.select("event_id", "event_type").collect():
         line = span * 7 % (n * 12 + 20)
         want[span] = (path, line, next((names[o] for o in range(max(line // 12 - 5, 0), min(line // 12 + 1, n)) if o in names and o * 12 + 1 <= line <= o * 12 + 1 + o % 5 * 9), None))
-    got = {r["span_id"]: (r["path"], r["line"], r["symbol"]) for r in QUERIES["attribute_spans_whole"](spark, data).select("span_id", "path", "line", "symbol").collect()}
+    got = {r["span_id"]: (r["path"], r["line"], r["symbol"]) for r in QUERIES["attribute_spans"](spark, data).select("span_id", "path", "line", "symbol").collect()}
     assert got == want and max(line for _, line, name in want.values() if name) > 40 * 12 + 40
 
 
@@ -143,15 +145,15 @@ def test_whole_passages_are_searched(spark, passages):
                 score += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * sum(tf.values()) / average))
             if score:
                 want[q, d] = score
-    got = {(r["query_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25_whole"](spark, at).collect()}
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in QUERIES["bm25"](spark, at).collect()}
     assert got == pytest.approx(want, abs=1e-6) and {(0, 0), (0, 4), (1, 2)} <= set(got)
     prefixes = {(q, t, m, d) for q, terms in items.items() for t in terms if 3 <= len(t) <= 12 for d, tf in docs.items() for m in tf if m.startswith(t)}
-    assert {tuple(r) for r in QUERIES["prefix_match_whole"](spark, at).select("query_id", "term", "matched", "doc_id").collect()} == prefixes
+    assert {tuple(r) for r in QUERIES["prefix_match"](spark, at).select("query_id", "term", "matched", "doc_id").collect()} == prefixes
     assert {(1, "cat", "catalog", 2), (1, "bird", "bird", 2)} <= prefixes
-    near = {(r["query_id"], r["doc_id"]) for name in ("fuse_ranked_whole", "min_max_whole", "quality_rerank_whole") for r in QUERIES[name](spark, at).collect()}
+    near = {(r["query_id"], r["doc_id"]) for name in ("min_max", "quality_rerank") for r in QUERIES[name](spark, at).collect()}
     assert near == set(want)
-    assert {(r["query_id"], r["source"]) for r in QUERIES["dedupe_hits_whole"](spark, at).collect()} == {(0, "a"), (0, "b"), (0, "c"), (1, "b")}
-    metrics = {r["query_id"]: r for r in QUERIES["retrieval_metrics_whole"](spark, at).collect()}
+    assert {(r["query_id"], r["source"]) for r in QUERIES["dedupe_hits"](spark, at).collect()} == {(0, "a"), (0, "b"), (0, "c"), (1, "b")}
+    metrics = {r["query_id"]: r for r in QUERIES["retrieval_metrics"](spark, at).collect()}
     place = sorted((-score, d) for (q, d), score in want.items() if q == 0).index((-want[0, 0], 0)) + 1
     assert metrics[0]["mrr"] == pytest.approx(1 / place) and metrics[0]["r_at_k"] == 0.5
 
@@ -159,36 +161,5 @@ def test_whole_passages_are_searched(spark, passages):
 def test_fuzzy_terms_after_the_fifth(spark, passages, tmp_path):
     spark.createDataFrame([(0, "zebta brid")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{passages[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {tuple(r) for r in QUERIES["fuzzy_match_whole"](spark, str(tmp_path)).select("query_id", "term", "matched").collect()}
+    got = {tuple(r) for r in QUERIES["fuzzy_match"](spark, str(tmp_path)).select("query_id", "term", "matched").collect()}
     assert got == {(0, "zebra", "zebta"), (1, "zeta", "zebta"), (1, "bird", "brid")}
-
-
-def test_pages_are_judged_by_text_markup_suffix_and_host(spark, tmp_path):
-    from lodegrain.llm.queries import QUERIES as LLM
-
-    langs = {"en": "the of and that with", "fr": "les des que dans pour", "de": "der die und das ist"}
-    docs = [(i, " ".join(langs[x].split()[j % 5] for j in range(i, i + 30)), x) for i, x in enumerate(list(langs) * 40)]
-    page = lambda x, body: f'<!DOCTYPE html><html lang="{x}"><style>p{{}}</style><script>var the = "and that"</script><p>{body}</p></html>'
-    pages = [(i, f"http://www.{x}-site{i % 5}.example.{x}/p", page(x, t)) for i, t, x in docs] + [(900, "http://www.fr-site1.example.fr/q", page("fr", "ok")), (901, None, None), (902, "http://x.org", "<p>1 2</p>")]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r["page_id"]: r for r in LLM["op6_language_id_pages"](spark, str(tmp_path)).collect()}
-    assert len(got) == len(pages) and all(got[i]["language"] == got[i]["markup"] == got[i]["suffix"] == x for i, _, x in docs)
-    assert got[900]["language"] == "fr" and got[900]["kept"] and got[900]["host"] == "www.fr-site1.example.fr"
-    assert got[901]["language"] == got[902]["language"] == "und" and not got[901]["kept"]
-
-
-def test_no_language_or_value_is_left_out(spark):
-    from lodegrain.llm.langid import LanguageModel
-
-    # 40 languages, and 10,100 suffixes of which each is met once; the last language is the rarest
-    names = [f"l{i:02}" for i in range(40)]
-    rows = [(i, " ".join(f"{x}{x[::-1]}{j}" for j in range(8)), x, f"www.a.s{i}") for i, x in enumerate([n for n in names for _ in range(3 if n == "l39" else 4)])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    many = docs.unionByName(spark.range(10_100).selectExpr("id + 1000 doc_id", f"'{rows[0][1]}' text", "cast(null as string) lang", "'www.b.t' || id source"))
-    for most in (320_000, 0):
-        model = LanguageModel(many, most_broadcast=most)
-        got = {r["doc_id"]: r for r in model.judged().collect()}
-        assert model.languages == names and len(got) == len(rows) + 10_100
-        assert all(got[i]["language"] == x for i, _, x, _ in rows)
-        assert model.tables[2].count() == len(rows) + 10_100
