@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 pytest.importorskip("lodegrain.llm")
 
-from lodegrain.llm import chat, common, exact_dedup, flac, langid, mixing, near_dedup, packing, records, sharding, tokens, warc  # noqa: E402
+from lodegrain.llm import chat, common, exact_dedup, flac, langid, mixing, near_dedup, packing, queries, records, sharding, tokens, warc  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size int, row string, sha string, part int, text_sha256 string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
@@ -626,3 +626,31 @@ def test_placed(spark):
     for r in got:
         assert r["sum_before"] == total
         total += r["v"]
+
+
+def test_pages_are_judged_by_text_markup_suffix_and_host(spark, tmp_path):
+    LLM = queries.QUERIES  # noqa: N806
+    langs = {"en": "the of and that with", "fr": "les des que dans pour", "de": "der die und das ist"}
+    docs = [(i, " ".join(langs[x].split()[j % 5] for j in range(i, i + 30)), x) for i, x in enumerate(list(langs) * 40)]
+    page = lambda x, body: f'<!DOCTYPE html><html lang="{x}"><style>p{{}}</style><script>var the = "and that"</script><p>{body}</p></html>'
+    pages = [(i, f"http://www.{x}-site{i % 5}.example.{x}/p", page(x, t)) for i, t, x in docs] + [(900, "http://www.fr-site1.example.fr/q", page("fr", "ok")), (901, None, None), (902, "http://x.org", "<p>1 2</p>")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in LLM["op6_language_id_pages"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and all(got[i]["language"] == got[i]["markup"] == got[i]["suffix"] == x for i, _, x in docs)
+    assert got[900]["language"] == "fr" and got[900]["kept"] and got[900]["host"] == "www.fr-site1.example.fr"
+    assert got[901]["language"] == got[902]["language"] == "und" and not got[901]["kept"]
+
+
+def test_no_language_or_value_is_left_out(spark):
+    # 40 languages, and 10,100 suffixes of which each is met once; the last language is the rarest
+    names = [f"l{i:02}" for i in range(40)]
+    rows = [(i, " ".join(f"{x}{x[::-1]}{j}" for j in range(8)), x, f"www.a.s{i}") for i, x in enumerate([n for n in names for _ in range(3 if n == "l39" else 4)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    many = docs.unionByName(spark.range(10_100).selectExpr("id + 1000 doc_id", f"'{rows[0][1]}' text", "cast(null as string) lang", "'www.b.t' || id source"))
+    for most in (320_000, 0):
+        model = langid.LanguageModel(many, most_broadcast=most)
+        got = {r["doc_id"]: r for r in model.judged().collect()}
+        assert model.languages == names and len(got) == len(rows) + 10_100
+        assert all(got[i]["language"] == x for i, _, x, _ in rows)
+        assert model.tables[2].count() == len(rows) + 10_100
