@@ -2,8 +2,8 @@
 
 Turns of a conversation are laid on a line by the prefix sums of their tokens, counted by a tokenizer on the formatted turn.
 What the budget leaves beside the conversation's system turn (its first, if its role is system) and the history is the
-room for new turns. A turn of more than a quarter of the room is a window of its own. The line is cut into cells of three
-quarters of the room, and the shorter turns that begin in one cell, with no such long turn between them, are a window: they
+room for new turns. A turn of more than half of the room is a window of its own. The line is cut into cells of half of
+the room, and the shorter turns that begin in one cell, with no such long turn between them, are a window: they
 fit in the room. So every turn is new in exactly one window, windows hold whole turns only, and which window a turn is in
 depends on prefix sums alone: a conversation of any length is windowed in parallel.
 
@@ -76,7 +76,7 @@ def with_room(rows: DataFrame, budget: int, history: int) -> DataFrame:
     first = first.select(F.col("conv_id").alias("c"), system.alias("system_tokens"))
     first = first.withColumn("most_history", F.least(F.lit(history), F.floor(left / 4))).withColumn("room", F.greatest(left - F.col("most_history"), F.lit(4)))
     rows = rows.join(saved(first, "rooms"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    return rows.withColumn("long", (F.col("tokens") > F.floor(F.col("room") / 4)).cast("long"))
+    return rows.withColumn("long", (F.col("tokens") > F.floor(F.col("room") / 2)).cast("long"))
 
 
 def chat_windows(conversations: DataFrame, tokenizer_path: str, layout: str = "joined", budget: int = 512, history: int = 128) -> DataFrame:
@@ -92,7 +92,7 @@ def chat_windows(conversations: DataFrame, tokenizer_path: str, layout: str = "j
                                     F.min_by(F.struct("role", "text", "tokens"), "place").alias("system"))
         .withColumnRenamed("conv_id", "c"), "first")
     rows = rows.join(first.drop("system"), rows["conv_id"].eqNullSafe(first["c"])).drop("c")
-    rows = rows.withColumn("start", F.col("sum_before") - F.col("origin")).withColumn("cell", F.floor(F.col("start") / (F.col("room") - F.floor(F.col("room") / 4))))
+    rows = rows.withColumn("start", F.col("sum_before") - F.col("origin")).withColumn("cell", F.floor(F.col("start") / (F.col("room") - F.floor(F.col("room") / 2))))
     spans = rows.groupBy("conv_id", "cell", "also_before", "long").agg(
         F.min("place").alias("window"), F.min("start").alias("begins"), F.sum("tokens").alias("fresh"), F.min("system_tokens").alias("system_tokens"),
         F.min("most_history").alias("most_history"), F.min("room").alias("room"), F.collect_list(F.struct("place", "role", "text", "tokens")).alias("turns"))
