@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, small_batches, text_or_empty
+from .common import saved, shipped, small_batches, text_or_empty
 
 BLOCK, RATE, SEEK_POINT = 4096, 8000, 18
 
@@ -422,9 +422,9 @@ def decode_column(media: DataFrame) -> DataFrame:
 
 
 def media_summary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Encode, decode and sum up each text: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    """Encode and store each text, read the stored streams back, decode and sum up: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature (peak, sum and zero crossings of the samples). All but n_bytes comes from the stored stream."""
-    media = encode_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("bytes")))
+    media = saved(encode_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("bytes"))), "media")
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
              "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
