@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_path, shipped, text_or_empty
+from .common import few, saved, shared_path, shipped, text_or_empty
 from .records import opened
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
@@ -130,8 +130,12 @@ def deduplicated(pages: DataFrame, least_bytes: int) -> DataFrame:
     rows = rows.withColumn("sha1", F.sha1("html"))
     groups = saved(rows.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
                    .where("n > 1").select("sha1", "keeper", F.lit(True).alias("again")), "groups")
-    rows = rows.join(groups, "sha1", "left")
-    revisit = F.coalesce(F.col("again"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    # which records are revisits is decided without their payloads, and told to them by page and digest, so a payload that a
+    # third of the pages share is no hot key
+    again = rows.select("page_id", "sha1").join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).distinct()
+    again = few(saved(again.select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "keeper", "again"), "revisits"), 200_000)
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
+    revisit = F.coalesce(F.col("again"), F.lit(False))
     return rows.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
 
