@@ -4,8 +4,9 @@ Pass 1 hashes each normalised text to a slot of a bitmap and marks the slots tha
 each row against the marks: a row whose slot is unmarked can have no copy and passes straight through; only the others
 shuffle, pre-aggregated before they move, so a group of any size costs one row a task.
 
-The bitmap has a fixed upper size (`max_bits`) and is broadcast for that reason. Beyond it the filter only marks more
-rows; results never change, because marked rows are compared by SHA-256.
+The bitmap has a fixed upper size (`max_bits`) and is broadcast for that reason. `exact_duplicates`, which works on hashes
+alone, takes more rows than it serves in ranges of the hash, each with a bitmap of its own; in `keep_first`, which carries
+the rows, a fuller bitmap marks more of them. Results never change, because marked rows are compared by SHA-256.
 
 Defined cases: a null text is an empty text, and all empty texts are one group; a null doc_id loses every tie and is
 kept only if no copy has an id; rows repeated whole are copies of each other and exactly one stays; an empty table gives
@@ -52,6 +53,18 @@ def marked(df: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
     return joined.withColumn("maybe", F.coalesce(bit, F.lit(False))).drop("part", "slot", "marks")
 
 
+def tested(rows: DataFrame, bits_per_row: int, max_bits: int) -> DataFrame:
+    """Both passes over saved rows with a column sha, in as many ranges of the hash as bitmaps of max_bits are needed."""
+    n = rows.count()
+    ranges, out = max(1, -(-n * bits_per_row // max_bits)), None
+    bits = filter_bits(-(-n // ranges), bits_per_row, max_bits)
+    for r in range(ranges):
+        own = rows if ranges == 1 else rows.where(F.pmod(F.xxhash64(F.lit(ranges), "sha"), F.lit(ranges)) == r)
+        own = marked(own, saved(repeated_slots(own, bits), "marks"), bits)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def _preference() -> Column:
     """The least of a group stays: most code points, then smallest doc_id, a null id last."""
     return F.struct((-F.col("chars")).alias("minus_chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
@@ -67,8 +80,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", bits_per_row: int = 16
                     F.monotonically_increasing_id().alias("rid")),
         "hashes",
     )
-    bits = filter_bits(rows.count(), bits_per_row, max_bits)
-    rows = marked(rows, saved(repeated_slots(rows, bits), "marks"), bits)
+    rows = tested(rows, bits_per_row, max_bits)
     straight = rows.where("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.col("sha").alias("text_sha256"),
