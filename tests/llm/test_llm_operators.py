@@ -11,7 +11,7 @@ import re
 import struct
 import zipfile
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -82,10 +82,11 @@ def test_keep_first_keeps_columns(docs, none):
     assert exact_dedup.keep_first(none).count() == exact_dedup.exact_duplicates(none).count() == 0
 
 
-def test_a_small_filter_marks_more_and_changes_nothing(spark):
+def test_a_small_filter_is_used_in_ranges_and_changes_nothing(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 4000).cast("string").alias("text"))
     for most in (1 << 15, 1 << 20):
         assert exact_dedup.exact_duplicates(rows, max_bits=most).where("kept").count() == 4000
+        assert exact_dedup.keep_first(rows, max_bits=most).count() == 4000
 
 
 # sharding
@@ -654,3 +655,67 @@ def test_no_language_or_value_is_left_out(spark):
         assert model.languages == names and len(got) == len(rows) + 10_100
         assert all(got[i]["language"] == x for i, _, x, _ in rows)
         assert model.tables[2].count() == len(rows) + 10_100
+
+
+# the registered queries
+
+#: The columns that each query returns.
+COLUMNS = {
+    "op1": "page_id payload_bytes payload_digest record_type refers_to", "op2": "doc_id size source_size target taken",
+    "op3": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op4": "doc_id size text_crc32 law shard slot grown_shard",
+    "op5": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op6": "doc_id language confidence kept",
+    "op7": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op8": "doc_id n_shingles component_id kept",
+    "op9": "doc_id keep_id group_size kept text_sha256", "op10": "doc_id start n_tokens ids_crc32",
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, data):
+    return {t: spark.read.parquet(f"{data}/{t}.parquet").collect() for t in ("documents", "pages", "conversations")}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_query(spark, data, tables, plain, name):
+    got = queries.QUERIES[name](spark, data)
+    number = name.split("_")[0]
+    if name.endswith("_pages"):
+        assert {r["page_id"] for r in got.collect()} == {r["page_id"] for r in tables["pages"]}
+        return
+    assert got.columns == COLUMNS[number].split()
+    rows = got.collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in tables["documents"]}
+    one = {r[0]: r for r in rows}
+    if number in ("op2", "op4", "op5", "op6", "op8", "op9", "op10"):
+        assert len(rows) == len(docs) and set(one) == set(docs)
+    if number == "op1":
+        assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in one.items()} == {r["page_id"]: (len((r["html"] or "").encode()), warc.digest((r["html"] or "").encode())) for r in tables["pages"]}
+    elif number == "op2":
+        assert all(r["size"] == len(words(docs[i])) and r["taken"] <= 2 * r["size"] for i, r in one.items())
+    elif number == "op3":
+        ids = {i: np.array(plain("byte_bpe_50k.json", t) + [0], "<u4") for i, t in docs.items()}
+        assert all(r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in rows)
+        assert sum(r["length"] for r in rows) == sum(map(len, ids.values())) and len({r["sequence_id"] for r in rows}) * 1024 <= 1.1 * sum(map(len, ids.values())) + 1024
+    elif number == "op4":
+        counts = Counter(r["shard"] for r in rows)
+        assert {r["law"] for r in rows} == {"rows"} and set(counts) == set(range(40)) and max(counts.values()) - min(counts.values()) <= 1
+        assert all(r["text_crc32"] == zlib.crc32(docs[i].encode()) for i, r in one.items())
+    elif number == "op5":
+        pad = lambda b: b + bytes(-len(b) % 64 or (0 if b else 64))
+        assert all(r["payload_sha256"] == hashlib.sha256(pad(docs[i].encode())).hexdigest() for i, r in one.items())
+    elif number == "op7":
+        conversations = {-1: [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]}
+        for r in tables["conversations"]:
+            conversations.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"] or ""))
+        for c, turns in conversations.items():
+            turns.sort()
+            assert one[c]["n_turns"] == len(turns) and one[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+            assert one[c]["loss_sha256"] == hashlib.sha256("".join(x for _, r, x in turns if r == "assistant").encode()).hexdigest()
+    elif number == "op8":
+        want = brute_components(list(docs.items()), 4, 80)
+        assert {(i, docs[i]): (r["n_shingles"], r["component_id"]) for i, r in one.items()} == want
+    elif number == "op10":
+        at = 0
+        for i in sorted(docs):
+            ids = np.array(plain("word_bpe_49k.json", docs[i]) + [1], "<u4")
+            assert (one[i]["start"], one[i]["n_tokens"], one[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+            at += len(ids)

@@ -55,3 +55,15 @@ def test_stages(spark, data, tmp_path):
             for r in after:
                 whole[r["sequence_id"]] += r["length"]
             assert max(whole.values()) <= 1024 and {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
+
+
+def test_run(spark, data):
+    rows = corpus_pipeline.run(spark, data).collect()
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}
+    whole = defaultdict(int)
+    for r in rows:
+        whole[r["sequence_id"]] += r["length"]
+    assert rows and {r["doc_id"] for r in rows} <= docs and max(whole.values()) <= 1024
+    # nearly all that is not a copy stays
+    texts = {squeezed(r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert len({r["doc_id"] for r in rows}) > 0.7 * len(texts)
