@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shipped, small_batches, text_or_empty
+from .common import few, saved, shipped, small_batches, text_or_empty
 
 BLOCK, RATE, SEEK_POINT = 4096, 8000, 18
 
@@ -394,17 +394,18 @@ def decoded(media: list[bytes], frames_at_once: int = 2048) -> Iterator[tuple[in
             raise ValueError("the stream's MD5 does not hold")
 
 
-def encode_column(rows: DataFrame, unit: int = 64) -> DataFrame:
-    """doc_id, n_bytes and media (a FLAC stream) of rows (doc_id, bytes): zeros fill up to a positive multiple of unit."""
+def encode_column(rows: DataFrame, unit: int = 64, key: str = "doc_id") -> DataFrame:
+    """key, n_bytes and media (a FLAC stream) of rows (key, bytes): zeros fill up to a positive multiple of unit."""
     shipped(rows.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "bytes"):
             data = batch["bytes"].to_pylist()
             media = encoded([d + bytes(-len(d) % unit or (0 if d else unit)) for d in data])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
 
-    return rows.select("doc_id", "bytes").mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    rows = rows.select(key, "bytes")
+    return rows.mapInArrow(encode, f"{key} {rows.dtypes[0][1]}, n_bytes long, media binary")
 
 
 def decode_column(media: DataFrame) -> DataFrame:
@@ -421,11 +422,19 @@ def decode_column(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(decode, "doc_id long, block long, sample_offset long, pcm binary")
 
 
-def media_summary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Encode and store each text, read the stored streams back, decode and sum up: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (peak, sum and zero crossings of the samples). All but n_bytes comes from the stored stream."""
-    media = saved(encode_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("bytes"))), "media")
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
+def media_summary(docs: DataFrame, text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
+    """Encode and store each text, read the stored streams back, decode and sum up: doc_id, n_bytes, payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256, feature (peak, sum and zero crossings of the samples). All but
+    n_bytes comes from the stored stream. Equal texts (by SHA-256) share one stored stream, whose sums all of them get."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("bytes")).withColumn("sha", F.sha2("bytes", 256))
+    keys = saved(rows.select("doc_id", "sha"), "keys")
+    several = keys.groupBy("sha").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")).where("n > 1")
+    # the rows whose text another row has stored, named one by one: no text is a hot key
+    others = keys.join(several, "sha").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select(F.col("doc_id").alias("id"), F.col("sha").alias("of")).distinct()
+    others = few(saved(others, "others"), most_broadcast)
+    rows = rows.join(others, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of")), "left_anti")
+    media = saved(encode_column(rows, key="sha"), "media")
+    kinds = {"sha": pa.string(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
              "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,13 +443,16 @@ def media_summary(docs: DataFrame, text: str = "text") -> DataFrame:
             blocks: list[list[bytes]] = [[] for _ in media]
             for m, _, _, pcm in decoded(media):
                 blocks[m].append(pcm)
-            for doc_id, n_bytes, data, own in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), media, blocks):
+            for sha, n_bytes, data, own in zip(batch["sha"].to_pylist(), batch["n_bytes"].to_pylist(), media, blocks):
                 samples = np.frombuffer(b"".join(own), np.int8)
                 payload = (samples.view(np.uint8) ^ 128).tobytes()
                 crossings = int(((samples[1:] < 0) != (samples[:-1] < 0)).sum())
                 feature = f"peak={int(np.abs(samples.astype(int)).max())};sum={int(samples.sum(dtype=np.int64))};crossings={crossings}"
-                out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
+                out.append((sha, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
                             len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], names=list(kinds))
 
-    return media.mapInArrow(sum_up, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = media.mapInArrow(sum_up, "sha string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    # rows that are repeated whole have each stored a stream
+    found = saved(found, "summary").dropDuplicates(["sha"])
+    return keys.join(found, "sha").select("doc_id", *list(kinds)[1:])
