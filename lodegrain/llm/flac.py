@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, saved, shipped, small_batches, text_or_empty
+from .common import few, saved, shipped, small_batches, text_key, text_or_empty
 
 BLOCK, RATE, SEEK_POINT = 4096, 8000, 18
 
@@ -425,17 +425,17 @@ def decode_column(media: DataFrame) -> DataFrame:
 def media_summary(docs: DataFrame, text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
     """Encode and store each text, read the stored streams back, decode and sum up: doc_id, n_bytes, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature (peak, sum and zero crossings of the samples). All but
-    n_bytes comes from the stored stream. Equal texts (by SHA-256) share one stored stream, whose sums all of them get."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("bytes")).withColumn("sha", F.sha2("bytes", 256))
-    keys = saved(rows.select("doc_id", "sha"), "keys")
-    several = keys.groupBy("sha").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")).where("n > 1")
+    n_bytes comes from the stored stream. Equal texts (by a 128-bit hash) share one stored stream, whose sums all of them get."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("bytes"), F.unhex(text_key(text)).alias("key"))
+    keys = saved(rows.select("doc_id", "key"), "keys")
+    several = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")).where("n > 1")
     # the rows whose text another row has stored, named one by one: no text is a hot key
-    others = keys.join(several, "sha").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select(F.col("doc_id").alias("id"), F.col("sha").alias("of")).distinct()
+    others = keys.join(several, "key").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select(F.col("doc_id").alias("id"), F.col("key").alias("of")).distinct()
     others = few(saved(others, "others"), most_broadcast)
-    rows = rows.join(others, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of")), "left_anti")
-    media = saved(encode_column(rows, key="sha"), "media")
-    kinds = {"sha": pa.string(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
-             "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    rows = rows.join(others, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of")), "left_anti")
+    media = saved(encode_column(rows, key="key"), "media")
+    kinds = {"key": pa.binary(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.binary(), "tail_crc32": pa.int64(),
+             "media_bytes": pa.int64(), "media_sha256": pa.binary(), "feature": pa.string()}
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "media"):
@@ -443,16 +443,17 @@ def media_summary(docs: DataFrame, text: str = "text", most_broadcast: int = 200
             blocks: list[list[bytes]] = [[] for _ in media]
             for m, _, _, pcm in decoded(media):
                 blocks[m].append(pcm)
-            for sha, n_bytes, data, own in zip(batch["sha"].to_pylist(), batch["n_bytes"].to_pylist(), media, blocks):
+            for key, n_bytes, data, own in zip(batch["key"].to_pylist(), batch["n_bytes"].to_pylist(), media, blocks):
                 samples = np.frombuffer(b"".join(own), np.int8)
                 payload = (samples.view(np.uint8) ^ 128).tobytes()
                 crossings = int(((samples[1:] < 0) != (samples[:-1] < 0)).sum())
                 feature = f"peak={int(np.abs(samples.astype(int)).max())};sum={int(samples.sum(dtype=np.int64))};crossings={crossings}"
-                out.append((sha, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
-                            len(data), hashlib.sha256(data).hexdigest(), feature))
+                out.append((key, n_bytes, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]),
+                            len(data), hashlib.sha256(data).digest(), feature))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], names=list(kinds))
 
-    found = media.mapInArrow(sum_up, "sha string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = media.mapInArrow(sum_up, "key binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
     # rows that are repeated whole have each stored a stream
-    found = saved(found, "summary").dropDuplicates(["sha"])
-    return keys.join(found, "sha").select("doc_id", *list(kinds)[1:])
+    found = found.dropDuplicates(["key"])
+    text_of = lambda c: F.lower(F.hex(c)).alias(c)
+    return keys.join(found, "key").select("doc_id", *[text_of(c) if c.endswith("sha256") else c for c in list(kinds)[1:]])
