@@ -11,7 +11,7 @@ task that runs twice leaves an unused file and nothing else. The manifest, saved
 that count. A file's first position is the sum of the ids of the files before it.
 
 Defined cases: a null text is empty and gives the end id alone; null doc_ids come first; rows with one doc_id follow each
-other, ordered by a hash of the text; an empty table gives no files and an empty result; other columns are not read.
+other, in the order they are read; an empty table gives no files and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,11 +73,12 @@ def write_token_records(
     spark = shipped(docs.sparkSession)
     folder = shared_path(spark, "records")
     rows = docs.select("doc_id", text_or_empty(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(4 * spark.sparkContext.defaultParallelism, -(-total // file_bytes))
+    # an estimate of the bytes, which decides the number of files only: a reading of all texts for it would cost more
+    average = rows.limit(10_000).agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    files = max(4 * spark.sparkContext.defaultParallelism, int(rows.count() * average) // file_bytes + 1)
     # rows of one doc_id spread over files too
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("rid", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(files, "doc_id", "h", "rid").sortWithinPartitions("doc_id", "h", "rid").select("doc_id", "text")
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(files, "doc_id", "rid").sortWithinPartitions("doc_id", "rid").select("doc_id", "text")
     kind, end = f"<u{id_bytes}", np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
