@@ -74,7 +74,7 @@ def write_token_records(
     folder = shared_path(spark, "records")
     rows = docs.select("doc_id", text_or_empty(text).alias("text"))
     # an estimate of the bytes, which decides the number of files only: a reading of all texts for it would cost more
-    average = rows.limit(10_000).agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    average = rows.select(F.octet_length("text").alias("n")).limit(1000).agg(F.avg("n")).first()[0] or 0
     files = max(4 * spark.sparkContext.defaultParallelism, int(rows.count() * average) // file_bytes + 1)
     # rows of one doc_id spread over files too
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
