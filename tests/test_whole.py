@@ -11,7 +11,6 @@ import pytest
 from lodegrain.plans import QUERIES
 from lodegrain.plans.catalog import Views
 from lodegrain.operators import graph as G
-from lodegrain.operators import retrieval as R
 from lodegrain.plans.fixtures import edges
 
 
