@@ -49,6 +49,16 @@ def body_snippet(files: DataFrame, symbols: DataFrame, whole: int = 40, ends: in
     return _with_lines(files, symbols).select("path", "name", "line_start", F.array_join(F.when(F.size(body) <= whole, body).otherwise(cut), "\n").alias("snippet"))
 
 
+def enrich_targets_with_code(targets: DataFrame, symbols: DataFrame, files: DataFrame, kinds: tuple[str, ...] = ("Function", "Method", "Class", "Struct", "Enum", "Interface", "Module")) -> DataFrame:
+    """The targets (name, path) with symbol, symbol_path, line_start and snippet: symbols of the same name in any case whose
+    path ends with the target's; the snippet is null for kinds that hold no code. A target without a symbol has no row."""
+    found = symbols.select(F.lower("name").alias("low"), F.col("name").alias("symbol"), F.col("path").alias("symbol_path"), "line_start", "line_end", "kind")
+    rows = targets.withColumn("low", F.lower("name")).join(found, "low").where(F.col("symbol_path").endswith(F.col("path"))).drop("low")
+    wanted = rows.where(F.col("kind").isin(*kinds)).select(F.col("symbol_path").alias("path"), F.col("symbol").alias("name"), "line_start", "line_end").distinct()
+    snippets = body_snippet(files, wanted).withColumnsRenamed({"path": "symbol_path", "name": "symbol"})
+    return rows.join(snippets, ["symbol_path", "symbol", "line_start"], "left")
+
+
 #: Words that say nothing of what a body does.
 KEYWORDS = ("and", "async", "await", "break", "class", "const", "continue", "def", "else", "enum", "export", "false", "fn", "for", "from", "function", "if", "impl", "import", "in", "let", "match",
             "mod", "mut", "new", "none", "not", "null", "or", "pass", "pub", "ref", "return", "self", "static", "str", "struct", "super", "the", "this", "trait", "true", "type", "use", "var", "void", "where", "while")
