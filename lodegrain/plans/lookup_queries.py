@@ -9,6 +9,7 @@ from ..operators import code as K
 from ..operators import consistency as C
 from ..operators import evaluation as E
 from ..operators import retrieval as R
+from ..operators import security as S
 from ..operators import topk as T
 from .catalog import Views, query
 
@@ -191,3 +192,14 @@ def prune_log_lines(v: Views):
     first = F.get(F.array(F.lit(""), F.lit('  info!("a {}", b);\n'), F.lit("  logger.warning(f(x))\n  console.log('a')\n")), (F.col("p_partkey") % 3).cast("int"))
     content = F.concat(F.lit("fn a() {\n"), first, F.lit("  let b = "), "p_partkey", F.lit(";\n  println!(\"b\");\n  print_all(x);\n}"))
     return v.part.select("p_partkey", C.prune_log_lines(content).alias("content"))
+
+
+@query("SELECT p_partkey, ['core::f', 'f', 'util::f', 'f'][p_partkey % 4 + 1] || p_partkey AS module FROM part")
+def module_name(v: Views):
+    folder = F.get(F.array(F.lit("crates/core/src/a/"), F.lit("src/"), F.lit("lib/util/"), F.lit("")), (F.col("p_partkey") % 4).cast("int"))
+    return v.part.select("p_partkey", K.module_name(F.concat(folder, F.lit("f"), "p_partkey", F.lit(".rs"))).alias("module"))
+
+
+@query("""SELECT p_partkey, 'k = "ab' || p_partkey || 'c" + x + ''de''' AS text FROM part""")
+def merge_concatenations(v: Views):
+    return v.part.select("p_partkey", S.merge_concatenations(F.concat(F.lit('k = "ab" + "'), "p_partkey", F.lit("\"+\"c\" + x + 'd' + 'e'"))).alias("text"))
