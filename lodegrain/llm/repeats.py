@@ -8,11 +8,11 @@ from the cut on and of the words before it backwards, tell for every period how
 a fragment meets an end of its tile, the tiles beside it hold the rest, with more than a period in common.
 
 Only tiles that can hold a run are exploded: fingerprints of 2^k words, doubled from octave to octave, say for all cuts at
-once whether any period of the octave repeats its first words. That gate misses nothing, and a wrong pass costs time only.
+once whether any period of the octave repeats the words at the cut. That gate misses nothing, and a wrong pass costs time only.
 
 Fragments of one document and period meet in a shuffle (what a task finds side by side it joins first), overlapping ones
 become one interval, and of equal intervals the smallest period stays: an interval of period p and at least 2 p words whose
-smallest period is less has a divisor of p as its period, with the same ends. Texts move only for documents with tiles.
+smallest period is less has a divisor of p as its period, with the same ends. Texts move only for documents with fragments.
 
 Defined cases: null text and text without words have no runs; a document shorter than the shortest run has none; texts of
 any length are taken whole; repeated rows and a null doc_id are documents of their own; an empty table gives an empty
@@ -60,28 +60,33 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
 
 
+def rows_of(marks: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """marks from 0 on in rows of this width; places beyond its end hold 0, which is no mark."""
+    table = np.zeros(rows * width, np.uint64)
+    table[: min(len(marks), len(table))] = marks[: len(table)]
+    return table.reshape(rows, width)
+
+
 def possible_cuts(ids: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, cuts) of each octave: the cuts where a period of the octave may repeat its first words; ids from 1."""
-    n, k = len(ids), 0
-    prints = {0: ids.astype(np.uint64)}
+    """(k, cuts) of each octave: the cuts where a period of the octave may repeat its first words; ids from 1.
+
+    At a cut less than M words behind the start of a run of period p, 3 p - M + 1 words at least are repeated: more than 2^k
+    for every p of the octave, more than 2^(k+1) for its upper half."""
+    n, k, marks = len(ids), 0, ids.astype(np.uint64)
     while n >= max(least, 4 << k):
-        # a run of period 1 and 6 words or more repeats the word at its cut 4 times at least
-        at = 2 if k == 0 and least >= 6 else k
-        for j in range(max(prints), at):
-            prints[j + 1] = mixed(prints[j][: -(1 << j)], prints[j][1 << j :])
         m = 2 << k
-        marks = prints[at]
-        rows = (n - 2 * (1 << k)) // m + 1
-        table = np.zeros(rows * m, np.uint64)
-        table[: min(len(marks), len(table))] = marks[: len(table)]
-        table = table.reshape(rows, m)
-        cuts = np.flatnonzero((table[:, m // 2 :] == table[:, :1]).any(axis=1)) * m
-        if len(cuts):
-            yield k, cuts
-        prints = {j: v for j, v in prints.items() if j > k}
-        if not prints:
-            prints[k + 1] = mixed(marks[: -(1 << k)], marks[1 << k :])
-        k += 1
+        rows = (n - m) // m + 1
+        doubled = mixed(marks[: -(1 << k)], marks[1 << k :])
+        if k == 0:  # a run of period 1 and `least` words repeats the word at its cut least - 2 times
+            own = rows_of(mixed(doubled[:-2], doubled[2:]) if least >= 6 else marks, rows, m)
+            hit = own[:, 1] == own[:, 0]
+        else:
+            own, after, wide = rows_of(marks, rows, m), rows_of(marks[1:], rows, m), rows_of(doubled, rows, m)
+            lower, upper = slice(m // 2, 3 * m // 4), slice(3 * m // 4, m)
+            hit = ((own[:, lower] == own[:, :1]) & (after[:, lower] == after[:, :1])).any(axis=1) | (wide[:, upper] == wide[:, :1]).any(axis=1)
+        if hit.any():
+            yield k, np.flatnonzero(hit) * m
+        marks, k = doubled, k + 1
 
 
 def fragments(ids: list[int], cut: int, before: bool, after: bool, k: int, least: int, times: int) -> Iterator[tuple[int, int, int]]:
@@ -103,7 +108,7 @@ def fragments(ids: list[int], cut: int, before: bool, after: bool, k: int, least
 
 
 def explode_tiles(docs: DataFrame, text: str, least: int) -> DataFrame:
-    """A row per document (rid, doc_id, text if it has tiles, plain_sha256) and a row per tile (octave, cut, low, ids, n)."""
+    """The tiles of a document (octave, cut, low, ids, n), then its own row (rid, doc_id, text if it has tiles, plain_sha256)."""
     columns = {"rid": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "plain_sha256": pa.string(), "octave": pa.int32(), "cut": pa.int64(),
                "low": pa.int64(), "n": pa.int64(), "ids": pa.binary()}
 
@@ -114,15 +119,14 @@ def explode_tiles(docs: DataFrame, text: str, least: int) -> DataFrame:
                 t = t.as_py()
                 words, own = t.encode().split(), {}
                 at = len(out)
-                out.append(None)
                 ids = np.fromiter((own.setdefault(w, len(own) + 1) for w in words), np.int32, len(words))
                 for k, cuts in possible_cuts(ids, least):
                     m = 2 << k
                     for cut in cuts.tolist():
                         low = max(0, cut - REACH * m)
                         out.append((rid, None, None, None, k, cut, low, len(ids), ids[low : cut + (REACH + 1) * m].tobytes()))
-                has = len(out) > at + 1
-                out[at] = (rid, doc_id, t if has else None, hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None, None)
+                has = len(out) > at
+                out.append((rid, doc_id, t if has else None, hashlib.sha256(b" ".join(words)).hexdigest(), None, None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), columns.values())], names=list(columns))
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
@@ -130,8 +134,8 @@ def explode_tiles(docs: DataFrame, text: str, least: int) -> DataFrame:
 
 
 def solve_tiles(tiles: DataFrame, least: int, times: int) -> DataFrame:
-    """Tiles become fragments (rid, period, start, end); rows of documents pass. Fragments of one period that overlap by a
-    period and follow each other in a task are joined here, before they move."""
+    """Tiles become fragments (rid, period, start, end); rows of documents pass, with their text if they have fragments.
+    Fragments of one period that overlap by a period and follow each other in a task are joined here, before they move."""
     columns = {"rid": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "plain_sha256": pa.string(), "period": pa.int64(), "start": pa.int64(), "end": pa.int64()}
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -139,7 +143,7 @@ def solve_tiles(tiles: DataFrame, least: int, times: int) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[int, tuple[int, int]] = {}
-        of = None
+        of = has = None  # has: the last document with fragments
         for batch in batches:
             out = []
             for rid, doc_id, t, sha, octave, cut, low, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
@@ -147,11 +151,11 @@ def solve_tiles(tiles: DataFrame, least: int, times: int) -> DataFrame:
                     out += [(of[0], None, None, None, p, *interval) for p, interval in opened.items()]
                     opened, of = {}, (rid, octave)
                 if octave is None:
-                    out.append((rid, doc_id, t, sha, None, None, None))
+                    out.append((rid, doc_id, t if rid == has else None, sha, None, None, None))
                     continue
                 words = np.frombuffer(ids, np.int32).tolist()
                 for p, start, end in fragments(words, cut - low, low > 0, low + len(words) < n, octave, least, times):
-                    start, end = start + low, end + low
+                    start, end, has = start + low, end + low, rid
                     if p in opened:
                         if start <= opened[p][1] - p:
                             start, end = min(start, opened[p][0]), max(end, opened[p][1])
@@ -177,8 +181,8 @@ def stitched(found: DataFrame, least: int, times: int) -> DataFrame:
 
 
 def periodic_runs(docs: DataFrame, text: str = "text", least: int = 6, times: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(documents, runs): rows (rid, doc_id, text, plain_sha256), the text only where a run is possible, and rows (rid, start,
-    end, period) in word numbers, end exclusive. rid names a row of the first table."""
+    """(documents, runs): rows (rid, doc_id, text, plain_sha256), the text only where a tile holds a fragment, and rows (rid,
+    start, end, period) in word numbers, end exclusive. rid names a row of the first table."""
     if times < 4 or least < 1:
         raise ValueError("the tiles hold runs of four periods and more")
     shipped(docs.sparkSession)
@@ -217,7 +221,7 @@ def run_summary(docs: DataFrame, text: str = "text", least: int = 6, times: int
                 out.append((doc_id, len(own), start, end - start, period, 1000 * (end - start) // period, hashlib.sha256(lines.encode()).hexdigest(), rest))
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out)) or [()] * 8, columns.values())], names=list(columns))
 
-    # only documents with tiles can have runs: the others, most of all texts, do not enter the join
+    # only documents with fragments can have runs: the others, most of all texts, do not enter the join
     tiled = documents.where("text is not null")
     with_runs = tiled.join(by_document, "rid").select("doc_id", "text", "runs").mapInArrow(
         summed, "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string")
