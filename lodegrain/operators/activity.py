@@ -111,8 +111,23 @@ def session_metrics(activity: DataFrame, window: int = 15, repeat_s: float = 120
         F.when(reads + writes > 0, reads / (reads + writes)).otherwise(0.5).alias("read_ratio"))
 
 
-def operational_moment(metrics: DataFrame, least_events: int = 3, loop_repeats: int = 3) -> DataFrame:
-    """session, moment, layer, mode: the first rule that holds, on rows of session_metrics with errors, trend, phases,
+def session_moments(activity: DataFrame, window: int = 15, repeat_s: float = 120, idle_s: float = 300, loop_window: int = 6, **thresholds) -> DataFrame:
+    """session, moment, layer, mode at each session's newest event, from the events alone: the metrics of its newest events, its phases
+    and whether they loop, and the errors of its newest diagnostics (`errors`, null in other events) with their trend."""
+    newest = Window.partitionBy("session").orderBy(F.desc("epoch"), F.desc("event_id"))
+    reports = activity.where("errors is not null").withColumn("place", F.row_number().over(newest)).where("place <= 2")
+    reports = reports.groupBy("session").agg(F.max(F.when(F.col("place") == 1, F.col("errors"))).alias("errors"), F.max(F.when(F.col("place") == 2, F.col("errors"))).alias("before"))
+    phases = journey_phases(activity, idle_s)
+    now = phases.where("active").select("session", (F.col("phase") + 1).alias("phases"), "activity", F.col("phase").alias("last"))
+    loops = loop_alerts(phases, loop_window).select("session", F.col("phase").alias("last"), F.lit(True).alias("looping"))
+    rows = session_metrics(activity, window, repeat_s).join(now, "session").join(loops, ["session", "last"], "left").join(reports, "session", "left")
+    trend = F.coalesce(F.signum(F.col("errors") - F.col("before")), F.lit(0.0))
+    rows = rows.withColumns({"trend": trend, "looping": F.coalesce("looping", F.lit(False)), "errors": F.coalesce("errors", F.lit(0))})
+    return operational_moment(rows, **thresholds)
+
+
+def operational_moment(metrics: DataFrame, least_events: int = 3, loop_repeats: int = 3, keys: tuple[str, ...] = ("session",)) -> DataFrame:
+    """keys, moment, layer, mode: the first rule that holds, on rows of session_metrics with errors, trend, phases,
     looping and activity."""
     c = F.col
     moment = (
@@ -129,7 +144,7 @@ def operational_moment(metrics: DataFrame, least_events: int = 3, loop_repeats:
         .otherwise("MomentumFlow")
     )
     pick = lambda k: F.coalesce(*[F.when(F.col("moment") == m, v[k]) for m, v in MOMENTS.items()])
-    return metrics.withColumn("moment", moment).select("session", "moment", pick(0).alias("layer"), pick(1).alias("mode"))
+    return metrics.withColumn("moment", moment).select(*keys, "moment", pick(0).alias("layer"), pick(1).alias("mode"))
 
 
 def triggered_by(phases: DataFrame, pairs: DataFrame) -> DataFrame:

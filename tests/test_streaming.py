@@ -71,9 +71,3 @@ def test_burst_coalesce(spark):
     assert got == [(0.0, 3), (3.0, 2), (10.0, 1), (20.0, 1)]
 
 
-def test_upserts(spark, tmp_path):
-    run = J.upsert_batch(str(tmp_path / "snap"), ["path"], "t", "gone")
-    frame = lambda rows: spark.createDataFrame(rows, "path string, t int, body string, gone boolean")
-    run(frame([("a", 1, "x", False), ("a", 2, "y", False), ("b", 1, "z", False)]), 0)
-    run(frame([("b", 3, None, True), ("c", 3, "w", False)]), 1)
-    assert sorted((r["path"], r["body"]) for r in spark.read.parquet(str(tmp_path / "snap/version=1")).collect()) == [("a", "y"), ("c", "w")]
