@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.snapshots import saved
 from .topk import average_ranks
 
 
@@ -109,26 +110,59 @@ def coverage_scores(responses: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.withColumn("coverage", (0.4 * F.col("keyword_recall") + 0.3 * F.col("symbol_recall")) / 0.7)
 
 
-def bootstrap_ci(df: DataFrame, column: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """One row: point, low, high of the mean. Rows get seeded Poisson weights per replicate instead of being drawn, so each
-    row is weighed where it lies, and a task leaves one row of sums per replicate."""
-    clean = df.where(~F.isnan(column) & F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, weights, n = np.zeros(n_boot), np.zeros(n_boot), 0
-        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
+def value_bins(df: DataFrame, column: str, most_bins: int) -> DataFrame:
+    """bin, n, total of the numbers in a column, saved: a row per distinct value, or, of more than most_bins values, per value with as
+    many leading bits of its mantissa as leave no more bins. Counts and totals add up, so the table is the same whatever the
+    partitioning, and its size does not grow with the rows."""
+    x = df.where(~F.isnan(column) & F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    rows = saved(x.groupBy("x").agg(F.count("*").alias("n")), "values")
+    bits, places = 52, rows.count()
+    while places > most_bins and bits > 0:
+        bits = max(0, min(bits - 1, bits - int(math.log2(places / most_bins))) if bits < 52 else 16)
+        power = F.pow(F.lit(2.0), F.floor(F.log2(F.abs("x"))))
+        step = power / (1 << bits)
+        binned = rows.select(F.when(F.col("x") == 0, 0.0).otherwise(F.floor(F.col("x") / step) * step).alias("bin"), "x", "n")
+        found = saved(binned.groupBy("bin").agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("total")), "bins")
+        places = found.count()
+    return found if bits < 52 else rows.select(F.col("x").alias("bin"), "n", (F.col("x") * F.col("n")).alias("total"))
+
+
+def bootstrap_ci(df: DataFrame, column: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 42, statistic: str = "mean", most_bins: int = 20_000,
+                 block: int = 50) -> DataFrame:
+    """One row: point, low, high of the mean or the median (the value at half of the weight, from below), nulls and NaN dropped.
+
+    Rows count by value first (value_bins); a replicate gives a value that stands n times a Poisson weight of mean n, which is what n
+    rows get that are weighed one by one. A block of replicates has a seed of its own and all values in order, so the interval
+    does not depend on how the rows lie, and its cost not on how many there are: blocks run in parallel, on a table of most_bins
+    rows at most. With more distinct values than that, a mean stays exact, and a median is the mean of its bin."""
+    if statistic not in ("mean", "median"):
+        raise ValueError("statistic is mean or median")
+    spark = df.sparkSession
+    table = value_bins(df, column, most_bins).orderBy("bin").toArrow()  # most_bins rows at most
+    counts = table["n"].to_numpy().astype(float)
+    values = table["total"].to_numpy() / np.maximum(counts, 1)
+
+    def of(weights: np.ndarray) -> np.ndarray:
+        """The statistic of each row of weights; not a number without weight."""
+        sums = weights.sum(axis=1)
+        if statistic == "mean":
+            return np.divide(weights @ values, sums, out=np.full(len(sums), np.nan), where=sums > 0)
+        at = (np.cumsum(weights, axis=1) * 2 < sums[:, None]).sum(axis=1)
+        return np.where(sums > 0, values[np.minimum(at, len(values) - 1)], np.nan)
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch["x"].to_numpy()
-            for i in range(0, len(x), 64):
-                w = rng.poisson(1.0, (n_boot, len(x[i : i + 64])))
-                sums, weights, n = sums + w @ x[i : i + 64], weights + w.sum(axis=1), n + 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), pa.array(sums), pa.array(weights)], names=["replicate", "s", "w"])
-
-    means = clean.mapInArrow(weigh, "replicate long, s double, w double").groupBy("replicate").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
-    ends = means.agg(F.expr(f"percentile_disc({alpha / 2}) WITHIN GROUP (ORDER BY mean)").alias("low"), F.expr(f"percentile_disc({1 - alpha / 2}) WITHIN GROUP (ORDER BY mean)").alias("high"))
-    # one row
-    return clean.agg(F.avg("x").alias("point")).join(F.broadcast(ends), F.lit(True))
+            for b in batch["id"].to_pylist():
+                weights = np.random.default_rng((seed, b)).poisson(counts, (min(block, n_boot - b * block), len(counts))).astype(float)
+                found = of(weights)
+                yield pa.RecordBatch.from_arrays([pa.array(found[~np.isnan(found)])], names=["x"])
+
+    if not len(counts):
+        return spark.createDataFrame([(None, None, None)], "point double, low double, high double")
+    blocks = -(-n_boot // block)
+    replicates = spark.range(0, blocks, 1, min(blocks, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(replicate, "x double")
+    end = lambda share, name: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY x)").alias(name)
+    return replicates.agg(F.lit(float(of(counts[None, :])[0])).alias("point"), end(alpha / 2, "low"), end(1 - alpha / 2, "high"))
 
 
 def cohens_d_paired(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import is_test_path, is_vendor_path
+from ..sources.snapshots import saved
 from .topk import min_max_normalise, numbered, top_k_per
+from .vector_index import VectorIndex, unit
 
 
 def code_tokens(text: Column) -> Column:
@@ -89,79 +92,59 @@ def fuzzy_match(query_terms: DataFrame, tokens: DataFrame, least: int = 3) -> Da
     return rows.where((F.levenshtein("term", "matched") == 1) | (same & (swapped == F.col("matched"))))
 
 
-def _blocks(queries: DataFrame, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of the stated queries, `most` at a time: what a task holds of them."""
-    n = -(-queries.count() // most)
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
-    out = []
+def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the stated queries, `most` at a time: one block is on the driver, and in the tasks."""
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).where(F.size("q") > 0)
+    n = -(-rows.count() // most)
     for block in range(n):
-        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block)
-        table = own.toArrow()
-        out.append((table["query_id"].to_numpy(), _unit(np.array(table["q"].to_pylist(), float).reshape(table.num_rows, -1))))
-    return out
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        table = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block)).toArrow()
+        if table.num_rows:
+            yield table["query_id"].to_numpy(), unit(table["q"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1))
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, min_sim: float = 0.0, most_queries: int = 10_000, key: str = "vec_id") -> DataFrame:
     """query_id, key, similarity, rank: exact cosine of every query vector with every live vector, greater than min_sim.
 
     The stated query set goes to the tasks as one matrix of `most_queries` rows at most (a larger set in blocks, with a pass
-    over the vectors each); a batch of vectors is multiplied with it, and leaves k rows per query before anything moves."""
-    best = None
+    over the vectors each, saved before the next); a batch of vectors is multiplied with it, and leaves k rows per query before
+    anything moves."""
+    best, waiting = None, None
     d = vectors.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("d")).where(F.size("d") > 0)
-    for ids, unit in _blocks(queries, most_queries):
+    for ids, asked in _blocks(queries, most_queries):
 
-        def nearest(batches: Iterator[pa.RecordBatch], ids=ids, unit=unit) -> Iterator[pa.RecordBatch]:
+        def nearest(batches: Iterator[pa.RecordBatch], ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 keys = batch[key].to_numpy()
-                sims = np.round(unit @ _unit(batch["d"].flatten().to_numpy().reshape(batch.num_rows, -1)).T, 9)
-                for q, row in zip(ids.tolist(), sims):
-                    at = np.lexsort((keys, -row))[:k]
-                    at = at[row[at] > min_sim]
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.int64()), pa.array(keys[at]), pa.array(row[at])], names=["query_id", key, "similarity"])
-
-        rows = d.mapInArrow(nearest, f"query_id long, {key} long, similarity double")
-        best = rows if best is None else best.unionByName(rows)
-    if best is None:
-        best = d.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("similarity")).limit(0)
+                sims = np.round(asked @ unit(batch["d"].flatten().to_numpy().reshape(batch.num_rows, -1)).T, 9)
+                # of equal similarities the least keys, as in the final order: columns by key, and a stable cut
+                by_key = np.argsort(keys, kind="stable")
+                sims, keys = sims[:, by_key], keys[by_key]
+                if k < len(keys):
+                    least = np.partition(sims, len(keys) - k, axis=1)[:, len(keys) - k, None]
+                    above = sims > least
+                    tied = sims == least
+                    taken = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+                else:
+                    taken = np.ones(sims.shape, bool)
+                of, at = np.nonzero(taken & (sims > min_sim))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(keys[at]), pa.array(sims[of, at])], names=["query_id", key, "similarity"])
+
+        if waiting is not None:
+            waiting = saved(waiting, "nearest")
+            best = waiting if best is None else best.unionByName(waiting)
+        waiting = d.mapInArrow(nearest, f"query_id long, {key} long, similarity double")
+    if waiting is None:
+        waiting = d.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("similarity")).limit(0)
+    best = waiting if best is None else best.unionByName(waiting)
     return top_k_per(best, ["query_id"], [F.desc("similarity"), F.col(key)], k, "rank")
 
 
-def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, min_sim: float = 0.0, key: str = "vec_id", tables: int = 24, bits: int = 6, seed: int = 42) -> DataFrame:
-    """query_id, key, similarity, rank: approximate neighbours. Every vector is put in one bucket of each table, named by the
-    signs of its products with `bits` random directions; a query meets the vectors of its buckets and of those that differ
-    in one sign, and what it meets is compared exactly. Only (bucket, id) rows and the vectors met move."""
-    first = vectors.select(F.col("embedding").cast("array<double>").alias("d")).first()
-    width = len(first["d"]) if first else 1
-    planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
-    powers = 1 << np.arange(bits)
-
-    def buckets(rows: DataFrame, name: str, near: bool) -> DataFrame:
-        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes = ((batch["d"].flatten().to_numpy().reshape(batch.num_rows, -1) @ planes > 0).reshape(batch.num_rows, tables, bits) * powers).sum(axis=2)
-                found = np.stack([codes] + ([codes ^ p for p in powers] if near else []), axis=2) + (np.arange(tables) << bits)[None, :, None]
-                each = found.shape[1] * found.shape[2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch[name].to_numpy(), each)), pa.array(found.reshape(-1).astype(np.int64))], names=[name, "bucket"])
-
-        return rows.mapInArrow(sign, f"{name} long, bucket long")
-
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("d"))
-    v = vectors.select(F.col(key).cast("long").alias("vector"), F.col("embedding").cast("array<double>").alias("d"))
-    met = buckets(q, "query_id", True).join(buckets(v, "vector", False), "bucket").select("query_id", "vector").distinct()
-    rows = met.join(q.withColumnRenamed("d", "q"), "query_id").join(v, "vector")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, z: t + z)
-    norms = F.sqrt(dot("q", "q") * dot("d", "d"))
-    rows = rows.select("query_id", F.col("vector").alias(key), F.round(F.when(norms > 0, dot("q", "d") / norms).otherwise(0.0), 9).alias("similarity"))
-    return top_k_per(rows.where(F.col("similarity") > min_sim), ["query_id"], [F.desc("similarity"), F.col(key)], k, "rank")
+def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, min_sim: float = 0.0, key: str = "vec_id", **how) -> DataFrame:
+    """query_id, key, similarity, rank: approximate neighbours by an inverted file built for the call; keep a VectorIndex to
+    ask more than once."""
+    return VectorIndex(vectors, key, k, **how).search(queries, k, min_sim)
 
 
 def hybrid_search(query_terms: DataFrame, postings: DataFrame, query_vectors: DataFrame, vectors: DataFrame, quality: DataFrame | None = None, limit: int = 10, over_fetch: int = 3, key: str = "doc_id") -> DataFrame:
@@ -189,10 +172,33 @@ def rrf(lexical: DataFrame, vector: DataFrame, key: str = "doc_id", k: int = 60,
     return top_k_per(rows, ["query_id"], [F.desc("score"), F.col(key)], limit, "rank")
 
 
-def quality_features(docs: DataFrame, as_of: int, lam: float = 0.05) -> DataFrame:
-    """Add temporal (decay by days), specificity (longer names count more, 4 to 16 characters) and depth of the path."""
+#: What a kind and a visibility are worth; languages without enforced visibility have a table of their own.
+KIND_BOOSTS = {"Interface": 1.0, "Struct": 0.8, "Class": 0.8, "Enum": 0.6, "Function": 0.4, "Method": 0.4}
+OTHER_KIND = 0.2
+DYNAMIC_PATHS = ["py", "js", "ts", "rb", "php"]
+DYNAMIC_VISIBILITY, OTHER_DYNAMIC = {"public": 1.0, "private": 0.7}, 0.8
+VISIBILITY, OTHER_VISIBILITY = {"public": 1.0, "crate": 0.7, "super": 0.5, "private": 0.3}, 0.6
+
+
+def _worth(column: str, values: dict[str, float], other: float) -> Column:
+    return F.coalesce(*[F.when(F.col(column) == k, v) for k, v in values.items()], F.lit(other))
+
+
+def quality_features(hits: DataFrame, as_of: int, lam: float = 0.05) -> DataFrame:
+    """Add to hits (name, path, kind, visibility, epoch, terms: the query's, in lower case) temporal (decay by days), source (1, tests
+    0.2, vendored 0), path_match (share of the terms in the path), specificity (of names of 4 to 16 characters), exact (1 if a term is
+    the name, 0.3 if the name begins with one), kind_boost and visibility_boost. Empty terms match nothing."""
     days = F.greatest((F.lit(as_of) - F.col("epoch")) / 86400.0, F.lit(0.0))
-    return docs.withColumn("temporal", F.exp(-F.lit(lam) * days)).withColumn("specificity", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.length("name") - 4) / F.lit(12.0))))
+    name, path = F.lower("name"), F.lower("path")
+    n = F.size("terms")
+    share = F.when(n > 0, F.size(F.filter("terms", lambda t: path.contains(t))) / n).otherwise(0.0)
+    exact = F.when(F.array_contains("terms", name), 1.0).when(F.exists("terms", lambda t: name.startswith(t)), 0.3).otherwise(0.0)
+    return hits.withColumns({
+        "temporal": F.exp(-F.lit(lam) * days), "source": F.when(is_vendor_path(F.col("path")), 0.0).when(is_test_path(F.col("path")), 0.2).otherwise(1.0),
+        "path_match": share, "specificity": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.length("name") - 4) / F.lit(12.0))), "exact": exact,
+        "kind_boost": _worth("kind", KIND_BOOSTS, OTHER_KIND),
+        "visibility_boost": F.when(F.col("path").rlike(rf"\.({'|'.join(DYNAMIC_PATHS)})$"), _worth("visibility", DYNAMIC_VISIBILITY, OTHER_DYNAMIC)).otherwise(
+            _worth("visibility", VISIBILITY, OTHER_VISIBILITY))})
 
 
 def additive_score(hits: DataFrame) -> DataFrame:

@@ -97,10 +97,26 @@ def printable_runs(v: Views):
     return runs.groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("runs"), F.sum(F.length("value")).alias("chars"), F.md5(F.array_join(ordered, "|")).alias("digest"))
 
 
-@query("""SELECT p_partkey, round(exp(-0.05 * greatest((1000000 - p_size * 30000) / 86400, 0)), 6) AS temporal, round(least(1.0, greatest(0.0, (length(p_name) - 4) / 12)), 6)::DOUBLE AS specificity FROM part""")
+_HIT_PATHS = "['src/', 'tests/', 'a/vendor/', 'lib/'][p_partkey % 4 + 1] || replace(p_type, ' ', '_') || ['.rs', '.py', '.go'][p_partkey % 3 + 1]"
+
+
+@query(f"""SELECT p_partkey, round(exp(-0.05 * greatest((1000000 - p_size * 30000) / 86400, 0)), 6) AS temporal, CASE WHEN p_partkey % 4 = 2 THEN 0.0 WHEN p_partkey % 4 = 1 THEN 0.2 ELSE 1.0 END::DOUBLE AS source,
+  round(len(list_filter(terms, lambda t: contains(lower(path), t))) / 3, 6)::DOUBLE AS path_match, round(least(1.0, greatest(0.0, (length(p_name) - 4) / 12)), 6)::DOUBLE AS specificity,
+  CASE WHEN list_contains(terms, lower(p_name)) THEN 1.0 WHEN len(list_filter(terms, lambda t: starts_with(lower(p_name), t))) > 0 THEN 0.3 ELSE 0.0 END::DOUBLE AS exact,
+  CASE kind WHEN 'Interface' THEN 1.0 WHEN 'Struct' THEN 0.8 WHEN 'Enum' THEN 0.6 WHEN 'Function' THEN 0.4 ELSE 0.2 END::DOUBLE AS kind_boost,
+  CASE WHEN p_partkey % 3 = 1 THEN CASE visibility WHEN 'public' THEN 1.0 WHEN 'private' THEN 0.7 ELSE 0.8 END ELSE CASE visibility WHEN 'public' THEN 1.0 WHEN 'crate' THEN 0.7 WHEN 'private' THEN 0.3 ELSE 0.6 END END::DOUBLE AS visibility_boost
+  FROM (SELECT *, {_HIT_PATHS} AS path, [lower(split_part(p_type, ' ', 1)), split_part(lower(p_name), ' ', 1), lower(p_name)][1:2 + (p_partkey % 2)::INT] || CASE WHEN p_partkey % 2 = 0 THEN ['zz'] ELSE [] END AS terms,
+    ['Interface', 'Struct', 'Enum', 'Function', 'Module'][p_size % 5 + 1] AS kind, ['public', 'crate', 'private', 'other'][p_size % 4 + 1] AS visibility FROM part)""")
 def quality_features(v: Views):
-    rows = R.quality_features(v.part.select("p_partkey", F.col("p_name").alias("name"), (F.col("p_size") * 30000).alias("epoch")), as_of=1_000_000)
-    return rows.select("p_partkey", F.round("temporal", 6).alias("temporal"), F.round("specificity", 6).alias("specificity"))
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), n.cast("int"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    path = F.concat(pick(["src/", "tests/", "a/vendor/", "lib/"], k % 4), F.replace("p_type", F.lit(" "), F.lit("_")), pick([".rs", ".py", ".go"], k % 3))
+    terms = F.array(F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))), F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1)), F.when(k % 2 == 1, F.lower("p_name")).otherwise("zz"))
+    rows = v.part.select("p_partkey", F.col("p_name").alias("name"), (size * 30000).alias("epoch"), path.alias("path"), terms.alias("terms"),
+                         pick(["Interface", "Struct", "Enum", "Function", "Module"], size % 5).alias("kind"), pick(["public", "crate", "private", "other"], size % 4).alias("visibility"))
+    rows = R.quality_features(rows, as_of=1_000_000)
+    rounded = {c: F.round(c, 6) for c in ("temporal", "path_match", "specificity")}
+    return rows.withColumns(rounded).select("p_partkey", "temporal", "source", "path_match", "specificity", "exact", "kind_boost", "visibility_boost")
 
 
 @query("""SELECT query_id, doc_id, round(0.4 * (score - low) / greatest(high - low, 0.001) + 0.12 * source + 0.08 * path + 0.1 * pagerank + 0.05 * visibility + 0.05 * kind + 0.05 * specificity + 0.05 * temporal + 0.1 * exact, 6) AS total FROM

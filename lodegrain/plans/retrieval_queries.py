@@ -106,11 +106,26 @@ def hybrid_search(v: Views):
 
 @query()
 def approx_top_k(v: Views):
-    """Every vector is in the tables; the queries are those whose id is divisible by 50."""
+    """Every vector is in the index; the queries are those whose id is divisible by 50."""
     q = v.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return R.approx_top_k(q, v.embeddings, 10).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("SELECT count(*) AS neighbours, count(DISTINCT query_id) AS queries, true AS nine_tenths_found, true AS a_tenth_compared FROM nearest WHERE rank <= 10", _COSINE)
+def approx_recall(v: Views):
+    """What approx_top_k finds of the exact ten nearest, and what it compares for that."""
+    q = v.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = R.VectorIndex(v.embeddings)
+    found = index.search(q, 10).select("query_id", "vec_id", F.lit(True).alias("found"))
+    compared = index.candidates(q.select("query_id", F.col("embedding").alias("q"))).agg(F.count("*").alias("pairs"))
+    rows = nearest(v).join(found, ["query_id", "vec_id"], "left").agg(F.count("*").alias("neighbours"), F.countDistinct("query_id").alias("queries"), F.count("found").alias("found"))
+    all_pairs = v.embeddings.agg(F.count("*").alias("vectors"))
+    # one row each
+    rows = rows.join(F.broadcast(compared), F.lit(True)).join(F.broadcast(all_pairs), F.lit(True))
+    return rows.select("neighbours", "queries", (F.col("found") >= 0.9 * F.col("neighbours")).alias("nine_tenths_found"),
+                       (F.col("pairs") <= 0.1 * F.col("queries") * F.col("vectors")).alias("a_tenth_compared"))
+
+
 @query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, vec_id, len(embedding) AS dims FROM embeddings WHERE vec_id % 5 <> 0")
 def compact_vectors(v: Views):
     return R.compact_vectors(v.embeddings.withColumn("deleted", F.col("vec_id") % 5 == 0)).select("slot", "vec_id", F.size("embedding").cast("long").alias("dims"))
@@ -193,9 +208,18 @@ def coverage_scores(v: Views):
     return E.coverage_scores(docs, docs.select("id").join(F.broadcast(truth), F.lit(True))).withColumn("coverage", F.round("coverage", 6))
 
 
-@query()
+@query("SELECT round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS median, true AS mean_inside, true AS median_inside, true AS mean_width, true AS median_width FROM events")
 def bootstrap_ci(v: Views):
-    return E.bootstrap_ci(v.events, "value")
+    """The exact mean and median, and whether the intervals hold them and are about as wide as theory has it: 3.92 deviations of the
+    mean, and for the median no wider than the middle tenth of the values."""
+    mean = E.bootstrap_ci(v.events, "value").select(F.col("point").alias("mean"), F.col("low").alias("a"), F.col("high").alias("b"))
+    median = E.bootstrap_ci(v.events, "value", statistic="median").select(F.col("point").alias("median"), F.col("low").alias("c"), F.col("high").alias("d"))
+    spread = v.events.agg((3.92 * F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("width"), F.expr("percentile_disc(0.45) WITHIN GROUP (ORDER BY value)").alias("low"),
+                          F.expr("percentile_disc(0.55) WITHIN GROUP (ORDER BY value)").alias("high"))
+    # one row each
+    rows = mean.join(F.broadcast(median), F.lit(True)).join(F.broadcast(spread), F.lit(True))
+    return rows.select(F.round("mean", 6).alias("mean"), "median", F.col("mean").between(F.col("a"), F.col("b")).alias("mean_inside"), F.col("median").between(F.col("c"), F.col("d")).alias("median_inside"),
+                       ((F.col("b") - F.col("a")) / F.col("width")).between(0.9, 1.1).alias("mean_width"), ((F.col("d") > F.col("c")) & (F.col("c") >= F.col("low")) & (F.col("d") <= F.col("high"))).alias("median_width"))
 
 
 @query("SELECT round(avg(l_tax - l_discount) / stddev_samp(l_tax - l_discount), 6) AS d FROM lineitem")

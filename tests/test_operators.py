@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -185,8 +186,55 @@ def test_neighbours_are_found(spark, data):
 def test_bootstrap_interval(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(5, 2, 400)
-    rows = spark.createDataFrame([(float(a),) for a in x] + [(None,), (float("nan"),)], "x double").repartition(3)
-    got = evaluation.bootstrap_ci(rows, "x", n_boot=4000).first()
-    half = 1.96 * x.std() / 20
-    assert abs(got["point"] - x.mean()) < 1e-9 and abs(got["low"] - (x.mean() - half)) < 0.05 and abs(got["high"] - (x.mean() + half)) < 0.05
+    rows = spark.createDataFrame([(float(a),) for a in x] + [(None,), (float("nan"),)], "x double")
+    for statistic, of in (("mean", np.mean), ("median", lambda d, axis=None: np.quantile(d, 0.5, axis=axis, method="inverted_cdf"))):
+        got = [evaluation.bootstrap_ci(rows.repartition(n), "x", n_boot=4000, statistic=statistic).first() for n in (1, 3, 7)]
+        assert got[0] == got[1] == got[2]
+        brute = of(rng.choice(x, (20_000, 400)), axis=1)
+        low, high = np.quantile(brute, [0.025, 0.975])
+        assert abs(got[0].point - of(x)) < 1e-9 and abs(got[0].low - low) < 0.06 and abs(got[0].high - high) < 0.06
+        # ties, and more values than bins
+        ties = spark.createDataFrame([(float(a),) for a in x.round()] * 3, "x double")
+        brute = of(rng.choice(np.tile(x.round(), 3), (10_000, 1200)), axis=1)
+        tied = evaluation.bootstrap_ci(ties, "x", n_boot=4000, statistic=statistic).first()
+        assert abs(tied.low - np.quantile(brute, 0.025)) < 0.06 and abs(tied.high - np.quantile(brute, 0.975)) < 0.06
+        few = evaluation.bootstrap_ci(rows, "x", n_boot=4000, statistic=statistic, most_bins=100).first()
+        assert abs(few.point - of(x)) < (1e-9 if statistic == "mean" else 0.1) and abs(few.low - low) < 0.15 and abs(few.high - high) < 0.15
+        assert evaluation.value_bins(rows, "x", 100).count() <= 100
     assert evaluation.bootstrap_ci(rows.where("x > 1e9"), "x", n_boot=10).first()["point"] is None
+    with pytest.raises(ValueError):
+        evaluation.bootstrap_ci(rows, "x", statistic="mode")
+
+
+@pytest.mark.parametrize("n, clusters", [(500, 0), (2_000, 0), (20_000, 0), (20_000, 200)])
+def test_index_recall_and_compared_share(spark, n, clusters):
+    """Recall at 10 of 0.9 and more while a tenth of the pairs at most is compared exactly; with clusters few lists are probed."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 48)).astype(np.float32)
+    if clusters:
+        x = x * 0.4 + 3 * rng.normal(size=(clusters, 48)).astype(np.float32)[rng.integers(0, clusters, n)]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = retrieval.VectorIndex(v)
+    exact = {(r.query_id, r.vec_id): r.similarity for r in retrieval.cosine_top_k(q, v, 10).collect()}
+    found = {(r.query_id, r.vec_id): r.similarity for r in index.search(q, 10).collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(abs(exact[p] - found[p]) < 1e-6 for p in exact.keys() & found.keys())
+    compared = index.candidates(q.select("query_id", F.col("embedding").alias("q"))).count()
+    assert compared <= 0.1 * n * len({a for a, _ in exact})
+    if clusters:
+        assert index.coder.probes <= 0.15 * len(index.coder.centres)
+    assert index.lists.count() == n
+
+
+def test_index_of_odd_vectors(spark):
+    v = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, []), (3, None), (4, [1.0, 0.1]), (5, [-1.0, 0.0]), (5, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    q = v.where("vec_id in (0, 1, 2, 3)").select(F.col("vec_id").alias("query_id"), "embedding")
+    for search in (retrieval.cosine_top_k, retrieval.approx_top_k):
+        assert sorted((r.query_id, r.vec_id) for r in search(q, v, 3).collect()) == [(1, 1), (1, 4)]
+        assert search(q.limit(0), v).count() == 0 and search(q, v.limit(0)).count() == 0
+    blocks = retrieval.VectorIndex(v, most_compared=1.0).search(q, 3, most_queries=1)
+    assert sorted((r.query_id, r.vec_id) for r in blocks.collect()) == [(1, 1), (1, 4)]
+    some = retrieval.cosine_top_k(q, v, 3, most_queries=1)
+    assert sorted((r.query_id, r.vec_id) for r in some.collect()) == [(1, 1), (1, 4)]
+
