@@ -317,9 +317,9 @@ def similar_group(seed: int, n: int, edits: tuple[int, ...]) -> list[str]:
 def test_candidates_of_a_group_below_the_limit_grow_with_its_size(spark, monkeypatch):
     counts, whole = [], near_dedup.compared
 
-    def counting(pairs, *rest):
+    def counting(pairs, *rest, **how):
         counts[-1] += pairs.count()
-        return whole(pairs, *rest)
+        return whole(pairs, *rest, **how)
 
     monkeypatch.setattr(near_dedup, "compared", counting)
     for n in (100, 200, 400):
@@ -332,6 +332,64 @@ def test_candidates_of_a_group_below_the_limit_grow_with_its_size(spark, monkeyp
     assert counts[1] < 0.2 * 19_900 and counts[2] <= 3 * counts[1] <= 9 * counts[0]
 
 
+def test_long_texts_below_the_limit_meet_nowhere(spark, monkeypatch):
+    """Texts of 4,000 words, each with 3 % of a common text's words edited: what is compared is the stars, and grows with the group."""
+    counts, whole = [], near_dedup.compared
+
+    def counting(pairs, *rest, **how):
+        counts[-1].append(pairs.count())
+        return whole(pairs, *rest, **how)
+
+    monkeypatch.setattr(near_dedup, "compared", counting)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    for n in (50, 100, 200):
+        counts.append([])
+        texts = []
+        for i in range(n):
+            words = list(base)
+            for at in rng.sample(range(4000), 120):
+                words[at] = f"edit{i}.{at}"
+            texts.append((i, " ".join(words)))
+        df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+        assert near_dedup.near_duplicates(df, 4, 80).where("not kept").count() == 0
+    # of 1,225, 4,950 and 19,900 pairs: one centre a band at most, and no pair beside the stars
+    assert all(len(c) == 1 and c[0] <= 32 * n for c, n in zip(counts, (50, 100, 200))), counts
+    assert counts[2][0] < 0.2 * 19_900
+
+
+def test_members_similar_to_each_other_and_not_to_the_centre_are_linked(spark):
+    """Pairs of texts that share edits of a common text: each pair is similar, its texts are not similar to any other."""
+    rng = random.Random(13)
+    base, rows = [f"w{rng.randrange(500)}" for _ in range(400)], []
+    for i in range(40):
+        words = list(base)
+        for at in rng.sample(range(400), 18):
+            words[at] = f"both{i}.{at}"
+        for j in range(2):
+            own = list(words)
+            for at in rng.sample(range(400), 3):
+                own[at] = f"own{i}.{j}.{at}"
+            rows.append((2 * i + j, " ".join(own)))
+    check_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, 4, 80)
+
+
+def test_buckets_miss_no_link_at_the_limit():
+    """Sets of 20 to 450 with a similarity of 0.80 to 0.83: nearly every pair shares a bucket."""
+    rng, missed, pairs = np.random.default_rng(4), 0, 0
+    multipliers = near_dedup.tables()[3]
+    bands = lambda x: (near_dedup.signature(np.unique(x)) * multipliers).reshape(-1, near_dedup.BAND_BINS)
+    for _ in range(3000):
+        both = int(rng.integers(20, 450))
+        own = int(both * rng.uniform(0.205, 0.25) / 2)
+        common, x, y = (rng.integers(0, 1 << 63, k, np.int64).view(np.uint64) * np.uint64(2) for k in (both, own, own))
+        if 100 * both < 80 * (both + 2 * own):
+            continue
+        pairs += 1
+        missed += not (bands(np.r_[common, x]) == bands(np.r_[common, y])).all(axis=1).any()
+    assert pairs > 1000 and missed <= pairs // 1000
+
+
 def test_near_duplicates_of_a_group_across_the_limit(spark):
     rows = [(i, t) for i, t in enumerate(similar_group(9, 90, (0, 1, 2, 3, 4, 5, 6)) + similar_group(10, 60, (3, 4)))]
     check_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, 4, 80)
