@@ -9,13 +9,12 @@ text of a group of copies, so the buckets of a group mostly have one centre: eve
 its buckets, at most one a band, on full sets. That links most groups.
 
 Members of a star outside its largest part may still be similar to another member and not to the centre. The comparison
-with the centre leaves what a member lacks of the centre and what it has beside it. Two members of a star have in common what
-the centre has and neither lacks, what both lack less twice counted, and what both have beside it, so the similarity asks for a
-number of shared differences, one at least. Members count as one class whose differences are about as many, and a class's
-least sizes bound that number K from below: of n differences in an order that the star shares, rarest first, two such members
-share one among their first n - K + 1 each. So candidates come from an equi-join on (centre, classes, rare difference), and a
-difference that one member alone has never enters it: texts of a large group that are alike but below the limit, long ones too,
-meet nowhere. Nothing that the similarity allows is left out; what meets is compared on full sets. Each step is one pass.
+with the centre leaves a sketch of what a member lacks of the centre and what it has beside it: counts, and 512 bits each of
+hashed places, and the differences themselves. Two sketches of one star bound the members' intersection from above, with no
+chance of error; where they allow the similarity, as those of long texts with more differences than bits do, the differences
+tell the intersection exactly: what the centre has, less what either lacks, and what both have beside it. So a pair leaves the
+join only if it is a link, and texts of a large group that are alike but below the limit, of any length, are never pairs.
+Links are then compared on full sets. Each step is one pass; the join tests the loose members of a star with its others.
 
 Links become components by alternating stars (operators.graph). No pair list, component or set passes the driver.
 
@@ -27,24 +26,20 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
 from .common import arrow_batches, few, replaced, saved, shipped, small_batches, text_key, text_or_empty
 
 BINS, BAND_BINS = 128, 4
-#: Members of a class have numbers of differences within this factor of each other.
-CLASS_FACTOR = 1.1
-#: Put on the differences of a member beside the centre, to tell them from what it lacks.
-BESIDE = 0x5DEECE66D1234567
+#: Bits of each of the two parts of a sketch.
+SKETCH_BITS = 512
 
 
 @lru_cache(maxsize=1)
@@ -173,15 +168,24 @@ def full_sets(docs: DataFrame, involved: DataFrame, text: str, words: int, most_
         return saved(out.dropDuplicates(["node"]) if repeats else out, "sets")
 
 
+def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many hashes fell on a taken bit, and the bits."""
+    bits = np.zeros(SKETCH_BITS, bool)
+    bits[(hashes >> np.uint64(20)) & np.uint64(SKETCH_BITS - 1)] = True
+    return len(hashes) - int(bits.sum()), np.packbits(bits).view("<i8")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, most_broadcast: int, differences: bool = False) -> DataFrame:
     """The saved pairs (a, b) of nodes on their full sets, saved: a, b, na, nb, both (size of the intersection), linked (100 *
-    both >= percent * union), and with `differences` what b lacks of a and, marked, what it has beside a."""
+    both >= percent * union), and the sketch of b against a: lacks_more, lacks, has_more, has; with `differences` also what b lacks
+    and what it has beside a, all_lacks and all_has."""
     # few pairs go to the sets, and only what is compared moves; the pairs of one centre may be many, and are split by Spark
     b_sets = sets.join(few(pairs, most_broadcast), F.col("node") == F.col("b")).select("a", "b", F.col("set").alias("setb"))
     centres = saved(pairs.select("a").distinct(), "a")
     a_sets = sets.join(few(centres, most_broadcast), F.col("node") == F.col("a")).select("a", F.col("set").alias("seta"))
     rows = b_sets.join(a_sets, "a")
-    kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "both": pa.int64(), "linked": pa.bool_(), "apart": pa.list_(pa.int64())}
+    kinds = {"a": pa.int64(), "b": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "both": pa.int64(), "linked": pa.bool_(), "lacks_more": pa.int64(),
+             "lacks": pa.list_(pa.int64()), "has_more": pa.int64(), "has": pa.list_(pa.int64()), "all_lacks": pa.list_(pa.int64()), "all_has": pa.list_(pa.int64())}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,16 +198,33 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, most_broadcast: in
                 lacking[inside[common]] = False
                 both = int(common.sum())
                 linked = 100 * both >= percent * (len(x) + len(y) - both)
-                apart = np.r_[x[lacking], y[~common] ^ np.uint64(BESIDE)].view(np.int64) if differences else None
-                out.append((a.as_py(), b.as_py(), len(x), len(y), both, linked, apart))
+                parts = x[lacking], y[~common]
+                whole = [p.view(np.int64) for p in parts] if differences else [None, None]
+                out.append((a.as_py(), b.as_py(), len(x), len(y), both, linked, *sketch(parts[0]), *sketch(parts[1]), *whole))
             columns = list(zip(*out)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds.values())), names=list(kinds))
 
-    schema = "a long, b long, na long, nb long, both long, linked boolean, apart array<long>"
+    schema = "a long, b long, na long, nb long, both long, linked boolean, lacks_more long, lacks array<long>, has_more long, has array<long>, all_lacks array<long>, all_has array<long>"
     with arrow_batches(pairs.sparkSession):
         return saved(rows.select("a", "b", "seta", "setb").mapInArrow(compare, schema), "compared")
 
 
+def most_in_both() -> Column:
+    """No less than the size of the intersection of two members l and r of one star.
+
+    Of the centre's shingles both have those that neither lacks; what both lack, and what both have beside the centre's,
+    lies on bits that both sketches have set, one shingle a bit and those that fell on a taken bit."""
+    shared = lambda part: sum((F.bit_count(F.col(f"l.{part}")[i].bitwiseAND(F.col(f"r.{part}")[i])) for i in range(1, SKETCH_BITS // 64)),
+                              F.bit_count(F.col(f"l.{part}")[0].bitwiseAND(F.col(f"r.{part}")[0]))) + F.least(f"l.{part}_more", f"r.{part}_more")
+    return F.col("l.both") + F.col("r.both") - F.col("l.na") + shared("lacks") + shared("has")
+
+
+def in_both() -> Column:
+    """The size of the intersection of two members l and r of one star."""
+    met = lambda part: F.size(F.array_intersect(F.col(f"l.{part}"), F.col(f"r.{part}")))
+    return F.col("l.both") + F.col("r.both") - F.col("l.na") + met("all_lacks") + met("all_has")
+
+
 def star_pairs(nodes: DataFrame, most_broadcast: int) -> DataFrame:
     """(a, b): the centres a of the buckets of each node b, saved."""
     half = lambda band: F.shiftrightunsigned(F.col("bins")[band // 2], 32 * (band % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
@@ -219,41 +240,23 @@ def star_pairs(nodes: DataFrame, most_broadcast: int) -> DataFrame:
 
 
 def unsettled_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one star, in different components, whose differences from the centre allow the similarity; saved."""
+    """Pairs (a, b) of members of one star, in different components, that their differences from the centre show to be links; saved."""
     part = lambda df, key: df.join(labels.select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
-    rows = saved(part(stars.drop("apart", "linked"), "b"), "rows")
+    rows = saved(part(stars, "b"), "rows")
     own = part(rows.select("a").distinct(), "a")
     parts = rows.select("a", "component").union(own.select("a", "component")).groupBy("a", "component").agg(F.count("*").alias("n"))
     apart = parts.groupBy("a").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     apart = saved(apart.select("a", F.col("top.component").alias("largest")), "apart")
-    lacks = F.col("na") - F.col("both")
-    band = lambda c: F.floor(F.log(c + 1) / math.log(CLASS_FACTOR)).cast("int")
-    here = rows.join(apart, "a").withColumns({"loose": F.col("component") != F.col("largest"), "lacks": lacks})
-    here = saved(here.withColumn("class", band(F.col("lacks")) * 100_000 + band(F.col("nb") - F.col("both"))), "members")
-    classes = here.groupBy("a", "class").agg(F.min("nb").alias("least"), F.max("nb").alias("most"), F.min("lacks").alias("least_lacks"), F.max("loose").alias("any_loose"))
-    classes = classes.withColumnRenamed("class", "other")
-    # the number of differences that a member shares with one of the other class, if they are similar: with an intersection of
-    # percent / (100 + percent) of both sizes
-    shared = F.ceil((F.col("nb") + F.col("least")) * percent / (100 + percent) - 1e-6) - F.col("na") + F.col("lacks") + F.col("least_lacks")
-    size = (F.col("nb") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("nb") * percent)
-    wanted = here.join(classes, "a").where((F.col("loose") | F.col("any_loose")) & size)
-    wanted = wanted.withColumn("first", F.col("na") + F.col("nb") - 2 * F.col("both") - F.greatest(shared, F.lit(1)) + 1).where("first > 0")
-    wanted = saved(wanted.select("a", "b", "class", "other", "component", "loose", "nb", "first"), "wanted")
-    deepest = wanted.groupBy("a", "b").agg(F.max("first").alias("deepest"))
-    differences = stars.join(deepest, ["a", "b"]).select("a", "b", "deepest", F.explode("apart").alias("difference"))
-    common = differences.groupBy("a", "difference").agg(F.count("*").alias("n"))
-    ranked = differences.join(common, ["a", "difference"])
-    # the place in the star's order, rarest first, of what more than one member has
-    order = Window.partitionBy("a", "b").orderBy("n", "difference")
-    ranked = ranked.withColumn("place", F.row_number().over(order)).where("n > 1 and place <= deepest").select("a", "b", "difference", "place")
-    heads = wanted.join(saved(ranked, "ranked"), ["a", "b"]).where(F.col("place") <= F.col("first"))
-    heads = saved(heads.select("a", "b", "class", "other", "component", "loose", "nb", "difference"), "heads")
-    once = ~F.col("r.loose") | (F.col("l.b") < F.col("r.b"))
+    here = rows.join(apart, "a")
     size = (F.col("l.nb") * 100 >= F.col("r.nb") * percent) & (F.col("r.nb") * 100 >= F.col("l.nb") * percent)
-    meet = (F.col("l.a") == F.col("r.a")) & (F.col("l.class") == F.col("r.other")) & (F.col("l.other") == F.col("r.class")) & (F.col("l.difference") == F.col("r.difference"))
-    pairs = heads.where("loose").alias("l").join(heads.alias("r"), meet & (F.col("l.component") != F.col("r.component")) & once & size)
+    once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.b") < F.col("r.b"))
+    # 100 * both >= percent * (l + r - both), with the most that both can be, then with what it is
+    similar = lambda both: (100 + percent) * both >= percent * (F.col("l.nb") + F.col("r.nb"))
+    allowed = F.when(similar(most_in_both()), similar(in_both())).otherwise(False)
+    pairs = here.where("component <> largest").alias("l").join(
+        here.alias("r"), (F.col("l.a") == F.col("r.a")) & (F.col("l.component") != F.col("r.component")) & once & size & allowed)
     out = saved(pairs.select(F.least("l.b", "r.b").alias("a"), F.greatest("l.b", "r.b").alias("b")).distinct(), "unsettled")
-    for table in (rows, apart, here, wanted, heads):
+    for table in (rows, apart):
         replaced(table)
     return out
 
