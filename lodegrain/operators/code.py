@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .topk import top_k_per
 
@@ -28,25 +29,71 @@ def extract_declarations(files: DataFrame) -> DataFrame:
     return rows.select("path", F.col("at").alias("ordinal"), (F.col("at") + 1).alias("line_start"), "d.kind", "d.name", F.when(public, "public").otherwise("private").alias("visibility"), F.trim("s").alias("signature"))
 
 
-def _with_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    return symbols.join(files.select("path", F.split("content", r"\r?\n").alias("lines")), "path")
+def lines_of(files: DataFrame) -> DataFrame:
+    """path, at (from 1), s: a row per line, whatever many symbols its file has."""
+    return files.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "s")).withColumn("at", F.col("at") + 1)
 
 
 def doc_comment_above(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """path, name, line_start, doc: the unbroken lines above a symbol that start with ///, //! or *, without these marks."""
-    above = F.reverse(F.slice(F.col("lines"), 1, F.col("line_start") - 1))
-    start = F.struct(F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))
-    is_doc = lambda s: s.rlike(r"^\s*(///|//!|/?\*)")
-    fold = F.aggregate(above, start, lambda done, s: F.when(done["over"] | ~is_doc(s), F.struct(F.lit(True).alias("over"), done["kept"].alias("kept"))).otherwise(
-        F.struct(F.lit(False).alias("over"), F.concat(done["kept"], F.array(F.trim(F.regexp_replace(s, r"^\s*(///|//!|/?\*+/?)", "")))).alias("kept"))))
-    return _with_lines(files, symbols).select("path", "name", "line_start", F.array_join(F.reverse(fold["kept"]), "\n").alias("doc"))
-
-
-def body_snippet(files: DataFrame, symbols: DataFrame, whole: int = 40, ends: int = 20) -> DataFrame:
-    """path, name, line_start, snippet: the lines of a symbol, up to `whole` of them; of more the first and last `ends`."""
-    body = F.slice(F.col("lines"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1)
-    cut = F.concat(F.slice(body, 1, ends), F.array(F.lit("...")), F.slice(body, -ends, ends))
-    return _with_lines(files, symbols).select("path", "name", "line_start", F.array_join(F.when(F.size(body) <= whole, body).otherwise(cut), "\n").alias("snippet"))
+    """path, name, line_start, doc: the comment lines (///, //! or *) above a symbol, without these marks, joined by blanks. Blank lines
+    between comment and symbol are passed over; a blank or another line above the comment ends it; lines of marks alone say nothing.
+
+    Lines are numbered by the run of comment lines they lie in; a symbol meets the run of the last line that is not blank above it,
+    so a line moves once and not once a symbol."""
+    stripped = F.trim(F.regexp_replace("s", r"\s+", " "))
+    is_doc = stripped.rlike(r"^(///|//!|\*|/\*\*)")
+    text = F.trim(F.regexp_replace(stripped, r"^(?:(?:///)+|(?://!)+|(?:/\*\*)*(?:\*/)*\**)", ""))
+    order = Window.partitionBy("path").orderBy("at")
+    rows = lines_of(files).withColumns({"is_doc": is_doc, "text": text, "blank": stripped == "", "slashed": stripped.startswith("//")})
+    rows = rows.withColumn("run", F.sum((~F.col("is_doc")).cast("int")).over(order))
+    above = F.last(F.when(~F.col("blank"), F.struct("is_doc", "run")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # a run ends with its last comment line: the line after it has the next number
+    starts = symbols.select("path", "name", "line_start").join(rows.select("path", F.col("at").alias("line_start"), above.alias("above")), ["path", "line_start"])
+    said = rows.where("is_doc").where(F.col("slashed") | (F.col("text") != "")).groupBy("path", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("doc"))
+    wanted = starts.withColumn("run", F.when(F.col("above.is_doc"), F.col("above.run")))
+    return wanted.join(said, ["path", "run"], "left").select("path", "name", "line_start", F.coalesce("doc", F.lit("")).alias("doc"))
+
+
+def symbol_bodies(files: DataFrame, symbols: DataFrame, bucket: int = 64) -> DataFrame:
+    """path, name, line_start, line_end, body: the lines of each symbol. Both sides meet on (path, line bucket), so a symbol meets the
+    lines it spans and not its whole file."""
+    parts = symbols.select("path", "name", "line_start", "line_end").withColumn("bucket", F.explode(F.sequence(F.expr(f"line_start div {bucket}"), F.expr(f"greatest(line_end, line_start) div {bucket}"))))
+    rows = parts.join(lines_of(files).withColumn("bucket", F.expr(f"cast(at div {bucket} as bigint)")), ["path", "bucket"])
+    rows = rows.where(F.col("at").between(F.col("line_start"), F.col("line_end")))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"])
+    return rows.groupBy("path", "name", "line_start", "line_end").agg(body.alias("body"))
+
+
+def registry_names(body: Column) -> Column:
+    """Distinct names of entries `name: "..."`, the first `name:` of a line, in order."""
+    found = F.transform(body, lambda s: F.regexp_extract(s, r"^(?:(?!name:).)*name:\s*\"([^\"]*)\"", 1))
+    return F.array_distinct(F.filter(found, lambda n: n != ""))
+
+
+def enum_variants(body: Column) -> Column:
+    """Distinct identifiers with a capital that lines begin with, but for comments, attributes and the declaration, in order."""
+    lines = F.filter(F.transform(body, lambda s: F.trim(s)), lambda s: ~s.rlike(r"^(//|#\[|pub enum|enum)"))
+    return F.array_distinct(F.filter(F.transform(lines, lambda s: F.regexp_extract(s, r"^(\p{Lu}[\p{L}\p{N}_]*)", 1)), lambda n: n != ""))
+
+
+def body_snippet(files: DataFrame, symbols: DataFrame, whole: int = 40, ends: int = 20, least_names: int = 10) -> DataFrame:
+    """path, name, line_start, snippet: the lines of a symbol, up to `whole` of them. Of a longer one that registers `least_names`
+    names and more, or has as many enum variants, a list of all of these, its first lines and its last; of others the first and the last
+    `ends` lines."""
+    join = lambda c: F.array_join(c, "\n")
+    rows = symbol_bodies(files, symbols).withColumns({"registered": registry_names(F.col("body")), "variants": enum_variants(F.col("body"))})
+    body, n = F.col("body"), F.size("body")
+    last = F.trim(F.element_at("body", -1))
+
+    def listed(title: str, what: str, names: str, first: int) -> Column:
+        head = F.concat(F.lit(f"// {title}: "), F.size(names), F.lit(f" {what} — "), F.array_join(names, ", "))
+        return F.concat_ws("\n", head, join(F.slice(body, 1, first)), F.lit(f"    // ... [complete {'item' if title == 'REGISTRY' else 'variant'} list in {title} comment above]"), last)
+
+    tail = F.least(F.lit(ends), F.greatest(n - ends, F.lit(0)))
+    cut = F.when(tail > 0, F.concat_ws("\n// ...\n", join(F.slice(body, 1, ends)), join(F.slice(body, n - tail + 1, tail)))).otherwise(join(F.slice(body, 1, ends)))
+    snippet = (F.when(F.col("line_end") - F.col("line_start") + 1 <= whole, join(body)).when(F.size("registered") >= least_names, listed("REGISTRY", "items", "registered", 5))
+               .when(F.size("variants") >= least_names, listed("ENUM", "variants", "variants", 3)).otherwise(cut))
+    return rows.select("path", "name", "line_start", snippet.alias("snippet"))
 
 
 def enrich_targets_with_code(targets: DataFrame, symbols: DataFrame, files: DataFrame, kinds: tuple[str, ...] = ("Function", "Method", "Class", "Struct", "Enum", "Interface", "Module")) -> DataFrame:
@@ -59,15 +106,19 @@ def enrich_targets_with_code(targets: DataFrame, symbols: DataFrame, files: Data
     return rows.join(snippets, ["symbol_path", "symbol", "line_start"], "left")
 
 
-#: Words that say nothing of what a body does.
-KEYWORDS = ("and", "async", "await", "break", "class", "const", "continue", "def", "else", "enum", "export", "false", "fn", "for", "from", "function", "if", "impl", "import", "in", "let", "match",
-            "mod", "mut", "new", "none", "not", "null", "or", "pass", "pub", "ref", "return", "self", "static", "str", "struct", "super", "the", "this", "trait", "true", "type", "use", "var", "void", "where", "while")
+#: Words that say nothing of what a body does.
+KEYWORDS = ("let", "mut", "pub", "use", "mod", "fn", "impl", "self", "super", "return", "match", "some", "none", "true", "false", "else", "def", "class", "import", "from", "pass", "with", "async",
+            "await", "const", "var", "function", "new", "this", "null", "undefined", "for", "while", "loop", "break", "continue", "struct", "enum", "type", "trait", "where", "dyn", "ref", "str", "string")
 
 
-def body_keywords(body: Column, most: int = 30) -> Column:
-    """Distinct lower-case words of three letters and more that are no keywords, in order, the first `most`."""
-    words = F.transform(F.regexp_extract_all(body, F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.lower(w))
-    return F.slice(F.array_except(F.array_distinct(words), F.array(*map(F.lit, KEYWORDS))), 1, most)
+def body_keywords(body: Column, region: int = 10) -> Column:
+    """Distinct lower-case words (letters, digits, underscores) of three bytes and more that are no keywords, in order, of an array of
+    lines: all of up to 2 * region of them, else `region` at the start, in the middle and at the end."""
+    n = F.size(body)
+    parts = F.concat(F.slice(body, F.lit(1), F.lit(region)), F.slice(body, F.floor(n / 2).cast("int") - region // 2 + 1, F.lit(region)), F.slice(body, n - region + 1, F.lit(region)))
+    words = F.regexp_extract_all(F.array_join(F.when(n <= 2 * region, body).otherwise(parts), "\n"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = F.transform(F.filter(words, lambda w: F.octet_length(w) >= 3), lambda w: F.lower(w))
+    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, KEYWORDS)))
 
 
 def embedding_text(name: Column, signature: Column, doc: Column, keywords: Column) -> Column:

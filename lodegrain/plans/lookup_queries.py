@@ -160,16 +160,16 @@ def called_symbols(v: Views):
 def sources(v: Views):
     """A file of each part with two symbols: a documented function and a bare one."""
     k = F.col("p_partkey").cast("string")
-    content = F.concat(F.lit("use a;\n/// about "), k, F.lit("\n//! more\nfn f_"), k, F.lit("() {\n  let alpha"), F.translate(k, "0123456789", "abcdefghij"), F.lit(" = beta;\n}\n\nfn g() {}"))
+    content = F.concat(F.lit("use a;\n/// about "), k, F.lit("\n//! more\n\nfn f_"), k, F.lit("() {\n  let alpha"), F.translate(k, "0123456789", "abcdefghij"), F.lit(" = beta;\n}\n\nfn g() {}"))
     files = v.part.select(F.concat(F.lit("lib/f"), k, F.lit(".rs")).alias("path"), content.alias("content"), k.alias("k"))
-    two = F.array(F.struct(F.concat(F.lit("f_"), "k").alias("name"), F.lit(4).alias("line_start"), F.lit(6).alias("line_end"), F.lit("Function").alias("kind")), F.struct(F.lit("g").alias("name"), F.lit(8).alias("line_start"), F.lit(8).alias("line_end"), F.lit("Constant").alias("kind")))
+    two = F.array(F.struct(F.concat(F.lit("f_"), "k").alias("name"), F.lit(5).alias("line_start"), F.lit(7).alias("line_end"), F.lit("Function").alias("kind")), F.struct(F.lit("g").alias("name"), F.lit(9).alias("line_start"), F.lit(9).alias("line_end"), F.lit("Constant").alias("kind")))
     return files.drop("k"), files.select("path", F.inline(two))
 
 
 _K = "CAST(p_partkey AS VARCHAR) AS k, 'lib/f' || p_partkey || '.rs' AS path"
 
 
-@query(f"SELECT path, 'f_' || k AS name, 4 AS line_start, 'about ' || k || chr(10) || 'more' AS doc FROM (SELECT {_K} FROM part) UNION ALL SELECT path, 'g', 8, '' FROM (SELECT {_K} FROM part)")
+@query(f"SELECT path, 'f_' || k AS name, 5 AS line_start, 'about ' || k || ' more' AS doc FROM (SELECT {_K} FROM part) UNION ALL SELECT path, 'g', 9, '' FROM (SELECT {_K} FROM part)")
 def doc_comment_above(v: Views):
     return K.doc_comment_above(*sources(v))
 
@@ -177,16 +177,34 @@ def doc_comment_above(v: Views):
 _BODY = "'fn f_' || k || '() {' || chr(10) || '  let alpha' || translate(k, '0123456789', 'abcdefghij') || ' = beta;' || chr(10) || '}'"
 
 
-@query(f"SELECT path, 'f_' || k AS name, 4 AS line_start, {_BODY} AS snippet FROM (SELECT {_K} FROM part) UNION ALL SELECT path, 'g', 8, 'fn g() {{}}' FROM (SELECT {_K} FROM part)")
+def _long(a: int, b: int) -> str:
+    return ("array_to_string(list_transform(range(1, 61), lambda i: CASE WHEN i = 1 THEN ['fn f() {', 'enum f {', 'fn f() {'][p_partkey % 3 + 1] WHEN i = 60 THEN '}' WHEN p_partkey % 3 = 0 THEN '  Tool { name: \"n' || i % 12 || '_' || k || '\" },' "
+            "WHEN p_partkey % 3 = 1 THEN '  V' || i % 15 || ',' ELSE '  step(' || i || ', ' || k || ');' END)[" + f"{a}:{b}], chr(10))")
+
+
+@query(f"""SELECT path, 'f_' || k AS name, 5 AS line_start, {_BODY} AS snippet FROM (SELECT {_K} FROM part) UNION ALL SELECT path, 'g', 9, 'fn g() {{}}' FROM (SELECT {_K} FROM part) UNION ALL
+  SELECT 'long/' || path, 'long', 1, CASE p_partkey % 3 WHEN 0 THEN '// REGISTRY: 12 items — ' || array_to_string(list_transform([2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 0, 1], lambda i: 'n' || i || '_' || k), ', ') || chr(10) || {_long(1, 5)} || chr(10) ||
+      '    // ... [complete item list in REGISTRY comment above]' || chr(10) || '}}'
+    WHEN 1 THEN '// ENUM: 15 variants — V2, V3, V4, V5, V6, V7, V8, V9, V10, V11, V12, V13, V14, V0, V1' || chr(10) || {_long(1, 3)} || chr(10) || '    // ... [complete variant list in ENUM comment above]' || chr(10) || '}}'
+    ELSE {_long(1, 20)} || chr(10) || '// ...' || chr(10) || {_long(41, 60)} END FROM (SELECT p_partkey, {_K} FROM part)""")
 def body_snippet(v: Views):
-    return K.body_snippet(*sources(v))
+    """Short symbols, and a long one of each part: a registry, an enum or steps."""
+    files, found = sources(v)
+    k, kind, i = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3, F.col("i").cast("string")
+    first = F.when(kind == 1, "enum f {").otherwise("fn f() {")
+    line = (F.when(F.col("i") == 1, first).when(F.col("i") == 60, "}").when(kind == 0, F.concat(F.lit('  Tool { name: "n'), F.col("i") % 12, F.lit("_"), k, F.lit('" },')))
+            .when(kind == 1, F.concat(F.lit("  V"), F.col("i") % 15, F.lit(","))).otherwise(F.concat(F.lit("  step("), i, F.lit(", "), k, F.lit(");"))))
+    lines = v.part.select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("i")).withColumn("line", line).groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
+    long = lines.select(F.concat(F.lit("long/lib/f"), "p_partkey", F.lit(".rs")).alias("path"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+    symbols = long.select("path", F.lit("long").alias("name"), F.lit(1).alias("line_start"), F.lit(60).alias("line_end"), F.lit("Function").alias("kind"))
+    return K.body_snippet(files.unionByName(long), found.unionByName(symbols))
 
 
-@query(f"SELECT path, 'f_' || k AS name, 'f_' || k || ' f_' || k || ' f_' || k || ' fn fn about ' || k || ' more alpha' || translate(k, '0123456789', 'abcdefghij') || ' beta' AS text FROM (SELECT {_K} FROM part) UNION ALL SELECT path, 'g', 'g g g fn fn' FROM (SELECT {_K} FROM part)")
+@query(f"SELECT path, 'f_' || k AS name, 'f_' || k || ' f_' || k || ' f_' || k || ' fn fn about ' || k || ' more f_' || k || ' alpha' || translate(k, '0123456789', 'abcdefghij') || ' beta' AS text FROM (SELECT {_K} FROM part) UNION ALL SELECT path, 'g', 'g g g fn fn' FROM (SELECT {_K} FROM part)")
 def embedding_text(v: Views):
     files, found = sources(v)
     rows = K.body_snippet(files, found).join(K.doc_comment_above(files, found), ["path", "name", "line_start"])
-    return rows.select("path", "name", K.embedding_text(F.col("name"), F.lit("fn"), F.replace("doc", F.lit("\n"), F.lit(" ")), K.body_keywords(F.col("snippet"))).alias("text"))
+    return rows.select("path", "name", K.embedding_text(F.col("name"), F.lit("fn"), F.col("doc"), K.body_keywords(F.split("snippet", "\n"))).alias("text"))
 
 
 @query(f"SELECT p_partkey AS target, path, CASE WHEN p_partkey % 3 > 0 THEN 'f_' || k ELSE 'g' END AS name, CASE WHEN p_partkey % 3 > 0 THEN {_BODY} END AS snippet FROM (SELECT p_partkey, {_K} FROM part) WHERE p_partkey % 3 < 2")

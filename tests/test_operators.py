@@ -153,17 +153,24 @@ def test_security_context_and_context_text(spark):
     assert text["a"].startswith("## x (1.000)\nl0\n") and "l11" in text["a"] and "l12" not in text["a"] and text["a"].endswith("## y (0.500)\nl1") and text["b"] == "## z (0.000)\n"
 
 
+def test_doc_comments_as_lines_lie(spark):
+    content = ["/// far", "", "x", "/** star", " * two", " */", "", "   ", "fn a() {}", "//! over", "#[attr]", "fn b() {}", "/// one", "/// ", "///two", "fn c() {}", "", "fn d() {}"]
+    files = spark.createDataFrame([("a.rs", "\r\n".join(content)), ("empty.rs", "")], "path string, content string")
+    symbols = spark.createDataFrame([("a.rs", n, i) for n, i in (("a", 9), ("b", 12), ("c", 16), ("d", 18))] + [("empty.rs", "e", 1), ("none.rs", "n", 1)], "path string, name string, line_start int")
+    assert {r.name: r.doc for r in code.doc_comment_above(files, symbols).collect()} == {"a": "star two", "b": "", "c": "one  two", "d": "", "e": ""}
+
+
 def test_index_texts_of_symbols(spark):
     content = "use x;\n/// Adds\n/// two numbers.\nfn add(a: i32) {\n  total + a\n}\n" + "\n".join(f"line{i}" for i in range(60))
     files = spark.createDataFrame([("a.rs", content)], "path string, content string")
     symbols = spark.createDataFrame([("a.rs", "add", 4, 6), ("a.rs", "long", 7, 66), ("a.rs", "first", 1, 1)], "path string, name string, line_start int, line_end int")
     docs = {r["name"]: r["doc"] for r in code.doc_comment_above(files, symbols).collect()}
-    assert docs == {"add": "Adds\ntwo numbers.", "long": "", "first": ""}
+    assert docs == {"add": "Adds two numbers.", "long": "", "first": ""}
     bodies = {r["name"]: r["snippet"] for r in code.body_snippet(files, symbols).collect()}
     assert bodies["add"] == "fn add(a: i32) {\n  total + a\n}" and len(bodies["long"].split("\n")) == 41 and bodies["long"].endswith("line59")
-    row = files.select(code.body_keywords(F.lit("fn Total(self) { return total + Sum for x }")).alias("k"),
+    row = files.select(code.body_keywords(F.array(F.lit("fn Total(self) { return total + Sum_2 for x }"))).alias("k"),
                        code.embedding_text(F.lit("add"), F.lit("fn add()"), F.lit(None).cast("string"), F.array(F.lit("total"))).alias("e")).first()
-    assert row["k"] == ["total", "sum"] and row["e"] == "add add add fn add() fn add() total"
+    assert row["k"] == ["total", "sum_2"] and row["e"] == "add add add fn add() fn add() total"
     log = "a = 1\n  tracing::info!(\"x\");\nlogger.debug(x)\nb = 2\ninfo!(\n  x\n);\n" + "z" * 300
     pruned = files.select(consistency.prune_log_lines(F.lit(log)).alias("p")).first()["p"].split("\n")
     assert pruned == ["a = 1", "// [log]", "b = 2", "info!(", "  x", ");", "z" * 200 + " ..."]
