@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import commit_scope, commit_tags
+from ..sources.snapshots import saved
 from .topk import top_k_per
 
 
@@ -76,17 +77,19 @@ def stability(touched: DataFrame) -> DataFrame:
     return rows.select("path", F.when(F.col("n") <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - share)).alias("convergence"), share.alias("rigidity"))
 
 
-def co_changes(commit_files: DataFrame, min_count: int = 2, top: int | None = 10, max_files_per_commit: int | None = None) -> DataFrame:
-    """path, other, together, ratio (of the file's commits), rank. A commit of n files gives n * n pairs: where wide commits
-    exist, `max_files_per_commit` leaves them out of the pairs (and of nothing else)."""
-    pairs = commit_files
+def co_changes(commit_files: DataFrame, min_count: int = 2, top: int | None = 10, max_files_per_commit: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """path, other, together, ratio (of the file's commits), rank, of all files or of `targets` (path), of which only the commits are
+    paired. Files of fewer than min_count commits can be in no result and pair with nothing. A commit of n files that are left gives
+    n * n pairs: where wide commits exist, `max_files_per_commit` leaves them out of the pairs (and of nothing else)."""
+    often = commit_files.groupBy("path").agg(F.count("*").alias("total")).where(F.col("total") >= min_count)
+    pairs = commit_files.join(often, "path", "left_semi")
     if max_files_per_commit is not None:
         narrow = commit_files.groupBy("commit_id").count().where(F.col("count") <= max_files_per_commit)
-        pairs = commit_files.join(narrow, "commit_id", "left_semi")
-    both = pairs.join(pairs.withColumnRenamed("path", "other"), "commit_id").where("path <> other")
+        pairs = pairs.join(narrow, "commit_id", "left_semi")
+    own = pairs if targets is None else pairs.join(targets.select("path").distinct(), "path", "left_semi")
+    both = own.join(pairs.withColumnRenamed("path", "other"), "commit_id").where("path <> other")
     counted = both.groupBy("path", "other").agg(F.count("*").alias("together")).where(F.col("together") >= min_count)
-    totals = commit_files.groupBy("path").agg(F.count("*").alias("total"))
-    rows = counted.join(totals, "path").select("path", "other", "together", (F.col("together") / F.col("total")).alias("ratio"))
+    rows = counted.join(often, "path").select("path", "other", "together", (F.col("together") / F.col("total")).alias("ratio"))
     return top_k_per(rows, ["path"], [F.desc("together"), F.col("other")], top, "rank")
 
 
@@ -124,6 +127,7 @@ def riskiest_files(commit_files: DataFrame, commits: DataFrame, as_of: int, k: i
     touched = touches(commit_files, commits)
     spots = file_hotspots(touched, as_of)
     rows = spots.join(risk_indicator(spots, tag_counts(touched)), "path").join(fix_chains(touched), "path")
-    partner = co_changes(commit_files, top=1).select("path", F.col("other").alias("partner"))
-    best = rows.orderBy(F.desc("hotspot"), "path").limit(k)
+    # the k first, for their commits alone are paired
+    best = saved(rows.orderBy(F.desc("hotspot"), "path").limit(k), "riskiest")
+    partner = co_changes(commit_files, top=1, targets=best).select("path", F.col("other").alias("partner"))
     return best.join(partner, "path", "left")

@@ -65,7 +65,9 @@ def clean_query(requests: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS, k
     and more, each once in lower case with weight 3; at most two synonyms of each with weight 0.5."""
     words = F.transform(F.split(text, r"[\s?!,]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", ""))
     words = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*stop_words))
-    camel = lambda w: F.regexp_extract_all(w, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+"), F.lit(0))
+    # a name in mixed case is cut before a capital after a small letter or a digit, and before the last of several capitals
+    pieces = lambda w: F.filter(F.split(w, r"(?<=[\p{Ll}0-9])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"), lambda p: F.length(p) >= 2)
+    camel = lambda w: F.when(w.rlike(r"\p{Ll}") & (F.size(pieces(w)) > 1), pieces(w)).otherwise(F.array().cast("array<string>"))
     parts = lambda w: F.when(w.contains("_"), F.filter(F.split(w, "_"), lambda p: ~F.lower(p).isin(*stop_words))).otherwise(camel(w))
     terms = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(parts(w), lambda p: F.length(p) >= 3))))
     rows = requests.select(key, F.array_distinct(F.transform(terms, lambda t: F.lower(t))).alias("terms"))

@@ -52,17 +52,28 @@ CODE_PATTERNS = [
 ]
 
 
+#: What a text must hold for a default rule to match at all, one of each: a cheap look before the expression. Lower case.
+GUARDS = {
+    "aws_key": ["akia"], "github_token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "private_key": ["private key"], "uri_credentials": ["://"], "jwt_token": ["eyj"],
+    "slack_webhook": ["hooks.slack.com"], "pii_email": ["@"], "pii_phone": ["+"], "pii_ipv4": ["."],
+    "generic_secret": ["password", "secret", "token", "api_key", "access_key", "auth_token", "bearer", "credentials", "private_key", "signing_key"],
+}
+
+
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; 0 for an empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    """Bits per character; 0 for an empty text. Sorted characters are counted in one fold."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.size(chars).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)).cast("double"))
-    inside = F.aggregate(counts, F.lit(0.0), lambda t, c: t + c * F.log2(c))
+    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("t"))
+    counted = lambda d: d["t"] + F.when(d["n"] > 1, d["n"] * F.log2(d["n"])).otherwise(0.0)
+    inside = F.aggregate(chars, start, lambda d, c: F.when(d["c"] == c, F.struct(c.alias("c"), (d["n"] + 1.0).alias("n"), d["t"].alias("t"))).otherwise(
+        F.struct(c.alias("c"), F.lit(1.0).alias("n"), counted(d).alias("t"))), counted)
     return F.when(n > 0, F.log2(n) - inside / n).otherwise(0.0)
 
 
-def matches_with_offsets(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match): what lies between matches adds up to where each starts."""
+def matches_with_offsets(text: Column, pattern: str, guard: Column | None = None) -> Column:
+    """Array of (start, end, match): what lies between matches adds up to where each starts. Null without a match, or where the guard,
+    which is looked at first, does not hold."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
@@ -73,7 +84,8 @@ def matches_with_offsets(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
 
     pairs = F.arrays_zip(found.alias("match"), F.slice(between, F.lit(1), F.size(found)).alias("gap"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step)["out"])
+    there = text.rlike(pattern) if guard is None else F.when(guard, text.rlike(pattern)).otherwise(False)
+    return F.when(there, F.aggregate(pairs, empty, step)["out"])
 
 
 def dlp_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[tuple[str, str]] | None = None,
@@ -82,11 +94,16 @@ def dlp_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     8 characters at least, else the match) has 8 characters and less entropy than min_entropy; the entropy gate does not
     hold for matches with :// and for generic_secret. Overlapping findings of different rules are all kept."""
     def named(name: str, pattern: str) -> Column:
-        found = F.coalesce(matches_with_offsets(F.col(text), pattern), F.array().cast("array<struct<start:int,end:int,match:string>>"))
+        words = GUARDS.get(name) if (name, pattern) in RULES else None
+        guard = None
+        for w in words or []:
+            guard = F.col("__low").contains(w) if guard is None else guard | F.col("__low").contains(w)
+        found = F.coalesce(matches_with_offsets(F.col(text), pattern, guard), F.array().cast("array<struct<start:int,end:int,match:string>>"))
         return F.transform(found, lambda m: F.struct(F.lit(name).alias("rule"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match")))
 
     by_rule = [named(*rule) for rule in (RULES if rules is None else rules)]
-    found = docs.select(key, F.explode(F.flatten(F.array(*by_rule))).alias("f")).select(key, "f.*")
+    lowered = docs.select(key, text, F.lower(text).alias("__low"))
+    found = lowered.select(key, F.explode(F.flatten(F.array(*by_rule))).alias("f")).select(key, "f.*")
     for pattern in WHITELIST if whitelist is None else whitelist:
         found = found.where(~F.col("match").rlike(pattern))
     after = F.regexp_replace(F.regexp_extract("match", r"^[^=:]*[=:]\s*([\s\S]*)$", 1), r"""^["']+|["']+$""", "")
@@ -135,7 +152,8 @@ def merge_concatenations(text: Column) -> Column:
 def combine_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, rule, n: direct findings, those only visible after joining literals (`concat:`) and in decoded runs (`encoded:`)."""
     direct = dlp_findings(docs, key, text).groupBy(key, "rule").agg(F.count("*").alias("n"))
-    joined = docs.select(key, merge_concatenations(F.col(text)).alias(text))
+    # only texts that the join changes are scanned again
+    joined = docs.select(key, F.col(text).alias("__as_is"), merge_concatenations(F.col(text)).alias(text)).where(F.col(text) != F.col("__as_is")).select(key, text)
     concat = dlp_findings(joined, key, text).groupBy(key, "rule").agg(F.count("*").alias("n")).join(direct, [key, "rule"], "left_anti")
     inside = dlp_findings(decoded_fragments(docs, key, text), key, "fragment").groupBy(key, "rule").agg(F.count("*").alias("n"))
     prefixed = lambda df, p: df.withColumn("rule", F.concat(F.lit(p), "rule"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .topk import last_n, top_k_per
+from .topk import last_n, numbered, top_k_per
 
 
 def load_spans(raw: DataFrame) -> DataFrame:
@@ -97,6 +97,7 @@ def pipeline_stage_stats(runs: DataFrame, stages: list[str], last: int | None =
 def diagnostic_counts(diagnostics: DataFrame) -> DataFrame:
     """check_id, errors, warnings, trend: the sign of the change of both together since the check before."""
     rows = diagnostics.groupBy("check_id").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
-    total = F.col("errors") + F.col("warnings")
-    # a row per check, not per diagnostic
-    return rows.withColumn("trend", F.coalesce(F.signum(total - F.lag(total).over(Window.orderBy("check_id"))), F.lit(0.0)).cast("int"))
+    rows = numbered(rows, "check_id", "__n")
+    before = rows.select((F.col("__n") + 1).alias("__n"), (F.col("errors") + F.col("warnings")).alias("__before"))
+    trend = F.signum(F.col("errors") + F.col("warnings") - F.col("__before"))
+    return rows.join(before, "__n", "left").select("check_id", "errors", "warnings", F.coalesce(trend, F.lit(0.0)).cast("int").alias("trend"))

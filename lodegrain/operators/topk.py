@@ -34,10 +34,15 @@ def dedupe_best(hits: DataFrame, keys: list[str], score: str = "score", ties: tu
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Ranks from 1 in ascending order, the mean of their places for ties."""
-    ties = Window.partitionBy(*keys, value)
-    below = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-    return df.withColumn(name, below + (F.count("*").over(ties) - 1) / F.lit(2.0))
+    """Ranks from 1 in ascending order, the mean of their places for ties. Without keys the distinct values are ranked by running
+    counts of sorted parts, so no task sees all rows."""
+    if keys:
+        ties = Window.partitionBy(*keys, value)
+        below = F.rank().over(Window.partitionBy(*keys).orderBy(value))
+        return df.withColumn(name, below + (F.count("*").over(ties) - 1) / F.lit(2.0))
+    counts = df.groupBy(F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    ranks = running_sum(counts, "__value", "__n", "__before").select("__value", (F.col("__before") + (F.col("__n") + 1) / F.lit(2.0)).alias(name))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("__value"))).drop("__value")
 
 
 def min_max_normalise(df: DataFrame, keys: list[str], score: str = "score", name: str = "norm") -> DataFrame:
@@ -48,10 +53,17 @@ def min_max_normalise(df: DataFrame, keys: list[str], score: str = "score", name
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Add `name`, each row's number from 0 in the order of a unique key: sorted parts are saved with the places in them, and
-    one row a part tells what lies before it."""
+    """Add `name`, each row's number from 0 in the order of a unique key."""
+    return running_sum(df, key, None, name)
+
+
+def running_sum(df: DataFrame, key: str, value: str | None, name: str) -> DataFrame:
+    """Add `name`, the sum of `value` (None: 1) over the rows before each in the order of a unique key: sorted parts are saved with the
+    places in them, and one row a part tells what lies before it."""
     rows = saved(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()), "numbered")
-    rows = rows.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    amount = F.lit(1) if value is None else F.col(value)
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    return rows.join(starts, "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+    starts = rows.groupBy("__part").agg(F.sum(amount).alias("n")).select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before_part"))
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) if value is None else F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__within", within).join(starts, "__part").withColumn(name, F.col("__before_part") + F.col("__within")).drop("__part", "__at", "__before_part", "__within")

@@ -40,7 +40,7 @@ def attribute_spans(v: Views):
     points = points.select(F.col("event_id").alias("span_id"), F.col("event_type").alias("path"), (F.col("event_id") * 7 % (F.col("n") * 12 + 20)).cast("int").alias("line"))
     names = v.part.select(F.col("p_partkey").cast("int").alias("ordinal"), F.col("p_name").alias("name"))
     paths = v.events.select(F.col("event_type").alias("path")).distinct()
-    symbols = names.withColumn("path", F.explode(F.array(*[F.lit(r[0]) for r in paths.collect()])))  # the few types of events
+    symbols = names.join(paths, F.lit(True))  # all parts in each of the few types of events
     symbols = symbols.withColumn("line_start", F.col("ordinal") * 12 + 1).withColumn("line_end", F.col("line_start") + F.col("ordinal") % 5 * 9)
     return T.attribute_spans(points, symbols)
 
@@ -146,7 +146,8 @@ def operational_moment(v: Views):
 def triggered_by(v: Views):
     names = activity(v).select("module").distinct()
     number = lambda c: F.substring(c, 2, 9).cast("int")
-    pairs = names.withColumnRenamed("module", "src").join(names.withColumnRenamed("module", "dst"), F.col("src") != F.col("dst")).where((number("src") + number("dst")) % 3 == 0)
+    left, right = (names.withColumnRenamed("module", c).withColumn("m", (sign * number(c) % 3 + 3) % 3) for c, sign in (("src", 1), ("dst", -1)))
+    pairs = left.join(right, "m").where(F.col("src") != F.col("dst")).drop("m")
     return A.triggered_by(A.journey_phases(scaled(v, 200)), pairs)
 
 

@@ -33,9 +33,26 @@ def intent_scores(v: Views):
     return requests(v).select("request_id", F.explode(Q.intent_scores(F.col("text"))).alias("s")).select("request_id", "s.intent", F.col("s.score").cast("int").alias("score"))
 
 
-@query()
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_CLEAN = f"""RECURSIVE asked AS (SELECT item_id AS query_id, text || ' How is the ' || ['BM25Score', 'URLParser', 'build_smart_context', 'MomentumEngine', 'HTTP2', 'cached', 'the_index_of'][item_id % 7 + 1] || ' searching, authentication?' AS text FROM benchmark),
+words AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(text, '[\\s?!,]+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g')),
+  lambda w: length(w) >= 2 AND NOT list_contains({_LIST(Q.STOP_WORDS)}, lower(w))) AS words FROM asked),
+terms AS (SELECT query_id, list_distinct_in_order AS terms FROM (SELECT query_id, list_filter(found, lambda t, i: list_position(found, t) = i) AS list_distinct_in_order FROM (
+  SELECT query_id, flatten(list_transform(words, lambda w: [lower(w)] || list_filter(CASE WHEN contains(w, '_') THEN list_filter(string_split(lower(w), '_'), lambda p: NOT list_contains({_LIST(Q.STOP_WORDS)}, p))
+    WHEN regexp_matches(w, '\\p{{Ll}}') AND len(list_filter(string_split(regexp_replace(regexp_replace(w, '([\\p{{Ll}}0-9])(\\p{{Lu}})', '\\1|\\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1|\\2', 'g'), '|'), lambda p: length(p) >= 2)) > 1
+    THEN list_filter(string_split(lower(regexp_replace(regexp_replace(w, '([\\p{{Ll}}0-9])(\\p{{Lu}})', '\\1|\\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1|\\2', 'g')), '|'), lambda p: length(p) >= 2) ELSE [] END, lambda p: length(p) >= 3))) AS found FROM words))),
+synonyms AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {_LIST(v)})" for k, v in Q.SYNONYMS.items())}) t(term, others)),
+each AS (SELECT query_id, i, terms, list_filter(CASE WHEN t LIKE '%ed' THEN [t[:-3], t[:-3] || 'ing'] WHEN t LIKE '%ing' THEN [t[:-4], t[:-4] || 'e'] WHEN t LIKE '%tion' THEN [t[:-5], t[:-5] || 'te'] ELSE [] END || coalesce(others, []),
+  lambda x: NOT list_contains(terms, x)) AS more FROM (SELECT query_id, terms, unnest(terms) AS t, unnest(range(1, len(terms) + 1)) AS i FROM terms) LEFT JOIN synonyms ON synonyms.term = t),
+folded AS (SELECT query_id, 0::BIGINT AS i, []::VARCHAR[] AS done FROM terms UNION ALL
+  SELECT f.query_id, f.i + 1, f.done || list_filter(e.more, lambda x, j: NOT list_contains(f.done, x) AND list_position(e.more, x) = j)[1:2] FROM folded f JOIN each e ON e.query_id = f.query_id AND e.i = f.i + 1)"""
+
+
+@query("""SELECT query_id, unnest(terms) AS term, 3.0::DOUBLE AS weight FROM terms UNION ALL SELECT query_id, unnest(done), 0.5::DOUBLE FROM (SELECT query_id, max_by(done, i) AS done FROM folded GROUP BY 1)""", _CLEAN)
 def clean_query(v: Views):
-    return Q.clean_query(v.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    names = F.get(F.array(*[F.lit(n) for n in ("BM25Score", "URLParser", "build_smart_context", "MomentumEngine", "HTTP2", "cached", "the_index_of")]), (F.col("item_id") % 7).cast("int"))
+    text = F.concat(F.col("text"), F.lit(" How is the "), names, F.lit(" searching, authentication?"))
+    return Q.clean_query(v.benchmark.select(F.col("item_id").alias("query_id"), text.alias("text")))
 
 
 @query()

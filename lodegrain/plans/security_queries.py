@@ -42,9 +42,11 @@ def combine_findings(v: Views):
     return S.combine_findings(v.documents)
 
 
-@query()
+@query("SELECT item_id, unnest(['base64', 'hex']) AS kind, text AS fragment FROM benchmark WHERE regexp_full_match(text, '[\\x20-\\x7E\\t\\n\\f\\r]+') AND " + _ENTROPY.format("text") + " >= 3")
 def decoded_fragments(v: Views):
-    return S.decoded_fragments(v.documents)
+    """Every benchmark text as a Base64 and a hex run between other words."""
+    binary = F.col("text").cast("binary")
+    return S.decoded_fragments(v.benchmark.select("item_id", F.concat(F.lit("key is "), F.regexp_replace(F.base64(binary), r"\s", ""), F.lit(" or "), F.hex(binary), F.lit(" here")).alias("text")), "item_id")
 
 
 @query("SELECT item_id, round(" + _ENTROPY.format("text") + ", 6) AS entropy FROM benchmark")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -245,3 +247,39 @@ def test_index_of_odd_vectors(spark):
     some = retrieval.cosine_top_k(q, v, 3, most_queries=1)
     assert sorted((r.query_id, r.vec_id) for r in some.collect()) == [(1, 1), (1, 4)]
 
+
+
+def test_table_functions_equal_the_operators(spark, data):
+    from lodegrain.operators import history, security
+    from lodegrain.operators.table_functions import register_table_functions
+    from lodegrain.plans.catalog import Views
+    from lodegrain.plans.fixtures import commit_files, commits
+
+    register_table_functions(spark)
+    v = Views(spark, data)
+    key = lambda rows: sorted((tuple(f"{x:.9g}" if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+    hits = v.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("rank"), F.when(F.col("l_suppkey") % 2 == 0, "bm25").otherwise("vector").alias("source"))
+    hits = hits.dropDuplicates(["query_id", "doc_id", "source"])
+    hits.createOrReplaceTempView("hits")
+    want = retrieval.rrf(hits.where("source = 'bm25'"), hits.where("source = 'vector'"), limit=3).select("query_id", "doc_id", "score", "source", "rank")
+    assert key(spark.sql("SELECT * FROM fuse_ranked(TABLE(hits), 60, 3)").collect()) == key(want.collect())
+    touched = history.touches(commit_files(v), commits(v))
+    touched.createOrReplaceTempView("touched")
+    got = spark.sql("SELECT * FROM file_hotspots(TABLE(SELECT path, epoch FROM touched), 915148800)")
+    assert key(got.collect()) == key(history.file_hotspots(touched, 915148800).collect())
+    v.documents.createOrReplaceTempView("docs")
+    got = spark.sql("SELECT doc_id, rule, start, end, match FROM dlp_findings(TABLE(SELECT doc_id, text FROM docs))")
+    want = security.dlp_findings(v.documents).select("doc_id", "rule", "start", "end", "match").collect()
+    assert key(got.collect()) == key(want) and want
+    with pytest.raises(Exception, match="lacks"):
+        spark.sql("SELECT * FROM dlp_findings(TABLE(SELECT doc_id FROM docs))").collect()
+
+
+def test_average_ranks_without_keys(spark):
+    from lodegrain.operators.topk import average_ranks
+
+    rng = random.Random(3)
+    values = [rng.choice([None, 1, 2, 2.5, 7, 9, -1]) for _ in range(200)]
+    rows = spark.createDataFrame([(i, None if x is None else float(x), "k") for i, x in enumerate(values)], "i long, x double, k string").repartition(5)
+    alone = {r.i: r["rank"] for r in average_ranks(rows, [], "x").collect()}
+    assert alone == {r.i: r["rank"] for r in average_ranks(rows, ["k"], "x").collect()} and len(alone) == 200
