@@ -4,13 +4,14 @@ Pass 1 hashes each normalised text to a slot of a bitmap and marks the slots tha
 each row against the marks: a row whose slot is unmarked can have no copy and passes straight through; only the others
 shuffle, pre-aggregated before they move, so a group of any size costs one row a task.
 
-The bitmap has a fixed upper size (`max_bits`) and is broadcast for that reason. `exact_duplicates`, which works on hashes
-alone, takes more rows than it serves in ranges of the hash, each with a bitmap of its own; in `keep_first`, which carries
-the rows, a fuller bitmap marks more of them. Results never change, because marked rows are compared by SHA-256.
+The bitmap has a fixed upper size (`max_bits`) and is broadcast for that reason. Both operators decide on light rows (ids,
+hashes, sizes), which take more rows than one bitmap serves in ranges of the hash, each with a bitmap of its own. `keep_first`,
+which carries the rows, then marks those of the texts that do repeat with one bitmap more. Results never change, because
+marked rows are compared by SHA-256.
 
 Defined cases: a null text is an empty text, and all empty texts are one group; a null doc_id loses every tie and is
 kept only if no copy has an id; rows repeated whole are copies of each other and exactly one stays; an empty table gives
-an empty result; other columns, whatever their names, pass through `keep_first` untouched.
+an empty result; texts of any length count whole, and other columns, whatever their names, pass through `keep_first` untouched.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_or_empty, without_spaces
+from .common import few, replaced, saved, text_key, text_or_empty, without_spaces
 
 #: Bits that Spark's bitmap functions keep in one binary value.
 BITMAP_BITS = 32768
@@ -37,11 +38,13 @@ def filter_bits(rows: int, bits_per_row: int = 16, max_bits: int = 1 << 30) -> i
 def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
     """Pass 1: bitmaps (part, marks) of the slots that at least two rows hit; hashes has a column sha."""
     slots = hashes.select(F.pmod(F.xxhash64("sha"), F.lit(bits)).alias("slot")).groupBy("slot").count()
-    return (
-        slots.where("count > 1")
-        .groupBy(F.floor(F.col("slot") / BITMAP_BITS).alias("part"))
-        .agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(BITMAP_BITS))).alias("marks"))
-    )
+    return bitmaps(slots.where("count > 1"))
+
+
+def bitmaps(slots: DataFrame) -> DataFrame:
+    """The slots as bitmaps (part, marks)."""
+    part = F.floor(F.col("slot") / BITMAP_BITS).alias("part")
+    return slots.groupBy(part).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(BITMAP_BITS))).alias("marks"))
 
 
 def marked(df: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
@@ -96,13 +99,29 @@ def exact_duplicates(docs: DataFrame, text: str = "text", bits_per_row: int = 16
     return straight.unionByName(compared)
 
 
-def keep_first(docs: DataFrame, text: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
-    """The documents that stay, all columns: rows that can have no copy do not shuffle at all."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), text_hash(F.col(text)).alias("sha"),
-                       F.char_length(text_or_empty(text)).alias("chars"))
-    hashes = saved(rows.select("sha"), "hashes")
-    bits = filter_bits(hashes.count(), bits_per_row, max_bits)
-    rows = marked(rows, saved(repeated_slots(hashes, bits), "marks"), bits)
-    straight = rows.where("not maybe").select("row.*")
-    best = rows.where("maybe").groupBy("sha").agg(F.min_by("row", _preference()).alias("row")).select("row.*")
-    return straight.unionByName(best)
+def repeated_texts(docs: DataFrame, text: str, bits_per_row: int, max_bits: int) -> DataFrame:
+    """A row per group of equal texts of two rows and more, saved: sha, keep_id and keep_th (a key of the whole text) of the row that
+    stays, and again, whether that very row occurs more than once. Decided on ids, hashes and sizes; no text moves."""
+    rows = saved(docs.select("doc_id", text_hash(F.col(text)).alias("sha"), F.char_length(text_or_empty(text)).alias("chars"), text_key(text).alias("th")), "hashes")
+    keys = tested(rows, bits_per_row, max_bits).where("maybe").groupBy("sha", "doc_id", "chars", "th").agg(F.count("*").alias("n"))
+    groups = keys.groupBy("sha").agg(F.min(F.struct(_preference().alias("by"), "th", "n")).alias("best"), F.sum("n").alias("size")).where("size > 1")
+    groups = saved(groups.select("sha", F.col("best.by.doc_id").alias("keep_id"), F.col("best.th").alias("keep_th"), (F.col("best.n") > 1).alias("again")), "groups")
+    replaced(rows)
+    return groups
+
+
+def keep_first(docs: DataFrame, text: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30, most_broadcast: int = 200_000) -> DataFrame:
+    """The documents that stay, all columns. Which texts repeat is decided on light rows; a bitmap of these texts' hashes alone then
+    lets all other rows straight through, and only rows it marks meet the groups by hash: at 16 bits a group a sixteenth of the
+    others, and more only beyond max_bits / 16 groups of copies, not rows. Few groups are broadcast, and then nothing shuffles but rows
+    that are repeated whole."""
+    groups = repeated_texts(docs, text, bits_per_row, max_bits)
+    bits = filter_bits(groups.count(), bits_per_row, max_bits)
+    slots = groups.select(F.pmod(F.xxhash64("sha"), F.lit(bits)).alias("slot"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), text_hash(F.col(text)).alias("sha"), text_key(text).alias("th"))
+    rows = marked(rows, saved(bitmaps(slots), "marks"), bits)
+    judged = rows.where("maybe").join(few(groups, most_broadcast), "sha", "left")
+    stays = judged.where(F.col("keep_th").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))))
+    again = F.coalesce("again", F.lit(False))
+    once = stays.where(again).groupBy("sha").agg(F.first("row").alias("row"))
+    return rows.where("not maybe").select("row.*").unionByName(stays.where(~again).select("row.*")).unionByName(once.select("row.*"))

@@ -269,3 +269,36 @@ def test_scores_and_masked_text(spark):
     row = private_data.personal_data(docs, with_text=True).first()
     assert row.masked == "write to [EMAIL] or phone [PHONE]" + " and" * 12 + ", version [IP]"
     assert {s.kind: s.score for s in row.spans} == {"email": 1.0, "phone": 1.0, "ip": 0.3}
+
+
+# exact deduplication by light keys
+
+
+@pytest.mark.parametrize("max_bits", [1 << 15, 1 << 30])
+def test_texts_that_occur_once_do_not_shuffle(spark, tmp_path, max_bits):
+    """One bitmap or many, unmarked texts pass straight through: no exchange holds a text, and the kept rows are the same."""
+    from lodegrain.llm import exact_dedup
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnop", k=12)), "x") for i in range(6000)] + [(7000 + i, f"copy {i % 50}" + " " * (i % 3), "y") for i in range(400)]
+    rows += [(9000, "again", "z")] * 3 + [(None, None, None), (None, "", "e"), (9001, " ", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha string").repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = exact_dedup.keep_first(docs, max_bits=max_bits)
+    groups = {}
+    for i, t, c in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
+    want = sorted((min(g)[3] for g in groups.values()), key=lambda x: (x is None, x or 0))
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x or 0)) == want
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    # rows that are repeated whole, and nothing else
+    assert "Union" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_light_rows_decide_without_texts(spark):
+    from lodegrain.llm import exact_dedup
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (2, "ab"), (3, "c")], "doc_id long, text string")
+    groups = exact_dedup.repeated_texts(docs, "text", 16, 1 << 30)
+    assert "text" not in groups.columns and [(r.keep_id, r.again) for r in groups.collect()] == [(1, False)]
