@@ -142,6 +142,21 @@ def operational_moment(v: Views):
     return A.operational_moment(metrics).select("session", "moment")
 
 
+_MOMENTS = _PHASES.replace("FROM slow", "FROM fast") + _METRICS + """, reports AS (SELECT session, e[1] AS errors, coalesce(sign(e[1] - e[2]), 0) AS trend FROM (SELECT session, list(event_id % 7 ORDER BY epoch DESC, event_id DESC) AS e FROM fast WHERE kind = 'diagnostic' GROUP BY session)),
+loops AS (SELECT session, m[6] <> m[5] AND m[6] = m[4] AND m[6] = m[2] AND m[5] = m[3] AND m[5] = m[1] OR len(list_filter(m, lambda x: x = m[6])) >= 3 AS looping FROM (
+  SELECT session, active, list(module) OVER (PARTITION BY session ORDER BY phase ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS m FROM phases) WHERE active AND len(m) >= 6)"""
+
+
+@query("""SELECT session, CASE WHEN n < 3 THEN 'RapidScaffolding' WHEN errors >= 5 AND avg_interval < 10 THEN 'EmergencyPatching' WHEN repeats >= 3 OR looping THEN 'IterativeDistress' WHEN errors > 0 AND activity = 'Debugging' THEN 'DeepBackendLogic'
+  WHEN modules >= 3 AND variance > 0.6 THEN 'ArchitectureWiring' WHEN activity = 'Hardening' THEN 'CrossLayerConsistency' WHEN read_ratio > 0.7 AND variance > 0.5 AND phases > 3 THEN 'ExploratoryRefactoring'
+  WHEN modules <= 1 AND read_ratio < 0.3 AND errors = 0 THEN 'DeepBackendLogic' WHEN phases <= 2 AND avg_interval < 15 AND subjects > 3 THEN 'RapidScaffolding' WHEN trend < 0 AND errors = 0 THEN 'CrossLayerConsistency' ELSE 'MomentumFlow' END AS moment
+  FROM (SELECT m.*, p.phase + 1 AS phases, p.activity, coalesce(looping, false) AS looping, coalesce(errors, 0) AS errors, coalesce(trend, 0) AS trend FROM metrics m JOIN (SELECT * FROM phases WHERE active) p USING (session) LEFT JOIN loops USING (session) LEFT JOIN reports USING (session))""", _MOMENTS)
+def session_moments(v: Views):
+    """From the events alone; a diagnostic reports as many errors as its number leaves modulo 7."""
+    rows = scaled(v, 1000).withColumn("errors", F.when(F.col("kind") == "diagnostic", F.col("event_id") % 7))
+    return A.session_moments(rows).select("session", "moment")
+
+
 @query("""SELECT session, phase, module, before AS trigger FROM (SELECT *, lag(module) OVER (PARTITION BY session ORDER BY phase) AS before FROM phases) WHERE (CAST(module[2:] AS INT) + CAST(before[2:] AS INT)) % 3 = 0 AND module <> before""", _PHASES)
 def triggered_by(v: Views):
     names = activity(v).select("module").distinct()
