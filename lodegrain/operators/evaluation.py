@@ -63,6 +63,17 @@ def retrieval_metrics(hits: DataFrame, judgments: DataFrame, k: int, key: str =
     return rows.select("query_id", score(1 / F.col("first")).alias("mrr"), score(F.col("found") / F.lit(k)).alias("p_at_k"), score(F.col("found") / F.col("relevant")).alias("r_at_k"))
 
 
+def file_hit_at_k(hits: DataFrame, files: DataFrame, k: int) -> DataFrame:
+    """query_id, file_hit: the share of a query's judged files (query_id, path) that the path of one of its first k hits
+    (query_id, path, rank) holds; 1 without judged files, 0 without hits. Repeated rows count once."""
+    wanted = files.select("query_id", F.col("path").alias("wanted")).where("wanted IS NOT NULL").distinct()
+    near = hits.where(F.col("rank") <= k).select("query_id", "path").distinct()
+    # at most k paths a query meet its files
+    found = wanted.join(near, "query_id").where(F.col("path").contains(F.col("wanted"))).select("query_id", "wanted").distinct().withColumn("found", F.lit(1))
+    share = wanted.join(found, ["query_id", "wanted"], "left").groupBy("query_id").agg((F.count("found") / F.count("*")).alias("share"))
+    return hits.select("query_id").union(files.select("query_id")).distinct().join(share, "query_id", "left").select("query_id", F.coalesce("share", F.lit(1.0)).alias("file_hit"))
+
+
 def cited_paths(response: Column, roots: tuple[str, ...] = ("src", "crates", "lib", "bin", "docs", "tests", "tools", "examples")) -> Column:
     """Path-like tokens under one of the roots, each once, in order."""
     return F.array_distinct(F.regexp_extract_all(response, F.lit(f"(?:{'|'.join(roots)})/[A-Za-z0-9_/.-]+\\.[A-Za-z0-9_]+"), F.lit(0)))
@@ -99,15 +110,18 @@ def code_quality_flag(response: Column, pattern: str | None = None) -> Column:
 
 
 def coverage_scores(responses: DataFrame, truth: DataFrame) -> DataFrame:
-    """id, keyword_recall, symbol_recall, coverage: truth is (id, kind, value). Keywords of 6 characters and fewer and all
-    symbols must stand as words of their own. The weights are 0.4 and 0.3 of what is there."""
+    """id, keyword_recall, file_recall, symbol_recall, coverage: truth is (id, kind, value), kind keyword, file or symbol. Keywords
+    of 6 characters and fewer (in any case) and symbols (as written) must stand as words of their own; a file counts if the
+    response holds its path or the end of it from any folder on, hence at least its last part. A kind that is not asked for
+    has a recall of 1; the weights are 0.4, 0.3 and 0.3."""
     rows = responses.join(truth, "id")
-    word = F.expr(r"regexp_like(response, concat('(?i)\\b\\Q', value, '\\E\\b'))")
-    hit = F.when((F.col("kind") == "symbol") | (F.length("value") <= 6), word).otherwise(F.lower("response").contains(F.lower("value")))
+    word = lambda flags: F.expr(rf"regexp_like(response, concat('{flags}\\b\\Q', value, '\\E\\b'))")
+    hit = (F.when(F.col("kind") == "file", F.col("response").contains(F.substring_index("value", "/", -1))).when(F.col("kind") == "symbol", word(""))
+           .when(F.length("value") <= 6, word("(?i)")).otherwise(F.lower("response").contains(F.lower("value"))))
     rows = rows.withColumn("hit", hit.cast("double"))
     share = lambda kind: F.coalesce(F.avg(F.when(F.col("kind") == kind, F.col("hit"))), F.lit(1.0))
-    rows = rows.groupBy("id").agg(share("keyword").alias("keyword_recall"), share("symbol").alias("symbol_recall"))
-    return rows.withColumn("coverage", (0.4 * F.col("keyword_recall") + 0.3 * F.col("symbol_recall")) / 0.7)
+    rows = rows.groupBy("id").agg(*[share(kind).alias(f"{kind}_recall") for kind in ("keyword", "file", "symbol")])
+    return rows.withColumn("coverage", 0.4 * F.col("keyword_recall") + 0.3 * F.col("file_recall") + 0.3 * F.col("symbol_recall"))
 
 
 def value_bins(df: DataFrame, column: str, most_bins: int) -> DataFrame:

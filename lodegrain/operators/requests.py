@@ -7,11 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import is_vendor_path, module_prefix
+from .consistency import minify_text, prune_log_lines
+from .security import neutralise_prompt_markers
 from .topk import top_k_per
 
-#: Files and clusters that a tier may hold (none: unlimited).
-TIER_FILES = {"small": 2, "medium": 4, "large": 8, "unlimited": None}
-TIER_CLUSTERS = {"small": 1, "medium": 2, "large": 3, "unlimited": 5}
+#: Tokens, tokens for other than sources, percent of the sources' room for critical names, least lines of a source,
+#: targets, clusters and files (none: unlimited) of a tier.
+TIERS = {
+    "small": (2_048, 250, 35, 15, 2, 1, 2),
+    "medium": (8_192, 500, 30, 10, 5, 2, 4),
+    "large": (16_384, 800, 25, 0, 10, 3, 8),
+    "unlimited": (32_768, 1_200, 20, 0, 15, 5, None),
+}
+#: The share of a tier's tokens that is used, characters of a token, lines shown after a target with a start alone and of
+#: one without lines, and lines added to these kinds.
+FILL, CHARS_PER_TOKEN, LINES_AFTER, LINES_OF_FILE = 0.8, 4, 30, 60
+MORE_LINES = {"enum": 25, "constant": 15}
+TIER_FILES = {name: t[6] for name, t in TIERS.items()}
+TIER_CLUSTERS = {name: t[5] for name, t in TIERS.items()}
+CUT = "\n// ... [truncated] ...\n"
+
+
+def source_budgets(tier: str) -> tuple[int, int]:
+    """Characters of a tier for sources, and for those of critical names beside them."""
+    tokens, other, percent = TIERS[tier][:3]
+    room = max(0, int(tokens * FILL) - other) * CHARS_PER_TOKEN
+    return room, room * percent // 100
 
 
 def budget_pack(items: DataFrame, budget: int, critical_budget: int, least: int = 200) -> DataFrame:
@@ -31,6 +52,57 @@ def budget_pack(items: DataFrame, budget: int, critical_budget: int, least: int
     return rows.select("request_id", F.inline(F.aggregate("items", start, step)["out"]))
 
 
+def snippets(targets: DataFrame, files: DataFrame, least_lines: int = 0) -> DataFrame:
+    """The targets (request_id, item_id, path, kind, line_start, line_end) whose path has text in `files` (path, content), with first,
+    last (line numbers from 1) and source: lines from line_start to line_end, some more of kinds whose values follow; LINES_AFTER
+    lines without an end, the file's first LINES_OF_FILE without a start; at least `least_lines`, never beyond the file. Line
+    ends are trimmed, logging is pruned and prompt markers are neutralised. A text joins its targets once per target, for that
+    is what a request shows of it; null and empty texts show nothing."""
+    rows = targets.join(files.where(F.length("content") > 0).select("path", F.split(F.regexp_replace("content", r"\r?\n\z", ""), r"\r?\n").alias("__lines")), "path")
+    n = F.size("__lines")
+    more = F.coalesce(*[F.when(F.lower("kind") == k, F.lit(m)) for k, m in MORE_LINES.items()], F.lit(0))
+    first = F.least(F.greatest(F.coalesce("line_start", F.lit(1)), F.lit(1)), n)
+    last = F.when(F.col("line_start").isNull(), LINES_OF_FILE).otherwise(F.coalesce(F.col("line_end") + more, F.col("line_start") + LINES_AFTER - 1))
+    rows = rows.withColumn("first", first).withColumn("last", F.least(F.greatest(last, F.col("first") + max(least_lines, 1) - 1), n))
+    source = F.array_join(F.slice("__lines", F.col("first"), F.col("last") - F.col("first") + 1), "\n")
+    mark = lambda comment: neutralise_prompt_markers(prune_log_lines(minify_text(source), comment))
+    return rows.withColumn("source", F.when(F.col("path").endswith(".py"), mark("#")).otherwise(mark("//"))).drop("__lines")
+
+
+def shortened(text: Column, room: Column) -> Column:
+    """A text longer than `room` characters as its first three quarters and, where over 50 characters are left for it, its end. The
+    head stops after the last block, else statement, that closes within its last 200 characters; the end begins with the first
+    function, else line, that starts within its first 200."""
+    head = F.floor(room * 3 / 4).cast("int")
+    tail = (room - head - 30).cast("int")
+    before = F.substring(text, 1, head)
+    window = F.substring(before, F.greatest(head - 200, F.lit(0)) + 1, F.lit(200))
+    closed = F.coalesce(*[F.when(window.rlike(p), F.length(F.regexp_extract(window, p, 0)) - F.length(window)) for p in (r"(?s)\A.*\n\}", r"(?s)\A.*;\n")], F.lit(0))
+    after = F.substring(text, F.char_length(text) - tail + 1, tail)
+    near = F.substring(after, F.lit(1), F.lit(200))
+    skipped = F.coalesce(*[F.when(near.rlike(p), F.length(F.regexp_extract(near, p, 1))) for p in (r"(?s)\A(.*?\n)fn ", r"(?s)\A(.*?\n)pub ", r"(?s)\A(.*?\n)")], F.lit(0))
+    both = F.concat(F.substring(before, F.lit(1), head + closed), F.lit(CUT), F.substring(after, skipped + 1, tail))
+    return F.when(F.char_length(text) <= room, text).when(tail > 50, both).otherwise(F.substring(text, F.lit(1), room.cast("int")))
+
+
+def tier_sources(targets: DataFrame, files: DataFrame, tier: str, critical: tuple[str, ...] = (), recency: DataFrame | None = None, weight: float = 0.1) -> DataFrame:
+    """request_id, item_id, path, first, last, source: what a tier's budget shows of each request's targets (request_id, item_id, name,
+    path, kind, line_start, line_end, score). Names that hold one of the `critical` strings come first, on their own budget,
+    and are cut at its end; others follow by score plus `weight` times the recency (path, recency) of their path, and are
+    `shortened` where they do not fit. A null score is 0."""
+    rows = targets.select("request_id", "item_id", "name", "path", "kind", "line_start", "line_end", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    if recency is not None:
+        rows = rows.join(recency.groupBy("path").agg(F.max("recency").alias("__recency")), "path", "left").withColumn("score", F.col("score") + weight * F.coalesce("__recency", F.lit(0.0))).drop("__recency")
+    marked = F.lit(False)
+    for word in critical:
+        marked = marked | F.coalesce(F.col("name").contains(word), F.lit(False))
+    shown = snippets(rows, files, TIERS[tier][3]).withColumn("critical", marked).withColumn("size", F.char_length("source").cast("long"))
+    taken = budget_pack(shown.select("request_id", "item_id", "critical", "score", "size"), *source_budgets(tier)).where("taken > 0")
+    rows = shown.join(taken, ["request_id", "item_id"])
+    source = F.when(F.col("critical"), F.substring("source", F.lit(1), F.col("taken").cast("int"))).otherwise(shortened(F.col("source"), F.col("taken")))
+    return rows.select("request_id", "item_id", "path", "first", "last", source.alias("source"))
+
+
 def prune_to_tier(targets: DataFrame, files: int | None) -> DataFrame:
     """For a limited tier: vendor paths go; a request with more targets than files keeps the best of each path, then the
     best `files`."""

@@ -73,3 +73,19 @@ def implementation_twins(v: Views):
 def histories_for_targets(v: Views):
     wanted = v.events.select(F.col("user_id").alias("request_id"), (F.col("event_id") % 2000 + 1).alias("path"), F.col("value").alias("score"))
     return Q.histories_for_targets(wanted, commit_files(v).join(commits(v), "commit_id"))
+
+
+@query("""SELECT request_id, item_id, path, 1 AS first, 1 AS last, CASE WHEN taken >= length(text) THEN text WHEN critical THEN substr(text, 1, taken) WHEN taken - taken * 3 // 4 - 30 > 50 THEN substr(text, 1, taken * 3 // 4) || chr(10) || '// ... [truncated] ...' || chr(10) || right(text, taken - taken * 3 // 4 - 30) ELSE substr(text, 1, taken) END AS source
+  FROM (SELECT f.*, n.text, n.path, n.critical FROM fold f JOIN named n USING (request_id, item_id)) WHERE taken > 0""", """RECURSIVE whole AS (SELECT doc_id, left(replace(text, chr(10), ' '), 200) || CASE WHEN length(replace(text, chr(10), ' ')) > 200 THEN ' ...' ELSE '' END AS text FROM documents),
+named AS (SELECT doc_id // 64 AS request_id, doc_id AS item_id, 'm' || doc_id || '.rs' AS path, rtrim(text, ' ' || chr(9)) AS text, contains('n' || doc_id, '7') AS critical, doc_id * 7919 % 101 AS score FROM whole WHERE length(text) > 0),
+ranked AS (SELECT *, length(text) AS size, row_number() OVER (PARTITION BY request_id ORDER BY NOT critical, score DESC, item_id) AS r FROM named),
+fold AS (SELECT DISTINCT request_id, 0::BIGINT AS r, NULL::BIGINT AS item_id, 0::BIGINT AS taken, 5552::BIGINT AS free, 1943::BIGINT AS pool FROM named UNION ALL
+  SELECT request_id, r, item_id, t, CASE WHEN critical THEN free ELSE free - t END, CASE WHEN critical THEN pool - t ELSE pool END FROM (SELECT i.request_id, i.r, i.item_id, critical, free, pool,
+    CASE WHEN size <= CASE WHEN critical THEN pool ELSE free END THEN size WHEN CASE WHEN critical THEN pool ELSE free END >= 200 THEN CASE WHEN critical THEN pool ELSE free END ELSE 0 END AS t FROM fold f JOIN ranked i ON i.request_id = f.request_id AND i.r = f.r + 1))""")
+def tier_sources(v: Views):
+    """Every document as the one long line of a file; 64 of them a request of the smallest tier."""
+    number = F.col("doc_id")
+    targets = v.documents.select((number / 64).cast("long").alias("request_id"), number.alias("item_id"), F.concat(F.lit("n"), number).alias("name"), F.concat(F.lit("m"), number, F.lit(".rs")).alias("path"), F.lit("function").alias("kind"),
+                                 F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), (number * 7919 % 101).alias("score"))
+    files = v.documents.select(F.concat(F.lit("m"), number, F.lit(".rs")).alias("path"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("content"))
+    return Q.tier_sources(targets, files, "small", ("7",))

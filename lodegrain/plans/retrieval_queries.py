@@ -200,14 +200,30 @@ def citation_precision(v: Views):
     return E.citation_precision(said(v), files).withColumn("precision", F.round("precision", 6))
 
 
-@query("""SELECT id, keyword_recall, symbol_recall, round((0.4 * keyword_recall + 0.3 * symbol_recall) / 0.7, 6) AS coverage FROM (SELECT id, avg(CASE WHEN kind = 'keyword' THEN hit END) AS keyword_recall, avg(CASE WHEN kind = 'symbol' THEN hit END) AS symbol_recall FROM
-  (SELECT doc_id AS id, kind, CASE WHEN kind = 'symbol' OR length(value) <= 6 THEN regexp_matches(text, '(?i)\\b' || value || '\\b') ELSE contains(lower(text), value) END::INT AS hit FROM documents, (VALUES ('keyword', 'the'), ('keyword', 'reation'), ('symbol', 'and'), ('symbol', 'of')) t(kind, value)) GROUP BY id)""")
+_TRUTH = [("keyword", "the"), ("keyword", "reation"), ("symbol", "and"), ("symbol", "of"), ("file", "src/m1/f1.py"), ("file", "lib/f2.py")]
+
+
+@query("""SELECT id, keyword_recall, file_recall, symbol_recall, round(0.4 * keyword_recall + 0.3 * file_recall + 0.3 * symbol_recall, 6) AS coverage FROM (SELECT id, """ + ", ".join(f"avg(CASE WHEN kind = '{k}' THEN hit END) AS {k}_recall" for k in ("keyword", "file", "symbol")) + """ FROM
+  (SELECT id, kind, CASE WHEN kind = 'file' THEN contains(response, string_split(value, '/')[-1]) WHEN kind = 'symbol' THEN regexp_matches(response, '\\b' || value || '\\b') WHEN length(value) <= 6 THEN regexp_matches(response, '(?i)\\b' || value || '\\b') ELSE contains(lower(response), value) END::INT AS hit
+    FROM (SELECT doc_id AS id, text || ' see m' || doc_id % 5 || '/f' || doc_id % 3 || '.py' AS response FROM documents), (VALUES """ + ", ".join(map(str, _TRUTH)) + """) t(kind, value)) GROUP BY id)""")
 def coverage_scores(v: Views):
-    truth = v.spark.createDataFrame([("keyword", "the"), ("keyword", "reation"), ("symbol", "and"), ("symbol", "of")], "kind string, value string")
-    docs = v.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("response"))
+    truth = v.spark.createDataFrame(_TRUTH, "kind string, value string")
+    docs = v.documents.select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" see m"), F.col("doc_id") % 5, F.lit("/f"), F.col("doc_id") % 3, F.lit(".py")).alias("response"))
     return E.coverage_scores(docs, docs.select("id").join(F.broadcast(truth), F.lit(True))).withColumn("coverage", F.round("coverage", 6))
 
 
+@query("""SELECT query_id, round(coalesce(share, 1), 6)::DOUBLE AS file_hit FROM (SELECT DISTINCT query_id FROM terms) LEFT JOIN
+  (SELECT query_id, avg(CASE WHEN EXISTS (SELECT 1 FROM lexical l WHERE l.query_id = w.query_id AND rank <= 5 AND contains('src/m' || l.doc_id % 7 || '/f.py', wanted)) THEN 1 ELSE 0 END) AS share FROM wanted w GROUP BY query_id) USING (query_id)""",
+       _BM25 + ", wanted AS (SELECT DISTINCT query_id, unnest(['m' || query_id % 7 || '/f.py', 'src/m' || query_id % 3, 'none.py']) AS wanted FROM terms WHERE query_id % 5 > 0)")
+def file_hit_at_k(v: Views):
+    number, part = F.col("query_id"), lambda n: (F.col("query_id") % n).cast("string")
+    queries = query_terms(v).select("query_id").distinct()
+    files = queries.where(number % 5 > 0).select("query_id", F.explode(F.array(F.concat(F.lit("m"), part(7), F.lit("/f.py")), F.concat(F.lit("src/m"), part(3)), F.lit("none.py"))).alias("path"))
+    hits = lexical(v).select("query_id", F.concat(F.lit("src/m"), (F.col("doc_id") % 7).cast("string"), F.lit("/f.py")).alias("path"), "rank")
+    rows = queries.join(E.file_hit_at_k(hits, files, 5), "query_id", "left")
+    return rows.select("query_id", F.round(F.coalesce("file_hit", F.lit(1.0)), 6).alias("file_hit"))
+
+
 @query("SELECT round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS median, true AS mean_inside, true AS median_inside, true AS mean_width, true AS median_width FROM events")
 def bootstrap_ci(v: Views):
     """The exact mean and median, and whether the intervals hold them and are about as wide as theory has it: 3.92 deviations of the

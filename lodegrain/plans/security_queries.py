@@ -13,13 +13,20 @@ def _quoted(text: str) -> str:
 
 
 _ENTROPY = """(SELECT CASE WHEN count(*) = 0 THEN 0.0 ELSE log2(sum(c)) - sum(c * log2(c)) / sum(c) END FROM (SELECT count(*) AS c FROM (SELECT unnest(string_split({}, '')) AS ch) WHERE ch <> '' GROUP BY ch))"""
-_FOUND = """raw AS (SELECT doc_id, rule, pattern, text, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps FROM documents,
+
+
+def _found(name: str, source: str) -> str:
+    """The table `name` of findings in a table (doc_id, text)."""
+    return ("""NAME_raw AS (SELECT doc_id, rule, pattern, text, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps FROM SOURCE,
   (VALUES """ + ", ".join(f"({_quoted(n)}, {_quoted(p)})" for n, p in S.RULES) + """) r(rule, pattern) WHERE regexp_matches(text, pattern)),
-each AS (SELECT doc_id, rule, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM raw),
-found AS (SELECT doc_id, rule, found[i] AS match, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS INT) AS start FROM each),
-valued AS (SELECT *, regexp_replace(regexp_extract(match, '^[^=:]*[=:]\\s*((?s:.*))$', 1), '^["'']+|["'']+$', '', 'g') AS after FROM found WHERE NOT ("""  + " OR ".join(f"regexp_matches(match, {_quoted(p)})" for p in S.WHITELIST) + """)),
-judged AS (SELECT *, CASE WHEN length(after) >= 8 THEN after ELSE match END AS value FROM valued),
-findings AS (SELECT doc_id, rule, start, CAST(start + length(match) AS INT) AS "end", match FROM judged WHERE contains(match, '://') OR rule = 'generic_secret' OR length(value) < 8 OR """ + _ENTROPY.format("value") + " >= 3.0)"
+NAME_each AS (SELECT doc_id, rule, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM NAME_raw),
+NAME_found AS (SELECT doc_id, rule, found[i] AS match, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS INT) AS start FROM NAME_each),
+NAME_valued AS (SELECT *, regexp_replace(regexp_extract(match, '^[^=:]*[=:]\\s*((?s:.*))$', 1), '^["'']+|["'']+$', '', 'g') AS after FROM NAME_found WHERE NOT ("""  + " OR ".join(f"regexp_matches(match, {_quoted(p)})" for p in S.WHITELIST) + """)),
+NAME_judged AS (SELECT *, CASE WHEN length(after) >= 8 THEN after ELSE match END AS value FROM NAME_valued),
+NAME AS (SELECT doc_id, rule, start, CAST(start + length(match) AS INT) AS "end", match FROM NAME_judged WHERE contains(match, '://') OR rule = 'generic_secret' OR length(value) < 8 OR """ + _ENTROPY.format("value") + " >= 3.0)").replace("NAME", name).replace("SOURCE", source)
+
+
+_FOUND = _found("findings", "documents")
 
 
 @query("SELECT * FROM findings", _FOUND)
@@ -32,14 +39,29 @@ def dlp_rule_counts(v: Views):
     return S.dlp_findings(v.documents).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query()
+@query("""SELECT d.doc_id, CASE WHEN count(a) = 0 THEN any_value(text) ELSE string_agg(substr(text, before + 1, a - before) || '[REDACTED]', '' ORDER BY a) || substr(any_value(text), max(b) + 1) END AS text, coalesce(any_value(n), 0)::INT AS n_findings
+  FROM documents d LEFT JOIN (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, sum(m) OVER (PARTITION BY doc_id) AS n FROM islands) USING (doc_id) GROUP BY d.doc_id""",
+       _FOUND + """, fresh AS (SELECT *, CASE WHEN start >= coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start, "end", rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS first FROM findings),
+islands AS (SELECT doc_id, min(start) AS a, max("end") AS b, count(*) AS m FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY start, "end", rule) AS island FROM fresh) GROUP BY doc_id, island)""")
 def redact(v: Views):
     return S.redact(v.documents, S.dlp_findings(v.documents))
 
 
-@query()
+_HIDDEN = """hidden AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' "AKIA" + "' || upper(substr(md5(text), 1, 16)) || '"' WHEN 1 THEN ' blob ' || base64(encode('token AKIA' || upper(substr(md5(text), 1, 16)) || ' end')) ELSE '' END AS text FROM documents),
+merged AS (SELECT doc_id, regexp_replace(text, '"\\s*\\+\\s*"|\\x27\\s*\\+\\s*\\x27', '', 'g') AS text, text AS as_is FROM hidden), joined AS (SELECT doc_id, text FROM merged WHERE text <> as_is),
+runs AS (SELECT doc_id, unnest(list_transform(list_filter(regexp_extract_all(text, '\\b[0-9a-fA-F]{20,}\\b'), lambda h: length(h) % 2 = 0), lambda h: TRY(decode(unhex(h)))) || list_transform(list_filter(list_transform(
+  regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}'), lambda r: rtrim(r, '=')), lambda r: length(r) % 4 <> 1), lambda r: TRY(decode(from_base64(r || repeat('=', (4 - length(r) % 4) % 4)))))) AS text FROM hidden),
+decoded AS (SELECT * FROM runs WHERE regexp_full_match(text, '[\\x20-\\x7E\\t\\n\\f\\r]+') AND """ + _ENTROPY.format("text") + " >= 3), "
+
+
+@query("""SELECT doc_id, rule, count(*) AS n FROM plain GROUP BY ALL UNION ALL SELECT doc_id, 'concat:' || rule, count(*) FROM beside b WHERE NOT EXISTS (SELECT 1 FROM plain p WHERE p.doc_id = b.doc_id AND p.rule = b.rule) GROUP BY ALL
+  UNION ALL SELECT doc_id, 'encoded:' || rule, count(*) FROM inside GROUP BY ALL""", _HIDDEN + ", ".join([_found("plain", "hidden"), _found("beside", "joined"), _found("inside", "decoded")]))
 def combine_findings(v: Views):
-    return S.combine_findings(v.documents)
+    """Every third document ends with a key in two literals, every other third with one in a Base64 run."""
+    key = F.upper(F.substring(F.md5(F.col("text").cast("binary")), 1, 16))
+    blob = F.regexp_replace(F.base64(F.concat(F.lit("token AKIA"), key, F.lit(" end")).cast("binary")), r"\s", "")
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(' "AKIA" + "'), key, F.lit('"'))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" blob "), blob)).otherwise("")
+    return S.combine_findings(v.documents.select("doc_id", F.concat("text", more).alias("text")))
 
 
 @query("SELECT item_id, unnest(['base64', 'hex']) AS kind, text AS fragment FROM benchmark WHERE regexp_full_match(text, '[\\x20-\\x7E\\t\\n\\f\\r]+') AND " + _ENTROPY.format("text") + " >= 3")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodegrain.functions import paths as P
-from lodegrain.operators import code, consistency, evaluation, questions, retrieval
+from lodegrain.operators import code, consistency, evaluation, questions, requests, retrieval
 from lodegrain.operators import graph as G
 from lodegrain.operators import history as H
 from lodegrain.operators import retrieval as R
@@ -97,6 +97,41 @@ def test_policy_fails_closed(spark):
     assert {r[0]: r[1] for r in S.apply_policy(commands, rules).collect()} == {1: "allow", 2: "deny", 3: "deny", 4: "deny"}
 
 
+def test_files_among_the_first_hits(spark):
+    hits = spark.createDataFrame([(1, "src/a/b.rs", 1), (1, "src/c.rs", 2), (1, "src/d.rs", 3), (2, "x", 1), (4, None, 1)], "query_id int, path string, rank int")
+    files = spark.createDataFrame([(1, "a/b.rs"), (1, "d.rs"), (1, "d.rs"), (3, "y"), (4, "z"), (5, None)], "query_id int, path string")
+    assert dict(map(tuple, evaluation.file_hit_at_k(hits, files, 2).collect())) == {1: 0.5, 2: 1.0, 3: 0.0, 4: 0.0, 5: 1.0}
+
+
+def test_coverage_of_what_was_asked(spark):
+    said = spark.createDataFrame([(1, "Look at husk/src/scan.rs for Scanner and ENTROPY"), (2, "scanner"), (3, None)], "id int, response string")
+    truth = [("keyword", "look"), ("keyword", "entropy"), ("file", "crates/husk/src/scan.rs"), ("file", "no.rs"), ("symbol", "Scanner")]
+    rows = {r["id"]: r for r in evaluation.coverage_scores(said, spark.createDataFrame([(i, *t) for i in (1, 2) for t in truth] + [(3, "symbol", "x")], "id int, kind string, value string")).collect()}
+    assert (rows[1]["keyword_recall"], rows[1]["file_recall"], rows[1]["symbol_recall"]) == (1.0, 0.5, 1.0) and rows[1]["coverage"] == pytest.approx(0.85)
+    assert rows[2]["coverage"] == 0 and rows[3]["file_recall"] == 1
+
+
+def test_sources_of_a_tier(spark):
+    assert requests.source_budgets("small") == (5552, 1943) and requests.source_budgets("unlimited")[0] == 100056
+    body = "\n".join(f"let a{i} = {i};" + " " * (i % 3) for i in range(40))
+    block = "fn f() {\n" + "x;\n" * 1500 + "}\nfn g() {\n" + "y;\n" * 1500 + "}"
+    files = spark.createDataFrame([("a.rs", body), ("b.rs", block), ("c.py", "logger.info('x')\nprint(1)\ny = 1\n"), ("d.rs", ""), ("e.rs", None)], "path string, content string")
+    targets = [(1, 1, "Key", "a.rs", "enum", 3, 4, 0.1), (1, 2, "n", "b.rs", None, 1, 9000, 0.9), (1, 3, "m", "c.py", None, None, None, None), (1, 4, "d", "d.rs", None, 1, 2, 9.0), (1, 5, "e", "e.rs", None, 1, 2, 9.0), (2, 1, "z", "a.rs", None, 39, None, 1.0), (2, 2, "z", "gone", None, 1, 1, 1.0)]
+    rows = spark.createDataFrame(targets, "request_id int, item_id int, name string, path string, kind string, line_start int, line_end int, score double")
+    found = {(r["request_id"], r["item_id"]): r for r in requests.tier_sources(rows, files, "small", ("Key",)).collect()}
+    assert set(found) == {(1, 1), (1, 2), (2, 1)}  # the long block leaves no room for the file after it
+    assert (found[1, 1]["first"], found[1, 1]["last"]) == (3, 29) and found[1, 1]["source"] == "\n".join(f"let a{i} = {i};" for i in range(2, 29))
+    head, tail = found[1, 2]["source"].split(requests.CUT)
+    assert block.startswith(head) and head.endswith(";\n") and 4164 - 200 <= len(head) <= 4164
+    assert block.endswith(tail) and tail.startswith("y;") and 1358 - 200 <= len(tail) <= 1358
+    assert (found[2, 1]["first"], found[2, 1]["last"]) == (39, 40)
+    # recency outweighs the score, so the small file is shown first and then the block is cut
+    recent = spark.createDataFrame([("c.py", 100.0), ("c.py", 1.0), (None, 1.0)], "path string, recency double")
+    again = {(r["request_id"], r["item_id"]): r["source"] for r in requests.tier_sources(rows, files, "small", ("Key",), recent).collect()}
+    assert again[1, 3] == "# [log]\ny = 1" and len(again[1, 2]) < len(found[1, 2]["source"]) + 1
+    assert requests.tier_sources(rows.limit(0), files, "small").count() == 0
+
+
 def test_code_tokens(spark):
     row = spark.createDataFrame([("parseHTTPRequest snake_case_x plain",)], "t string").select(R.code_tokens(F.col("t"))).first()
     assert row[0] == ["parsehttprequest", "parse", "http", "request", "snake_case_x", "snake", "case", "plain"] or "parsehttprequest" in row[0] and "snake" in row[0]
