@@ -180,6 +180,16 @@ def test_ids_are_those_of_the_whole_text(plain, text):
         assert np.frombuffer(tokens.encoder(public_tokenizers.path(name), layout, 1000).ids(text), "<u4").tolist() == plain(name, text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abÀßÿ×÷ª$%^[]\\`{~'!/:@.,7\n s", max_size=60), min_size=1, max_size=4), st.sampled_from([0, 3, 40, 1000]))
+def test_ids_with_marks_and_full_memos(plain, texts, memo_words):
+    for name, layout in (("byte_bpe_50k.json", "joined"), ("word_bpe_49k.json", "dropped")):
+        encode = tokens.encoder(public_tokenizers.path(name), layout, memo_words)
+        for text in texts + texts:
+            assert np.frombuffer(encode.ids(text), "<u4").tolist() == plain(name, text)
+        assert len(encode.words) <= memo_words
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext", "a", " ", "  ", ", é", "\n", "don't"]), max_size=9).map("".join))
 def test_ids_of_texts_with_added_tokens(plain, text):
