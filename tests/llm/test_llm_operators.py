@@ -734,6 +734,8 @@ COLUMNS = {
     "op5": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op6": "doc_id language confidence kept",
     "op7": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op8": "doc_id n_shingles component_id kept",
     "op9": "doc_id keep_id group_size kept text_sha256", "op10": "doc_id start n_tokens ids_crc32",
+    "op11": "item_id rank doc_id score", "op12": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
 }
 
 
@@ -753,7 +755,7 @@ def test_registered_query(spark, data, tables, plain, name):
     rows = got.collect()
     docs = {r["doc_id"]: r["text"] or "" for r in tables["documents"]}
     one = {r[0]: r for r in rows}
-    if number in ("op2", "op4", "op5", "op6", "op8", "op9", "op10"):
+    if number in ("op2", "op4", "op5", "op6", "op8", "op9", "op10", "op12", "op13"):
         assert len(rows) == len(docs) and set(one) == set(docs)
     if number == "op1":
         assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in one.items()} == {r["page_id"]: (len((r["html"] or "").encode()), warc.digest((r["html"] or "").encode())) for r in tables["pages"]}
