@@ -93,13 +93,14 @@ def target_union(passes: dict[str, DataFrame], keys: list[str]) -> DataFrame:
 
 def tests_for_symbols(targets: DataFrame, hits: DataFrame, keys: list[str], per_name: int = 10, most: int = 3, least_name: int = 4) -> DataFrame:
     """keys, path, score: of the hits (name, path, score) on a target's name, the best `per_name`, those in tests, none that is
-    a target already, `most` per request."""
+    a target already, `most` per request. Hits with a symbol keep it, the best of a path."""
     from ..functions.paths import is_test_path
 
     names = targets.where(F.length("name") >= least_name).select(*keys, "name").distinct()
     best = top_k_per(hits, ["name"], [F.desc("score"), F.col("path")], per_name)
     rows = names.join(best.where(is_test_path(F.col("path"))), "name").join(targets.select(*keys, "path").distinct(), [*keys, "path"], "left_anti")
-    rows = rows.groupBy(*keys, "path").agg(F.max("score").alias("score"))
+    symbol = [F.min(F.struct(-F.col("score"), "symbol"))["symbol"].alias("symbol")] if "symbol" in hits.columns else []
+    rows = rows.groupBy(*keys, "path").agg(F.max("score").alias("score"), *symbol)
     return top_k_per(rows, keys, [F.desc("score"), F.col("path")], most)
 
 
