@@ -108,19 +108,34 @@ def minify_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n")
 
 
-#: Statements that log.
-LOG_STATEMENT = (r"^\s*((tracing::|log::)?(trace|debug|info|warn|error|event|span|println|eprintln|print|eprint|dbg)!\s*[(\[{]"
-                 r"|((self\.)?_?log(ger|ging)?\.)(debug|info|warning|warn|error|critical|exception|log)\(|print\(|console\.(log|debug|info|warn|error|trace)\()")
+#: What statements that log begin with: macros with their paths, objects with their methods, a function.
+LOG_MACROS = ("debug", "info", "warn", "error", "trace", "println", "eprintln", "dbg")
+LOG_PATHS, PATH_MACROS = ("tracing::", "log::"), ("debug", "info", "warn", "error", "trace")
+LOGGERS, LOGGER_METHODS = ("logger", "logging", "log"), ("debug", "info", "warning", "error", "critical", "exception")
+CONSOLE_METHODS = ("log", "error", "warn", "debug", "info", "trace")
+LOG_STATEMENT = (rf"\s*((?:{'|'.join(LOG_MACROS)})!|(?:{'|'.join(LOG_PATHS)})(?:{'|'.join(PATH_MACROS)})!|(?:{'|'.join(LOGGERS)})\.(?:{'|'.join(LOGGER_METHODS)})"
+                 rf"|print|console\.(?:{'|'.join(CONSOLE_METHODS)}))\(")
 
 
 def prune_log_lines(text: Column, comment: str = "//", most: int = 200) -> Column:
-    """Lines with a logging statement that ends on its line become one mark per run of them, and lines longer than `most` are
-    cut. A statement over several lines stays."""
-    mark = F.lit(f"{comment} [log]")
-    lines = F.transform(F.split(text, r"\r?\n"), lambda s: F.when(s.rlike(LOG_STATEMENT) & (F.length(F.regexp_replace(s, r"[^(]", "")) <= F.length(F.regexp_replace(s, r"[^)]", ""))), mark)
-                        .when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit(" ..."))).otherwise(s))
-    run = F.filter(lines, lambda s, i: ~((s == mark) & F.coalesce(F.get(lines, i - 1) == mark, F.lit(False))))
-    return F.array_join(run, "\n")
+    """Logging statements, up to the line that closes their parentheses, become one mark per run of them, indented as the first; other
+    lines longer than `most` characters are cut. An open statement takes the rest of the text. Texts with a statement are folded
+    line by line, others are not."""
+    lines = F.split(text, r"\r?\n")
+    cut = lambda s: F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
+    opened = lambda s: F.length(F.regexp_replace(s, r"[^(]", "")) - F.length(F.regexp_replace(s, r"[^)]", ""))
+
+    def step(done: Column, s: Column) -> Column:
+        inside = done["depth"] > 0
+        log = inside | s.rlike("^" + LOG_STATEMENT)
+        depth = F.when(log, F.greatest(F.when(inside, done["depth"]).otherwise(0) + opened(s), F.lit(0))).otherwise(0)
+        mark = F.concat(F.regexp_extract(s, r"^\s*", 0), F.lit(f"{comment} ..."))
+        line = F.when(~log, F.array(cut(s))).when(done["log"], F.array().cast("array<string>")).otherwise(F.array(mark))
+        return F.struct(F.concat(done["out"], line).alias("out"), depth.alias("depth"), log.alias("log"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("log"))
+    folded = F.aggregate(lines, start, step)["out"]
+    return F.array_join(F.when(text.rlike("(?m)^" + LOG_STATEMENT), folded).otherwise(F.transform(lines, cut)), "\n")
 
 
 def maintenance_summary(issues: DataFrame, unused: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -221,10 +221,11 @@ def minify_text(v: Views):
     return v.conversations.select("conv_id", "turn", C.minify_text(F.replace("text", F.lit(".\n"), F.lit(". \t\n\n\n\n"))).alias("text"))
 
 
-@query("""SELECT p_partkey, 'fn a() {' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '// [log]' || chr(10) END || '  let b = ' || p_partkey || ';' || chr(10) || '// [log]' || chr(10) || '  print_all(x);' || chr(10) || '}' AS content FROM part""")
+@query("""SELECT p_partkey, 'fn a() {' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '  // ...' || chr(10) END || '  let b = ' || p_partkey || ';' || chr(10) || '  // ...' || chr(10) || '  print_all(x);' || chr(10) || '}' AS content FROM part""")
 def prune_log_lines(v: Views):
     first = F.get(F.array(F.lit(""), F.lit('  info!("a {}", b);\n'), F.lit("  logger.warning(f(x))\n  console.log('a')\n")), (F.col("p_partkey") % 3).cast("int"))
-    content = F.concat(F.lit("fn a() {\n"), first, F.lit("  let b = "), "p_partkey", F.lit(";\n  println!(\"b\");\n  print_all(x);\n}"))
+    last = F.when(F.col("p_partkey") % 2 == 0, '  println!("b");\n').otherwise('  println!(\n    "{}",\n    f(x)\n  );\n')
+    content = F.concat(F.lit("fn a() {\n"), first, F.lit("  let b = "), "p_partkey", F.lit(";\n"), last, F.lit("  print_all(x);\n}"))
     return v.part.select("p_partkey", C.prune_log_lines(content).alias("content"))
 
 

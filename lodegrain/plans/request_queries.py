@@ -76,7 +76,7 @@ def histories_for_targets(v: Views):
 
 
 @query("""SELECT request_id, item_id, path, 1 AS first, 1 AS last, CASE WHEN taken >= length(text) THEN text WHEN critical THEN substr(text, 1, taken) WHEN taken - taken * 3 // 4 - 30 > 50 THEN substr(text, 1, taken * 3 // 4) || chr(10) || '// ... [truncated] ...' || chr(10) || right(text, taken - taken * 3 // 4 - 30) ELSE substr(text, 1, taken) END AS source
-  FROM (SELECT f.*, n.text, n.path, n.critical FROM fold f JOIN named n USING (request_id, item_id)) WHERE taken > 0""", """RECURSIVE whole AS (SELECT doc_id, left(replace(text, chr(10), ' '), 200) || CASE WHEN length(replace(text, chr(10), ' ')) > 200 THEN ' ...' ELSE '' END AS text FROM documents),
+  FROM (SELECT f.*, n.text, n.path, n.critical FROM fold f JOIN named n USING (request_id, item_id)) WHERE taken > 0""", """RECURSIVE whole AS (SELECT doc_id, left(replace(text, chr(10), ' '), 200) || CASE WHEN length(replace(text, chr(10), ' ')) > 200 THEN '...' ELSE '' END AS text FROM documents),
 named AS (SELECT doc_id // 64 AS request_id, doc_id AS item_id, 'm' || doc_id || '.rs' AS path, rtrim(text, ' ' || chr(9)) AS text, contains('n' || doc_id, '7') AS critical, doc_id * 7919 % 101 AS score FROM whole WHERE length(text) > 0),
 ranked AS (SELECT *, length(text) AS size, row_number() OVER (PARTITION BY request_id ORDER BY NOT critical, score DESC, item_id) AS r FROM named),
 fold AS (SELECT DISTINCT request_id, 0::BIGINT AS r, NULL::BIGINT AS item_id, 0::BIGINT AS taken, 5552::BIGINT AS free, 1943::BIGINT AS pool FROM named UNION ALL

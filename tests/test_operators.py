@@ -128,7 +128,7 @@ def test_sources_of_a_tier(spark):
     # recency outweighs the score, so the small file is shown first and then the block is cut
     recent = spark.createDataFrame([("c.py", 100.0), ("c.py", 1.0), (None, 1.0)], "path string, recency double")
     again = {(r["request_id"], r["item_id"]): r["source"] for r in requests.tier_sources(rows, files, "small", ("Key",), recent).collect()}
-    assert again[1, 3] == "# [log]\ny = 1" and len(again[1, 2]) < len(found[1, 2]["source"]) + 1
+    assert again[1, 3] == "# ...\ny = 1" and len(again[1, 2]) < len(found[1, 2]["source"]) + 1
     assert requests.tier_sources(rows.limit(0), files, "small").count() == 0
 
 
@@ -208,9 +208,11 @@ def test_index_texts_of_symbols(spark):
     row = files.select(code.body_keywords(F.array(F.lit("fn Total(self) { return total + Sum_2 for x }"))).alias("k"),
                        code.embedding_text(F.lit("add"), F.lit("fn add()"), F.lit(None).cast("string"), F.array(F.lit("total"))).alias("e")).first()
     assert row["k"] == ["total", "sum_2"] and row["e"] == "add add add fn add() fn add() total"
-    log = "a = 1\n  tracing::info!(\"x\");\nlogger.debug(x)\nb = 2\ninfo!(\n  x\n);\n" + "z" * 300
+    log = "a = 1\n  tracing::info!(\"x\");\nlogger.debug(x)\nb = 2\n\tinfo!(\n  f(x),\n  y\n);\nprint(1)\nlog.debug\n" + "z" * 300 + "\ndbg!((\nnever closed"
     pruned = files.select(consistency.prune_log_lines(F.lit(log)).alias("p")).first()["p"].split("\n")
-    assert pruned == ["a = 1", "// [log]", "b = 2", "info!(", "  x", ");", "z" * 200 + " ..."]
+    assert pruned == ["a = 1", "  // ...", "b = 2", "\t// ...", "log.debug", "z" * 200 + "...", "// ..."]
+    plain = files.select(consistency.prune_log_lines(F.lit("a\n" + "z" * 201)).alias("p"), consistency.prune_log_lines(F.lit(None).cast("string")).alias("n"), consistency.prune_log_lines(F.lit("")).alias("e")).first()
+    assert (plain["p"], plain["n"], plain["e"]) == ("a\n" + "z" * 200 + "...", None, "")
 
 
 def test_neighbours_are_found(spark, data):
