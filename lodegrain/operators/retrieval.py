@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_test_path, is_vendor_path
 from ..sources.snapshots import saved
 from .topk import min_max_normalise, numbered, top_k_per
-from .vector_index import VectorIndex, unit
+from .vector_index import MOST_CELLS, VectorIndex, unit
 
 
 def code_tokens(text: Column) -> Column:
@@ -116,20 +116,23 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, min_sim: fl
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys = batch[key].to_numpy()
-                sims = np.round(asked @ unit(batch["d"].flatten().to_numpy().reshape(batch.num_rows, -1)).T, 9)
+                keys, rows = batch[key].to_numpy(), unit(batch["d"].flatten().to_numpy().reshape(batch.num_rows, -1))
                 # of equal similarities the least keys, as in the final order: columns by key, and a stable cut
                 by_key = np.argsort(keys, kind="stable")
-                sims, keys = sims[:, by_key], keys[by_key]
-                if k < len(keys):
-                    least = np.partition(sims, len(keys) - k, axis=1)[:, len(keys) - k, None]
-                    above = sims > least
-                    tied = sims == least
-                    taken = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-                else:
-                    taken = np.ones(sims.shape, bool)
-                of, at = np.nonzero(taken & (sims > min_sim))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(keys[at]), pa.array(sims[of, at])], names=["query_id", key, "similarity"])
+                keys, rows = keys[by_key], rows[by_key]
+                # some queries at a time: what a task holds depends on neither table's size
+                step = max(1, MOST_CELLS // len(keys))
+                for low in range(0, len(ids), step):
+                    sims = np.round(asked[low : low + step] @ rows.T, 9)
+                    if k < len(keys):
+                        least = np.partition(sims, len(keys) - k, axis=1)[:, len(keys) - k, None]
+                        above = sims > least
+                        tied = sims == least
+                        taken = above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
+                    else:
+                        taken = np.ones(sims.shape, bool)
+                    of, at = np.nonzero(taken & (sims > min_sim))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[low + of]), pa.array(keys[at]), pa.array(sims[of, at])], names=["query_id", key, "similarity"])
 
         if waiting is not None:
             waiting = saved(waiting, "nearest")

@@ -26,6 +26,8 @@ from ..sources.snapshots import saved
 from .topk import top_k_per
 
 LEVELS = 16
+#: Fixed value: similarities that a task holds at a time.
+MOST_CELLS = 1 << 20
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -40,7 +42,8 @@ def matrix(column: pa.ListArray, rows: int) -> np.ndarray:
 
 def nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The centre of least distance; rows and centres need not be of length 1."""
-    return (rows @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
+    half, step = (centres * centres).sum(axis=1) / 2, max(1, MOST_CELLS // len(centres))
+    return np.concatenate([(rows[low : low + step] @ centres.T - half).argmax(axis=1) for low in range(0, len(rows), step)] or [np.zeros(0, np.int64)])
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -155,9 +158,21 @@ class VectorIndex:
         # the key spreads a list that holds a large share of all rows
         return saved(rows.repartitionByRange("list", key).sortWithinPartitions("list"), "lists")
 
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        """query_id, key: the vectors of each query that are compared exactly; queries are (query_id, q) of a bounded number."""
+    def candidates(self, queries: DataFrame, most_queries: int = 1_000) -> DataFrame:
+        """query_id, key: the vectors of each query (query_id, q) that are compared exactly; blocks of at most most_queries."""
+        queries = saved(queries, "asked")
+        blocks, out = -(-queries.count() // most_queries), None
+        for b in range(blocks):
+            own = self._candidates(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+            own = own if blocks == 1 or own is None else saved(own, "candidates")
+            out = own if out is None or own is None else out.unionByName(own)
+        return self.vectors.select(F.col(self.key).alias("query_id"), self.key).limit(0) if out is None else out
+
+    def _candidates(self, queries: DataFrame) -> DataFrame | None:
+        """The candidates of a block, whose matrix and probed lists go to every task; none of an empty one."""
         table = queries.toArrow()
+        if not table.num_rows:
+            return None
         ids, asked = table["query_id"].to_numpy(), unit(matrix(table["q"].combine_chunks(), table.num_rows))
         coder, key, depth = self.coder, self.key, self.coder.depth
         probed = greatest(asked @ coder.centres.T, coder.probes)
@@ -165,7 +180,7 @@ class VectorIndex:
         order = np.argsort(probed.reshape(-1), kind="stable")
         numbers, starts = np.unique(probed.reshape(-1)[order], return_index=True)
         for number, places in zip(numbers.tolist(), np.split(order, starts[1:])):
-            by_list[number] = places // probed.shape[1]
+            by_list[number] = (places // probed.shape[1]).astype(np.int32)
 
         def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best_keys, best = np.zeros((len(ids), depth), np.int64), np.full((len(ids), depth), -np.inf, np.float32)
@@ -178,11 +193,13 @@ class VectorIndex:
                         continue
                     part = batch.slice(low, high - low)
                     codes = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                    near = asked[asking] @ coder.approximate(numbers[low:high], codes).T
-                    keys = np.broadcast_to(part[key].to_numpy(), near.shape)
-                    both, both_keys = np.hstack([best[asking], near]), np.hstack([best_keys[asking], keys])
-                    at = greatest(both, depth)
-                    best[asking], best_keys[asking] = np.take_along_axis(both, at, 1), np.take_along_axis(both_keys, at, 1)
+                    rows, part_keys = coder.approximate(numbers[low:high], codes), part[key].to_numpy()
+                    step = max(1, MOST_CELLS // (depth + len(rows)))
+                    for some in (asking[at : at + step] for at in range(0, len(asking), step)):
+                        near = asked[some] @ rows.T
+                        both, both_keys = np.hstack([best[some], near]), np.hstack([best_keys[some], np.broadcast_to(part_keys, near.shape)])
+                        at = greatest(both, depth)
+                        best[some], best_keys[some] = np.take_along_axis(both, at, 1), np.take_along_axis(both_keys, at, 1)
             of, place = np.nonzero(best > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(best_keys[of, place]), pa.array(best[of, place])], names=["query_id", key, "near"])
 
@@ -199,9 +216,10 @@ class VectorIndex:
         asked, blocks, out = saved(asked, "asked"), -(-n // most_queries), None
         for b in range(blocks):
             own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-            if blocks > 1 and own.isEmpty():
+            found = self._candidates(own)
+            if found is None:
                 continue
-            found = saved(self.candidates(own), "candidates")
+            found = saved(found, "candidates")
             # depth rows a query of the block
             pairs = F.broadcast(found) if found.count() <= most_broadcast else found
             rows = self.vectors.join(pairs, self.key).join(own, "query_id")

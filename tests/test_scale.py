@@ -43,3 +43,28 @@ def test_imports_of_more_than_a_hundred_suppliers(spark, tmp_path):
     for name in ("supplier", "lineitem"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert got == set(con.execute(ORACLES["resolve_imports"]).fetchall()) and len(got) > 700
+
+
+def test_similarities_are_held_in_blocks(spark, data, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    from lodegrain.operators import retrieval as R
+    from lodegrain.operators import vector_index as V
+
+    vectors = spark.read.parquet(f"{data}/embeddings.parquet").limit(300).cache()
+    q = vectors.selectExpr("vec_id AS query_id", "embedding")
+    want = {tuple(r) for r in R.cosine_top_k(q, vectors, 3).collect()}
+    monkeypatch.setattr(R, "MOST_CELLS", 1000)
+    assert {tuple(r) for r in R.cosine_top_k(q, vectors, 3).collect()} == want and len(want) == 900
+    index = R.VectorIndex(vectors, k=3)
+    asked = q.selectExpr("query_id", "embedding AS q")
+    monkeypatch.setattr(V, "MOST_CELLS", 1000)
+    few = {tuple(r) for r in index.candidates(asked, most_queries=100).collect()}
+    assert few == {tuple(r) for r in index.candidates(asked).collect()} and len(few) == 300 * index.coder.depth
+    monkeypatch.undo()
+    rows = np.random.default_rng(1).normal(size=(10_000, 4)).astype(np.float32)
+    tracemalloc.start()
+    V.nearest_centre(rows, rows[:2000])
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000  # all at once: 80 MB and more
+    tracemalloc.stop()
