@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,11 @@ def prose_tokens(text: Column) -> Column:
 
 
 def build_postings(docs: DataFrame, key: str = "doc_id", fields: dict[str, Column] | None = None) -> DataFrame:
-    """term, field, key, tf of the token arrays of each field."""
+    """term, field, key, tf of the token arrays of each field. Texts move by key before they are split, so a row a text moves and not one
+    a token, and what is saved of a text lies together."""
     fields = fields or {"body": prose_tokens(F.col("text"))}
     tokens = F.flatten(F.array(*[_tagged(name, column) for name, column in fields.items()]))
-    return docs.select(key, F.explode(tokens).alias("t")).groupBy(F.col("t.term").alias("term"), F.col("t.field").alias("field"), key).agg(F.count("*").alias("tf"))
+    return docs.repartition(key).select(key, F.explode(tokens).alias("t")).groupBy(F.col("t.term").alias("term"), F.col("t.field").alias("field"), key).agg(F.count("*").alias("tf"))
 
 
 def _tagged(name: str, tokens: Column) -> Column:
@@ -52,17 +54,65 @@ def corpus_stats(postings: DataFrame, key: str = "doc_id") -> tuple[DataFrame, D
             lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("avg_length")))
 
 
+#: Rows of query terms, and cells of terms by queries, up to which scores are matrix products.
+MOST_TERMS, MOST_WEIGHTS = 200_000, 1 << 22
+
+
+def _asked_matrix(query_terms: DataFrame) -> tuple[pa.Array, pa.Array, np.ndarray] | None:
+    """Query ids, terms and the weight of each term in each query, of a bounded number of queries; None of more, or of weights that
+    are not positive: these are joined."""
+    table = query_terms.select("query_id", "term", F.col("weight").cast("double").alias("weight")).dropna().limit(MOST_TERMS + 1).toArrow()
+    if not 0 < table.num_rows <= MOST_TERMS:
+        return None
+    queries, terms = (table[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+    weights = table["weight"].to_numpy()
+    if len(queries.dictionary) * len(terms.dictionary) > MOST_WEIGHTS or not (weights > 0).all():
+        return None
+    asked = np.zeros((len(terms.dictionary), len(queries.dictionary)))
+    np.add.at(asked, (terms.indices.to_numpy(), queries.indices.to_numpy()), weights)
+    return queries.dictionary, terms.dictionary, asked
+
+
+def _best_of(ids: pa.Array, terms: pa.Array, asked: np.ndarray, k: int, key: str):
+    """The k best texts of each query of a task's (key, terms, parts): the parts of some texts at a time as a matrix, multiplied with
+    the queries' weights, so no row is made of a text and a query that do not come out."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, top_keys = np.zeros((0, len(ids))), np.zeros((0, len(ids)), np.int64)
+        step = max(1, MOST_CELLS // max(asked.shape))
+        for some in (batch.slice(low, step) for batch in batches for low in range(0, batch.num_rows, step)):
+            keys, lists = some[key].to_numpy(), some["terms"]
+            place = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy()) * len(terms) + pc.index_in(lists.flatten(), value_set=terms).to_numpy()
+            parts = np.bincount(place, some["parts"].flatten().to_numpy(), len(keys) * len(terms)).reshape(len(keys), -1)
+            exact = parts @ asked
+            # sums depend on the order of their parts in the last digits; ties must not
+            scores = np.vstack([top, np.where(exact > 0, np.round(exact, 9), -1.0)])
+            every = np.vstack([top_keys, np.broadcast_to(keys[:, None], exact.shape)])
+            order = np.lexsort((every, -scores), axis=0)[:k]
+            top, top_keys = np.take_along_axis(scores, order, 0), np.take_along_axis(every, order, 0)
+        at, of = np.nonzero(top >= 0)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(top_keys[at, of]), pa.array(top[at, of])], names=["query_id", key, "score"])
+
+    return best
+
+
 def bm25(query_terms: DataFrame, postings: DataFrame, limit: int | None = 10, boosts: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, rank: query_terms are (query_id, term, weight). Only the postings of terms that some query has
     are read on past the first join."""
-    df, lengths, averages = corpus_stats(postings, key)
+    _, lengths, averages = corpus_stats(postings, key)
     terms = query_terms.select("term").distinct()
     hit = postings.join(terms, "term", "left_semi")
+    df = hit.groupBy("term", "field").agg(F.count("*").alias("df"))
     rows = hit.join(df, ["term", "field"]).join(lengths, [key, "field"]).join(F.broadcast(averages), "field")  # a row per field
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     boost = F.coalesce(*[F.when(F.col("field") == f, x) for f, x in (boosts or {}).items()], F.lit(1.0))
     rows = rows.select("term", key, (idf * norm * boost).alias("part"))
+    asked = _asked_matrix(query_terms) if limit is not None and dict(postings.dtypes)[key] == "bigint" and all(x > 0 for x in (boosts or {}).values()) else None
+    if asked is not None:
+        of_text = rows.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("part").alias("parts"))
+        best = of_text.mapInArrow(_best_of(*asked, limit, key), f"query_id {dict(query_terms.dtypes)['query_id']}, {key} long, score double")
+        return top_k_per(best, ["query_id"], [F.desc("score"), F.col(key)], limit, "rank")
     scored = query_terms.join(rows, "term").groupBy("query_id", key).agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
     # sums depend on the order of their parts in the last digits; ties must not
     scored = scored.withColumn("score", F.round("score", 9))

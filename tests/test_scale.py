@@ -85,3 +85,22 @@ def test_graph_tables_are_not_broadcast(spark, data):
         hub = want[0] / 2501
         want = {0: 0.15 / n + 0.85 * sum(want[i] for i in range(1, n)), 1: 0.15 / n + 0.85 * 2 * hub} | {i: 0.15 / n + 0.85 * hub for i in range(2, n)}
     assert all(abs(ranks[i] - want[i] / want[0]) < 1e-9 for i in range(n))
+
+
+def test_scores_as_products_equal_scores_by_joins(spark, monkeypatch):
+    import random
+
+    from lodegrain.operators import retrieval as R
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(40)))) for i in range(400)] + [(400, None), (7, "w1 w1")], "doc_id long, text string")
+    asked = [(f"q{i}", f"w{rng.randrange(35)}", rng.choice([0.5, 3.0])) for i in range(20) for _ in range(8)]
+    terms, postings = spark.createDataFrame(asked + [("none", "zzz", 1.0)], "query_id string, term string, weight double"), R.build_postings(docs)
+    got = R.bm25(terms, postings)
+    assert "MapInArrow" in joins_of(got)
+    monkeypatch.setattr(R, "MOST_CELLS", 200)
+    rows = {tuple(r) for r in got.union(R.bm25(terms, postings)).collect()}
+    monkeypatch.setattr(R, "MOST_TERMS", 10)
+    by_join = R.bm25(terms, postings)
+    assert "MapInArrow" not in joins_of(by_join)
+    assert rows == {tuple(r) for r in by_join.collect()} and len(rows) == 200
