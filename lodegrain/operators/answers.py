@@ -61,6 +61,21 @@ def _found_by_name(requests: DataFrame, symbols: DataFrame, stop_words: tuple[st
     return asked.join(exclude_noise_kinds(first), "query").withColumn("score", F.lit(None).cast("double"))
 
 
+def _distinct_texts(requests: DataFrame) -> DataFrame:
+    """request_id, text: every text once, under its least request_id. Without vectors, what a request is answered depends on its
+    text alone, so all passes see a text once, and what they find goes back to its requests by a join on the text."""
+    texts = requests.where("text is not null and request_id is not null").groupBy("text").agg(F.min("request_id").alias("request_id")).select("request_id", "text")
+    # texts are short and what is done with each is not: a part for each core
+    return saved(texts.repartition(requests.sparkSession.sparkContext.defaultParallelism), "texts")
+
+
+def _for_every_request(found: DataFrame, texts: DataFrame, requests: DataFrame) -> DataFrame:
+    """The rows that were found for texts, for each request of the text."""
+    of = requests.where("request_id is not null").select(F.col("request_id").alias("__request"), "text").distinct()
+    rows = found.join(texts.withColumnRenamed("text", "__text"), "request_id").drop("request_id").join(of.withColumnRenamed("text", "__text"), "__text")
+    return rows.withColumnRenamed("__request", "request_id").select(*found.columns)
+
+
 def request_targets(requests: DataFrame, symbols: DataFrame, files: DataFrame, postings: DataFrame, tier: str = "medium", request_vectors: DataFrame | None = None, vectors: DataFrame | None = None,
                     working_set: DataFrame | None = None, limit: int = 5, max_symbols: int = 5, min_score: float = 0.15, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """request_id, rank, pass, name, path, score: what each request (request_id, text) is about. Passes, the first that finds a target
@@ -71,8 +86,17 @@ def request_targets(requests: DataFrame, symbols: DataFrame, files: DataFrame, p
 
     symbols are (symbol_id, name, path, ordinal, kind), files (path, content), postings those of symbols by symbol_id. Requests
     with a null or empty text or without targets have no row; repeated symbols count once, a path has one file; other columns are
-    not read."""
-    requests, symbols = requests.select("request_id", "text"), symbols.dropDuplicates(["path", "name", "ordinal"])
+    not read. A text that many requests have is looked at once, but where each has a vector of its own."""
+    if vectors is not None:
+        return _targets_of(requests.select("request_id", "text"), symbols, files, postings, tier, request_vectors, vectors, working_set, limit, max_symbols, min_score, stop_words)
+    texts = _distinct_texts(requests)
+    return _for_every_request(_targets_of(texts, symbols, files, postings, tier, request_vectors, vectors, working_set, limit, max_symbols, min_score, stop_words), texts, requests)
+
+
+def _targets_of(requests: DataFrame, symbols: DataFrame, files: DataFrame, postings: DataFrame, tier: str = "medium", request_vectors: DataFrame | None = None, vectors: DataFrame | None = None,
+                working_set: DataFrame | None = None, limit: int = 5, max_symbols: int = 5, min_score: float = 0.15, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """The rows of request_targets for requests that differ in text."""
+    symbols = symbols.dropDuplicates(["path", "name", "ordinal"])
     served = target_union({"explicit": named_files(requests), "search": _found_by_search(requests, symbols, postings, request_vectors, vectors, working_set, limit, min_score, stop_words)}, KEY)
     served = saved(served, "served")
     named = _found_by_name(requests.join(served.select("request_id").distinct(), "request_id", "left_anti"), symbols, stop_words)
@@ -151,10 +175,19 @@ def answer_batch(requests: DataFrame, symbols: DataFrame, files: DataFrame, post
     for intents that ask for it, the text that says all this, and symbols per thousand tokens of it. With `raw`, and always in the
     smallest tier, the text ends in the targets' source within the tier's budget.
 
-    Every request has a row; a null text is an empty one. symbols carry line_start and line_end beside what request_targets reads."""
-    symbols = symbols.dropDuplicates(["path", "name", "ordinal"])
+    Every request has a row; a null text is an empty one. symbols carry line_start and line_end beside what request_targets reads.
+    A text that many requests have is answered once, but where each has a vector of its own."""
     requests = requests.select("request_id", F.coalesce("text", F.lit("")).alias("text"))
-    targets = saved(request_targets(requests, symbols, files, postings, tier, **how), "request_targets")
+    if how.get("vectors") is not None:
+        return _answers_of(requests, symbols, files, postings, diagnostics, history, tier, raw, **how)
+    texts = _distinct_texts(requests)
+    return _for_every_request(_answers_of(texts, symbols, files, postings, diagnostics, history, tier, raw, **how), texts, requests)
+
+
+def _answers_of(requests: DataFrame, symbols: DataFrame, files: DataFrame, postings: DataFrame, diagnostics: DataFrame, history: DataFrame, tier: str, raw: bool, **how) -> DataFrame:
+    """The rows of answer_batch for requests that differ in text."""
+    symbols = symbols.dropDuplicates(["path", "name", "ordinal"])
+    targets = saved(_targets_of(requests, symbols, files, postings, tier, **how), "request_targets")
     per = targets.groupBy("request_id").agg(F.count("*").alias("targets"), F.max(F.col("pass") != "explicit").alias("of_symbols"))
     marks = F.lit(False)
     for mark in CODE_MARKS:

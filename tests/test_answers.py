@@ -101,3 +101,21 @@ def test_preview_of_members_and_of_long_bodies(spark):
             ("Function", "fn f() {\n" + "x" * 399 + "\n  y();\n}"), ("Module", "mod m;"), ("Function", "fn f() {}"), ("Struct", None)]
     got = [r[0] for r in spark.createDataFrame(rows, "kind string, snippet string").select(A.code_preview(F.col("kind"), F.col("snippet"))).collect()]
     assert got == ["Methods: a, b", "Variants: One, Two", "Body: " + " | ".join(f"s{i}();" for i in range(12)), "Body: " + "x" * 399, None, None, None]
+
+
+def test_a_text_of_many_requests_is_searched_once_and_answers_all(base, spark, monkeypatch):
+    seen, search = [], A.bm25
+
+    def counted(terms, *args, **how):
+        seen.append(terms.select("query_id").distinct().count())
+        return search(terms, *args, **how)
+
+    monkeypatch.setattr(A, "bm25", counted)
+    asked = spark.createDataFrame([(i, REQUESTS[i % 2][1]) for i in range(40)] + [(0, REQUESTS[0][1]), (99, None), (None, "explain Row")], "request_id long, text string")
+    got = found(A.request_targets(asked, base["symbols"], base["files"], base["postings"], "small").collect())
+    assert seen[0] == 2 and set(got) == set(range(40))
+    assert all(got[i] == got[i % 2] for i in got) and len(got[0]) == 2
+    seen.clear()
+    rows = {r["request_id"]: r for r in A.answer_batch(**{**base, "requests": asked}).collect()}
+    assert seen[0] <= 3 and set(rows) == {*range(40), 99}
+    assert all(rows[i][1:] == rows[i % 2][1:] for i in range(40)) and rows[99]["targets"] == 0
