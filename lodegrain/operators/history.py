@@ -77,18 +77,35 @@ def stability(touched: DataFrame) -> DataFrame:
     return rows.select("path", F.when(F.col("n") <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - share)).alias("convergence"), share.alias("rigidity"))
 
 
+#: Fixed value: pairs that a task of co_changes makes and counts, but for those of one commit.
+MOST_PAIRS = 1 << 21
+
+
 def co_changes(commit_files: DataFrame, min_count: int = 2, top: int | None = 10, max_files_per_commit: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """path, other, together, ratio (of the file's commits), rank, of all files or of `targets` (path), of which only the commits are
     paired. Files of fewer than min_count commits can be in no result and pair with nothing. A commit of n files that are left gives
-    n * n pairs: where wide commits exist, `max_files_per_commit` leaves them out of the pairs (and of nothing else)."""
+    n * n pairs: where wide commits exist, `max_files_per_commit` leaves them out of the pairs (and of nothing else).
+
+    Of all files, a pair is made once and turned round when it is counted. A task counts the pairs that it makes, so commits are dealt out by
+    the number of their pairs and not by their bytes, which are few."""
     often = commit_files.groupBy("path").agg(F.count("*").alias("total")).where(F.col("total") >= min_count)
     pairs = commit_files.join(often, "path", "left_semi")
     if max_files_per_commit is not None:
         narrow = commit_files.groupBy("commit_id").count().where(F.col("count") <= max_files_per_commit)
         pairs = pairs.join(narrow, "commit_id", "left_semi")
-    own = pairs if targets is None else pairs.join(targets.select("path").distinct(), "path", "left_semi")
-    both = own.join(pairs.withColumnRenamed("path", "other"), "commit_id").where("path <> other")
+    if targets is None:
+        pairs = saved(pairs.select("commit_id", "path"), "changed_often")
+        made = pairs.groupBy("commit_id").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        # a number that is stated is not lessened where the bytes are few
+        dealt = pairs.repartition(int(made // MOST_PAIRS) + 1, "commit_id") if made > MOST_PAIRS else pairs
+        both = dealt.hint("merge").join(dealt.withColumnRenamed("path", "other"), "commit_id").where("path < other")
+    else:
+        own = pairs.join(targets.select("path").distinct(), "path", "left_semi")
+        both = own.join(pairs.withColumnRenamed("path", "other"), "commit_id").where("path <> other")
     counted = both.groupBy("path", "other").agg(F.count("*").alias("together")).where(F.col("together") >= min_count)
+    if targets is None:
+        turned = F.array(F.struct("path", "other"), F.struct(F.col("other").alias("path"), F.col("path").alias("other")))
+        counted = counted.select("together", F.inline(turned))
     rows = counted.join(often, "path").select("path", "other", "together", (F.col("together") / F.col("total")).alias("ratio"))
     return top_k_per(rows, ["path"], [F.desc("together"), F.col("other")], top, "rank")
 

@@ -104,3 +104,20 @@ def test_scores_as_products_equal_scores_by_joins(spark, monkeypatch):
     by_join = R.bm25(terms, postings)
     assert "MapInArrow" not in joins_of(by_join)
     assert rows == {tuple(r) for r in by_join.collect()} and len(rows) == 200
+
+
+def test_pairs_of_commits_are_made_once_and_dealt_by_their_number(spark, monkeypatch):
+    from collections import Counter
+    from itertools import permutations
+
+    from lodegrain.operators import history as H
+
+    of = {c: {f"f{c % 7}", f"f{c % 5}", f"f{c % 3}", f"only{c}"} for c in range(40)}
+    touched = spark.createDataFrame([(c, p) for c, paths in of.items() for p in paths] + [(99, None)], "commit_id long, path string")
+    monkeypatch.setattr(H, "MOST_PAIRS", 50)
+    got = H.co_changes(touched, top=None)
+    plan = joins_of(got)
+    assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin [commit_id" not in plan
+    want = {k: n for k, n in Counter(p for paths in of.values() for p in permutations(paths, 2)).items() if n >= 2}
+    assert {(r["path"], r["other"]): r["together"] for r in got.collect()} == want
+    assert H.co_changes(touched.limit(0)).count() == 0
