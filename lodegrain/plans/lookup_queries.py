@@ -190,12 +190,14 @@ def _long(a: int, b: int) -> str:
 def body_snippet(v: Views):
     """Short symbols, and a long one of each part: a registry, an enum or steps."""
     files, found = sources(v)
-    k, kind, i = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3, F.col("i").cast("string")
-    first = F.when(kind == 1, "enum f {").otherwise("fn f() {")
-    line = (F.when(F.col("i") == 1, first).when(F.col("i") == 60, "}").when(kind == 0, F.concat(F.lit('  Tool { name: "n'), F.col("i") % 12, F.lit("_"), k, F.lit('" },')))
-            .when(kind == 1, F.concat(F.lit("  V"), F.col("i") % 15, F.lit(","))).otherwise(F.concat(F.lit("  step("), i, F.lit(", "), k, F.lit(");"))))
-    lines = v.part.select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("i")).withColumn("line", line).groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
-    long = lines.select(F.concat(F.lit("long/lib/f"), "p_partkey", F.lit(".rs")).alias("path"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+    k, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+
+    def line(i):
+        first, step = F.when(kind == 1, "enum f {").otherwise("fn f() {"), F.concat(F.lit("  step("), i.cast("string"), F.lit(", "), k, F.lit(");"))
+        return (F.when(i == 1, first).when(i == 60, "}").when(kind == 0, F.concat(F.lit('  Tool { name: "n'), i % 12, F.lit("_"), k, F.lit('" },'))).when(kind == 1, F.concat(F.lit("  V"), i % 15, F.lit(","))).otherwise(step))
+
+    # the lines of a file are made in its row, so nothing is gathered; keys are few bytes and their files are not: a part for each core
+    long = v.part.select("p_partkey").repartition(v.spark.sparkContext.defaultParallelism).select(F.concat(F.lit("long/lib/f"), "p_partkey", F.lit(".rs")).alias("path"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), line), "\n").alias("content"))
     symbols = long.select("path", F.lit("long").alias("name"), F.lit(1).alias("line_start"), F.lit(60).alias("line_end"), F.lit("Function").alias("kind"))
     return K.body_snippet(files.unionByName(long), found.unionByName(symbols))
 

@@ -121,3 +121,8 @@ def test_pairs_of_commits_are_made_once_and_dealt_by_their_number(spark, monkeyp
     want = {k: n for k, n in Counter(p for paths in of.values() for p in permutations(paths, 2)).items() if n >= 2}
     assert {(r["path"], r["other"]): r["together"] for r in got.collect()} == want
     assert H.co_changes(touched.limit(0)).count() == 0
+
+
+def test_long_files_are_made_in_their_row(spark, data):
+    plan = joins_of(QUERIES["body_snippet"](spark, data))
+    assert "collect_list" not in plan and "explode(" not in plan
