@@ -126,3 +126,17 @@ def test_pairs_of_commits_are_made_once_and_dealt_by_their_number(spark, monkeyp
 def test_long_files_are_made_in_their_row(spark, data):
     plan = joins_of(QUERIES["body_snippet"](spark, data))
     assert "collect_list" not in plan and "explode(" not in plan
+
+
+def test_tests_of_many_requests_are_dealt_by_their_number(spark, monkeypatch):
+    from lodegrain.operators import questions as Q
+
+    asked = spark.createDataFrame([(i, f"name{i % 3}", f"tests/t{i % 4}.py" if i % 2 else "src/a.py") for i in range(60)], "request_id long, name string, path string")
+    hits = spark.createDataFrame([(f"name{k}", f"tests/t{j}.py", float((j * 7 + k) % 5)) for k in range(3) for j in range(12)], "name string, path string, score double")
+    monkeypatch.setattr(Q, "MOST_ROWS", 100)
+    got = Q.tests_for_symbols(asked, hits, ["request_id"])
+    assert "REPARTITION_BY_NUM" in joins_of(got)
+    best = {k: sorted([((j * 7 + k) % 5, -j, f"tests/t{j}.py") for j in range(12)], key=lambda x: (-x[0], x[2]))[:10] for k in range(3)}
+    want = {(i, p) for i in range(60) for _, _, p in [x for x in best[i % 3] if not (i % 2 and x[2] == f"tests/t{i % 4}.py")][:3]}
+    assert {(r["request_id"], r["path"]) for r in got.collect()} == want
+    assert Q.tests_for_symbols(asked.limit(0), hits, ["request_id"]).count() == 0
