@@ -141,7 +141,8 @@ def ask_batch(requests: DataFrame, docs: DataFrame, postings: DataFrame, request
     with vectors, fused search, intent, security and text, in one job for all of them."""
     terms = clean_query(requests.withColumnRenamed("request_id", "query_id"), stop_words)
     hits = bm25(terms, postings, limit) if vectors is None else hybrid_search(terms, postings, request_vectors, vectors, limit=limit)
-    hits = hits.select(F.col("query_id").alias("request_id"), "doc_id", "score", "rank")
+    # hits are few and read three times: the search is done once
+    hits = saved(hits.select(F.col("query_id").alias("request_id"), "doc_id", "score", "rank"), "hits")
     asked = requests.select("request_id", query_intent(F.col("text")).alias("intent"))
     status = security_context(asked, hits, docs)
     shown = hits.join(docs.select("doc_id", "text"), "doc_id").withColumn("path", F.col("doc_id").cast("string"))

@@ -220,7 +220,8 @@ def compact_vectors(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
 def rrf(lexical: DataFrame, vector: DataFrame, key: str = "doc_id", k: int = 60, limit: int | None = 10) -> DataFrame:
     """query_id, key, score (in 0 .. 1), source, rank: reciprocal ranks of both lists (rank from 1) added and divided by 2 / (k + 1)."""
     part = lambda df, name: df.select("query_id", key, (1 / (F.lit(k) + F.col("rank"))).alias("part"), F.lit(name).alias("source"))
-    rows = part(lexical, "bm25").unionByName(part(vector, "vector")).groupBy("query_id", key).agg(
+    # both lists are dealt out anew: Spark 4.1 takes such a union to be dealt by query like its parts, which adaptive plans do not always keep
+    rows = part(lexical, "bm25").unionByName(part(vector, "vector")).repartition("query_id", key).groupBy("query_id", key).agg(
         F.round(F.sum("part") * ((k + 1) / 2), 9).alias("score"), F.when(F.countDistinct("source") > 1, "both").otherwise(F.min("source")).alias("source"))
     return top_k_per(rows, ["query_id"], [F.desc("score"), F.col(key)], limit, "rank")
 

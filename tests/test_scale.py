@@ -140,3 +140,21 @@ def test_tests_of_many_requests_are_dealt_by_their_number(spark, monkeypatch):
     want = {(i, p) for i in range(60) for _, _, p in [x for x in best[i % 3] if not (i % 2 and x[2] == f"tests/t{i % 4}.py")][:3]}
     assert {(r["request_id"], r["path"]) for r in got.collect()} == want
     assert Q.tests_for_symbols(asked.limit(0), hits, ["request_id"]).count() == 0
+
+
+def test_batch_of_requests_ranks_as_its_two_lists_say(spark, data):
+    from lodegrain.operators import questions as Q
+    from lodegrain.operators import retrieval as R
+    from lodegrain.plans.catalog import Views
+    from lodegrain.plans.retrieval_queries import document_vectors, postings, vector_queries
+
+    # the fused list is read several times in one plan, where Spark could not put its parts together again
+    got = {(r["request_id"], r["rank"]): (r["doc_id"], r["score"]) for r in QUERIES["ask_batch"](spark, data).collect()}
+    v, parts = Views(spark, data), {}
+    terms = Q.clean_query(v.benchmark.selectExpr("item_id AS query_id", "text"))
+    for rows in (R.bm25(terms, postings(v), 15), R.cosine_top_k(vector_queries(v), document_vectors(v), 15, key="doc_id")):
+        for r in rows.collect():
+            of = parts.setdefault(r["query_id"], {})
+            of[r["doc_id"]] = of.get(r["doc_id"], 0) + 1 / (60 + r["rank"])
+    best = {q: sorted((-round(s * 30.5, 9), d) for d, s in of.items())[:5] for q, of in parts.items()}
+    assert got == {(q, i): (d, -s) for q, rows in best.items() for i, (s, d) in enumerate(rows, 1)} and len(got) > 100
