@@ -13,7 +13,7 @@ from .consistency import drop_stale_targets, exclude_noise_kinds, lookup_symbol,
 from .questions import STOP_WORDS, clean_query, query_intent, security_context, target_union, tests_for_symbols
 from .requests import TIER_CLUSTERS, TIER_FILES, coherence_gate, drop_synonym_only_hits, histories_for_targets, implementation_twins, prune_to_tier, recency_boost, tier_sources
 from .retrieval import bm25, code_tokens, drop_low_confidence, hybrid_search
-from .topk import top_k_per
+from .topk import by_shuffle, top_k_per
 
 #: Endings of files that a request may name, marks of code in a request, intents whose histories are shown, intents whose
 #: targets are scanned, and how an intent is called.
@@ -48,17 +48,17 @@ def _found_by_search(requests: DataFrame, symbols: DataFrame, postings: DataFram
                      limit: int, min_score: float, stop_words: tuple[str, ...]) -> DataFrame:
     terms = clean_query(requests, stop_words, "request_id").withColumnRenamed("request_id", "query_id")
     ranked = bm25(terms, postings, limit, key="symbol_id") if vectors is None else hybrid_search(terms, postings, request_vectors, vectors, limit=limit, key="symbol_id")
-    hits = ranked.select(F.col("query_id").alias("request_id"), "symbol_id", "score").join(symbols.select("symbol_id", "name", "path"), "symbol_id")
-    hits = hits if working_set is None else recency_boost(hits, working_set)
+    hits = ranked.select(F.col("query_id").alias("request_id"), "symbol_id", "score").join(by_shuffle(symbols.select("symbol_id", "name", "path")), "symbol_id")
+    hits = hits if working_set is None else recency_boost(hits, by_shuffle(working_set))
     own = requests.select("request_id", own_terms(F.col("text"), stop_words).alias("terms"))
-    return drop_synonym_only_hits(drop_low_confidence(hits, min_score), own)
+    return drop_synonym_only_hits(drop_low_confidence(hits, min_score), by_shuffle(own))
 
 
 def _found_by_name(requests: DataFrame, symbols: DataFrame, stop_words: tuple[str, ...], per_word: int = 4) -> DataFrame:
     words = F.filter(F.transform(_words(F.col("text"), r"\s+", "_"), lambda w: F.lower(w)), lambda w: (F.length(w) >= 3) & ~w.isin(*stop_words))
     asked = requests.select("request_id", F.explode(F.array_distinct(words)).alias("query"))
-    first = top_k_per(lookup_symbol(symbols, asked.select(F.col("query").alias("name"))), ["query"], [F.col("path"), F.col("ordinal")], per_word)
-    return asked.join(exclude_noise_kinds(first), "query").withColumn("score", F.lit(None).cast("double"))
+    first = top_k_per(lookup_symbol(symbols, by_shuffle(asked.select(F.col("query").alias("name")))), ["query"], [F.col("path"), F.col("ordinal")], per_word)
+    return asked.join(by_shuffle(exclude_noise_kinds(first)), "query").withColumn("score", F.lit(None).cast("double"))
 
 
 def _distinct_texts(requests: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _distinct_texts(requests: DataFrame) -> DataFrame:
 def _for_every_request(found: DataFrame, texts: DataFrame, requests: DataFrame) -> DataFrame:
     """The rows that were found for texts, for each request of the text."""
     of = requests.where("request_id is not null").select(F.col("request_id").alias("__request"), "text").distinct()
-    rows = found.join(texts.withColumnRenamed("text", "__text"), "request_id").drop("request_id").join(of.withColumnRenamed("text", "__text"), "__text")
+    rows = found.join(by_shuffle(texts.withColumnRenamed("text", "__text")), "request_id").drop("request_id").join(by_shuffle(of.withColumnRenamed("text", "__text")), "__text")
     return rows.withColumnRenamed("__request", "request_id").select(*found.columns)
 
 
@@ -99,35 +99,35 @@ def _targets_of(requests: DataFrame, symbols: DataFrame, files: DataFrame, posti
     symbols = symbols.dropDuplicates(["path", "name", "ordinal"])
     served = target_union({"explicit": named_files(requests), "search": _found_by_search(requests, symbols, postings, request_vectors, vectors, working_set, limit, min_score, stop_words)}, KEY)
     served = saved(served, "served")
-    named = _found_by_name(requests.join(served.select("request_id").distinct(), "request_id", "left_anti"), symbols, stop_words)
+    named = _found_by_name(requests.join(by_shuffle(served.select("request_id").distinct()), "request_id", "left_anti"), symbols, stop_words)
     found = saved(served.unionByName(target_union({"named": named}, KEY)), "found")
 
     unscored = F.lit(None).cast("double").alias("score")
     tests = found.where(is_test_path(F.col("path"))).select("request_id", "name", "path")
     paths = tests.select("path").distinct()
     firsts = exclude_noise_kinds(top_k_per(symbols, ["path"], [F.col("ordinal")], 3)).select("path", "name")
-    twins = tests.select("request_id", F.col("path").alias("test")).join(implementation_twins(paths, files), "test").join(firsts, "path").select("request_id", "name", "path", unscored)
-    bodies = files.join(paths, "path", "left_semi").select("path", F.col("content").alias("body"))
-    calls = called_symbols(bodies, symbols).withColumnRenamed("name", "called")
-    called = tests.join(calls, "path").where("called <> name").select("request_id", F.col("called").alias("name"), F.col("symbol_path").alias("path"), unscored)
+    twins = tests.select("request_id", F.col("path").alias("test")).join(by_shuffle(implementation_twins(paths, by_shuffle(files))), "test").join(by_shuffle(firsts), "path").select("request_id", "name", "path", unscored)
+    bodies = files.join(by_shuffle(paths), "path", "left_semi").select("path", F.col("content").alias("body"))
+    calls = called_symbols(bodies, by_shuffle(symbols)).withColumnRenamed("name", "called")
+    called = tests.join(by_shuffle(calls), "path").where("called <> name").select("request_id", F.col("called").alias("name"), F.col("symbol_path").alias("path"), unscored)
     found = target_union({**{p: found.where(F.col("pass") == p) for p in ("explicit", "search", "named")}, "twins": twins, "called": called}, KEY)
     found = saved(found, "found_by_tests")
 
     scripts = found.where(F.col("path").endswith(".py")).select("request_id", "path").distinct()
-    quoted = config_references(files.join(scripts.select("path").distinct(), "path", "left_semi"), symbols)
-    config = scripts.join(quoted, "path").select("request_id", "name", F.col("symbol_path").alias("path"), unscored)
-    config = config.join(found.select("request_id", "name").distinct(), ["request_id", "name"], "left_anti")
-    sources = found.unionByName(target_union({"config": config}, KEY))
+    quoted = config_references(files.join(by_shuffle(scripts.select("path").distinct()), "path", "left_semi"), by_shuffle(symbols))
+    config = scripts.join(by_shuffle(quoted), "path").select("request_id", "name", F.col("symbol_path").alias("path"), unscored)
+    config = config.join(by_shuffle(found.select("request_id", "name").distinct()), ["request_id", "name"], "left_anti")
+    sources = saved(found.unionByName(target_union({"config": config}, KEY)), "sources")
     symbol = ~is_test_path(F.col("path")) & (F.col("pass") != "explicit")
     asked = sources.withColumn("name", F.when(symbol, F.col("name")))
     names = asked.where("name is not null").select(F.col("name").alias("query_id")).distinct()
     terms = names.select("query_id", F.explode(F.array_distinct(code_tokens(F.col("query_id")))).alias("term"), F.lit(1.0).alias("weight"))
-    hits = bm25(terms, postings, 10, key="symbol_id").join(symbols.select("symbol_id", F.col("name").alias("symbol"), "path"), "symbol_id")
-    exercised = tests_for_symbols(asked, hits.select(F.col("query_id").alias("name"), "symbol", "path", "score"), KEY).withColumnRenamed("symbol", "name")
+    hits = bm25(terms, postings, 10, key="symbol_id").join(by_shuffle(symbols.select("symbol_id", F.col("name").alias("symbol"), "path")), "symbol_id")
+    exercised = tests_for_symbols(by_shuffle(asked), by_shuffle(hits.select(F.col("query_id").alias("name"), "symbol", "path", "score")), KEY).withColumnRenamed("symbol", "name")
 
     every = sources.unionByName(target_union({"tests": exercised}, KEY))
-    ranked = drop_stale_targets(rank_targets(every, KEY, max_symbols), files).withColumnRenamed("rank", "target_id")
-    kept = coherence_gate(prune_to_tier(ranked, TIER_FILES[tier]), TIER_CLUSTERS[tier])
+    ranked = drop_stale_targets(rank_targets(every, KEY, max_symbols), by_shuffle(files)).withColumnRenamed("rank", "target_id")
+    kept = coherence_gate(by_shuffle(prune_to_tier(ranked, TIER_FILES[tier])), TIER_CLUSTERS[tier])
     return kept.select("request_id", F.col("target_id").alias("rank"), "pass", "name", "path", "score")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path, is_vendor_path
 from ..sources.snapshots import saved
-from .topk import min_max_normalise, numbered, top_k_per
+from .topk import by_shuffle, min_max_normalise, numbered, top_k_per
 from .vector_index import MOST_CELLS, VectorIndex, unit
 
 
@@ -99,21 +99,23 @@ def _best_of(ids: pa.Array, terms: pa.Array, asked: np.ndarray, k: int, key: str
 def bm25(query_terms: DataFrame, postings: DataFrame, limit: int | None = 10, boosts: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, rank: query_terms are (query_id, term, weight). Only the postings of terms that some query has
     are read on past the first join."""
+    asked = _asked_matrix(query_terms) if limit is not None and dict(postings.dtypes)[key] == "bigint" and all(x > 0 for x in (boosts or {}).values()) else None
+    # terms that were counted are few; others, and a length a text, are never broadcast by the size of compressed files
+    large = by_shuffle if asked is None else lambda df: df
     _, lengths, averages = corpus_stats(postings, key)
     terms = query_terms.select("term").distinct()
-    hit = postings.join(terms, "term", "left_semi")
+    hit = postings.join(large(terms), "term", "left_semi")
     df = hit.groupBy("term", "field").agg(F.count("*").alias("df"))
-    rows = hit.join(df, ["term", "field"]).join(lengths, [key, "field"]).join(F.broadcast(averages), "field")  # a row per field
+    rows = hit.join(large(df), ["term", "field"]).join(by_shuffle(lengths), [key, "field"]).join(F.broadcast(averages), "field")  # a row per field
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     boost = F.coalesce(*[F.when(F.col("field") == f, x) for f, x in (boosts or {}).items()], F.lit(1.0))
     rows = rows.select("term", key, (idf * norm * boost).alias("part"))
-    asked = _asked_matrix(query_terms) if limit is not None and dict(postings.dtypes)[key] == "bigint" and all(x > 0 for x in (boosts or {}).values()) else None
     if asked is not None:
         of_text = rows.groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list("part").alias("parts"))
         best = of_text.mapInArrow(_best_of(*asked, limit, key), f"query_id {dict(query_terms.dtypes)['query_id']}, {key} long, score double")
         return top_k_per(best, ["query_id"], [F.desc("score"), F.col(key)], limit, "rank")
-    scored = query_terms.join(rows, "term").groupBy("query_id", key).agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+    scored = query_terms.join(by_shuffle(rows), "term").groupBy("query_id", key).agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
     # sums depend on the order of their parts in the last digits; ties must not
     scored = scored.withColumn("score", F.round("score", 9))
     return top_k_per(scored, ["query_id"], [F.desc("score"), F.col(key)], limit, "rank")

@@ -18,6 +18,12 @@ def top_k_per(df: DataFrame, keys: list[str], order: list[Column], k: int | None
     return rows.withColumnRenamed("__place", rank) if rank else rows.drop("__place")
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: both sides are shuffled and merged. Spark takes a saved table for as large as its
+    compressed files, and would gather one of 100 MB and more in the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int | None) -> DataFrame:
     """The newest n rows of each key; None keeps all."""
     return top_k_per(df, keys, [F.col(c).desc() for c in order], n)

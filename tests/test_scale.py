@@ -158,3 +158,22 @@ def test_batch_of_requests_ranks_as_its_two_lists_say(spark, data):
             of[r["doc_id"]] = of.get(r["doc_id"], 0) + 1 / (60 + r["rank"])
     best = {q: sorted((-round(s * 30.5, 9), d) for d, s in of.items())[:5] for q, of in parts.items()}
     assert got == {(q, i): (d, -s) for q, rows in best.items() for i, (s, d) in enumerate(rows, 1)} and len(got) > 100
+
+
+def broadcast_joins(query: str, spark, data, monkeypatch) -> list[str]:
+    """The hash joins of a query, in all tables it saves too, that Spark would broadcast by size; `averages` has a row a field."""
+    from lodegrain.operators import answers as A
+    from lodegrain.operators import questions as Q
+    from lodegrain.operators import retrieval as R
+
+    plans = []
+    for module in (A, Q):
+        monkeypatch.setattr(module, "saved", lambda df, name, save=module.saved: plans.append(joins_of(df)) or save(df, name))
+    monkeypatch.setattr(R, "MOST_TERMS", 1)  # as many terms as a large table has
+    plans.append(joins_of(QUERIES[query](spark, data)))
+    assert len(plans) > 4
+    return [line.strip() for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line and "BroadcastHashJoin [field" not in line]
+
+
+def test_targets_of_requests_are_not_broadcast(spark, data, monkeypatch):
+    assert broadcast_joins("request_targets", spark, data, monkeypatch) == []
