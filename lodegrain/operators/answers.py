@@ -163,8 +163,8 @@ def _diagnostics(asked: DataFrame, targets: DataFrame, diagnostics: DataFrame) -
     per_line = diagnostics.groupBy("path", "line").agg(F.count_if(error).alias("e"), F.count_if(warning).alias("w"))
     per_path = per_line.groupBy("path").agg(F.sum("e").alias("e"), F.count_if(F.col("e") > 0).alias("places"), F.sum("w").alias("w"))
     whole = per_path.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in ("e", "places", "w")])
-    own = targets.select("request_id", "path").distinct().join(per_path, "path", "left").groupBy("request_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("e", "places", "w")])
-    rows = asked.select("request_id").join(own, "request_id", "left").join(F.broadcast(whole), F.lit(True))  # one row
+    own = targets.select("request_id", "path").distinct().join(by_shuffle(per_path), "path", "left").groupBy("request_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("e", "places", "w")])
+    rows = asked.select("request_id").join(by_shuffle(own), "request_id", "left").join(F.broadcast(whole), F.lit(True))  # one row
     return rows.select("request_id", F.coalesce(F.col("e") + F.col("all_places") - F.col("places"), F.col("all_e")).alias("errors"), F.coalesce("w", "all_w").alias("warnings"))
 
 
@@ -192,19 +192,19 @@ def _answers_of(requests: DataFrame, symbols: DataFrame, files: DataFrame, posti
     marks = F.lit(False)
     for mark in CODE_MARKS:
         marks = marks | F.col("text").contains(mark)
-    asked = requests.join(per, "request_id", "left").select(
+    asked = requests.join(by_shuffle(per), "request_id", "left").select(
         "request_id", "text", F.coalesce("targets", F.lit(0)).alias("targets"), query_intent(F.col("text"), F.coalesce("of_symbols", F.lit(False))).alias("intent"), query_complexity(F.col("text"), marks).alias("complexity"))
     asked = saved(asked, "asked")
-    of = lambda intents: targets.join(asked.where(F.col("intent").isin(*intents)).select("request_id"), "request_id", "left_semi")
+    of = lambda intents: targets.join(by_shuffle(asked.where(F.col("intent").isin(*intents)).select("request_id")), "request_id", "left_semi")
 
     code = enrich_targets_with_code(targets.select("request_id", "rank", "name", "path"), symbols, files)
     line = F.concat_ws("\n  ", F.format_string("Found %s `%s` in %s at line %d", F.lower("kind"), "symbol", "symbol_path", "line_start"), code_preview(F.col("kind"), F.col("snippet")))
-    code = _joined(code, ["rank", "symbol_path", "line_start"], line, "code").join(code.groupBy("request_id").agg(F.count("*").alias("symbols")), "request_id")
-    commits = histories_for_targets(of(HISTORY_INTENTS), history).groupBy("request_id", "path").agg(F.count("*").alias("n"))
-    past = _joined(commits, ["path"], F.format_string("History of %s: %d recent commits", "path", "n"), "past").join(commits.groupBy("request_id").agg(F.sum("n").alias("commits")), "request_id")
-    status = security_context(asked, of(SCAN_INTENTS), files.select("path", F.col("content").alias("text")), doc="path").select("request_id", "status")
+    code = _joined(code, ["rank", "symbol_path", "line_start"], line, "code").join(by_shuffle(code.groupBy("request_id").agg(F.count("*").alias("symbols"))), "request_id")
+    commits = histories_for_targets(of(HISTORY_INTENTS), by_shuffle(history)).groupBy("request_id", "path").agg(F.count("*").alias("n"))
+    past = _joined(commits, ["path"], F.format_string("History of %s: %d recent commits", "path", "n"), "past").join(by_shuffle(commits.groupBy("request_id").agg(F.sum("n").alias("commits"))), "request_id")
+    status = security_context(by_shuffle(asked), of(SCAN_INTENTS), by_shuffle(files.select("path", F.col("content").alias("text"))), doc="path").select("request_id", "status")
 
-    rows = asked.join(code, "request_id", "left").join(past, "request_id", "left").join(status, "request_id").join(_diagnostics(asked, targets, diagnostics), "request_id")
+    rows = asked.join(by_shuffle(code), "request_id", "left").join(by_shuffle(past), "request_id", "left").join(by_shuffle(status), "request_id").join(by_shuffle(_diagnostics(asked, targets, diagnostics)), "request_id")
     rows = rows.withColumn("status", F.when((F.col("intent") == "bug_fix") & (F.col("targets") == 0), "CLEAN").otherwise(F.col("status")))
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("symbols", "commits")})
     label = F.coalesce(*[F.when(F.col("intent") == k, v) for k, v in LABELS.items()])
@@ -214,10 +214,10 @@ def _answers_of(requests: DataFrame, symbols: DataFrame, files: DataFrame, posti
              F.when(F.col("status") != "NOT_SCANNED", F.concat(F.lit("Security: "), "status"))]
     if raw or tier == "small":
         first = top_k_per(symbols, ["path", "name"], [F.col("ordinal")], 1).select("path", "name", "kind", "line_start", "line_end")
-        wanted = targets.withColumnRenamed("rank", "item_id").join(first, ["path", "name"], "left")
-        shown = tier_sources(wanted, files, tier)
+        wanted = targets.withColumnRenamed("rank", "item_id").join(by_shuffle(first), ["path", "name"], "left")
+        shown = tier_sources(by_shuffle(wanted), by_shuffle(files), tier)
         source = F.format_string("--- %s:%d-%d\n%s", "path", "first", "last", "source")
-        rows = rows.join(_joined(shown.join(wanted.select("request_id", "item_id"), ["request_id", "item_id"]), ["item_id"], source, "sources"), "request_id", "left")
+        rows = rows.join(by_shuffle(_joined(shown.join(by_shuffle(wanted.select("request_id", "item_id")), ["request_id", "item_id"]), ["item_id"], source, "sources")), "request_id", "left")
         parts.append(F.col("sources"))
     rows = rows.withColumn("context", F.concat_ws("\n", *parts))
     sid = F.col("symbols") / (F.greatest(F.octet_length("context") / 4, F.lit(1.0)) / 1000)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import answers as A
 from ..operators import questions as Q
 from ..operators.retrieval import build_postings, code_tokens
+from ..operators.topk import by_shuffle
 from ..sources.snapshots import saved
 from .catalog import Views, query
 from .fixtures import COMMITS, commits
@@ -46,7 +47,7 @@ def code_base(v: Views):
             made[name] = saved(made[name], f"code_{name}")
     functions = made["symbols"].where("kind = 'Function'")
     made["postings"] = saved(build_postings(functions, "symbol_id", {"name": code_tokens(F.col("name"))}), "code_postings")
-    made["history"] = v.lineitem.select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("p")).distinct().join(made["paths"].select("p", "path"), "p").join(commits(v), "commit_id").select("path", "commit_id", "epoch")
+    made["history"] = v.lineitem.select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("p")).distinct().join(by_shuffle(made["paths"].select("p", "path")), "p").join(by_shuffle(commits(v)), "commit_id").select("path", "commit_id", "epoch")
     return made
 
 

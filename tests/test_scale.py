@@ -177,3 +177,7 @@ def broadcast_joins(query: str, spark, data, monkeypatch) -> list[str]:
 
 def test_targets_of_requests_are_not_broadcast(spark, data, monkeypatch):
     assert broadcast_joins("request_targets", spark, data, monkeypatch) == []
+
+
+def test_tables_of_answers_are_not_broadcast(spark, data, monkeypatch):
+    assert broadcast_joins("answer_batch", spark, data, monkeypatch) == []
