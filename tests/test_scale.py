@@ -181,3 +181,7 @@ def test_targets_of_requests_are_not_broadcast(spark, data, monkeypatch):
 
 def test_tables_of_answers_are_not_broadcast(spark, data, monkeypatch):
     assert broadcast_joins("answer_batch", spark, data, monkeypatch) == []
+
+
+def test_targets_of_the_smallest_tier_are_not_broadcast(spark, data, monkeypatch):
+    assert broadcast_joins("request_targets_small", spark, data, monkeypatch) == []
